@@ -47,13 +47,13 @@ CHARLSON = [
     ("Dementia", "F00-F03 F051 G30 G311", 1, 2),
     ("CPD", "I278 I279 J40-J47 J60-J67 J684 J701 J703", 1, 1),
     ("Rheumatic", "M05 M06 M315 M32-M34 M351 M353 M360", 1, 1),
-    ("Liver.Mild", "B18 K700-K703 K709 K713-K715 K717 K73 K74 K760 K762-K764 K768 K769 Z944", 1, 2),
+    ("Liver_Mild", "B18 K700-K703 K709 K713-K715 K717 K73 K74 K760 K762-K764 K768 K769 Z944", 1, 2),
     ("Hemiplegia", "G041 G114 G801 G802 G81 G82 G830-G834 G839", 2, 2),
     ("Renal", "I120 I131 N032-N037 N052-N057 N18 N19 N250 Z490-Z492 Z940 Z992", 2, 1),
-    ("DM.w.compl", "E102-E105 E107 E112-E115 E117 E122-E125 E127 E132-E135 E137 E142-E145 E147", 2, 1),
-    ("Cancer.and.Hem", "C00-C26 C30-C34 C37-C41 C43 C45-C58 C60-C76 C81-C85 C88 C90-C97", 2, 2),
-    ("Liver.Severe", "I850 I859 I864 I982 K704 K711 K721 K729 K765-K767", 3, 4),
-    ("Cancer.Metastatic", "C77-C80", 6, 6),
+    ("DM_w_compl", "E102-E105 E107 E112-E115 E117 E122-E125 E127 E132-E135 E137 E142-E145 E147", 2, 1),
+    ("Cancer_and_Hem", "C00-C26 C30-C34 C37-C41 C43 C45-C58 C60-C76 C81-C85 C88 C90-C97", 2, 2),
+    ("Liver_Severe", "I850 I859 I864 I982 K704 K711 K721 K729 K765-K767", 3, 4),
+    ("Cancer_Metastatic", "C77-C80", 6, 6),
     ("AIDS", "B20-B22 B24", 6, 4),
 ]
 
