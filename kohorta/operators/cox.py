@@ -26,7 +26,7 @@ from kohorta.session import settle
 from kohorta.sources.codes import small_frame
 
 MAX_STEPS = 20
-TOLERANCE = 1e-9
+TOLERANCE = 1e-11  # relative change of the log-likelihood
 DIVERGED = 15.0  # |log hazard ratio| beyond which an estimate counts as infinite
 
 

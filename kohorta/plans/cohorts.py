@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kohorta.functions.bins import at_least
+from kohorta.functions.bins import PROGNOSTIC_LEVELS, at_least
 from kohorta.functions.text import small_cell
 from kohorta.operators import exposure as ex
 from kohorta.operators import keyed, registers, scores
@@ -207,7 +207,9 @@ def cll_ipi_override(c: Clinic):
 
 @query('SELECT patientid, sex, PS AS "PS", IPI AS "IPI", Disease AS "Disease" FROM prognosis')
 def ipi_union(c: Clinic):
-    return c.prognosis
+    by = lambda d, group: c.scored.where(F.col("Disease") == d).withColumn("IPI", F.col(group))
+    parts = {"CLL": by("CLL", "cll"), "MM": by("MM", "mm"), "DLBCL": by("DLBCL", "ripi")}
+    return scores.unify(parts, PROGNOSTIC_LEVELS)
 
 
 @query("""

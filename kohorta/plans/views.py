@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kohorta.functions.bins import COMORBIDITY_CUTS, PROGNOSTIC_LEVELS, cut
+from kohorta.functions.bins import COMORBIDITY_CUTS, PROGNOSTIC_LEVELS, cut, recode
 from kohorta.functions.dates import diff_years
 from kohorta.operators import scores
 from kohorta.operators.exposure import class_exposure, history, lookback, polypharmacy, with_drug_bins
@@ -36,6 +36,21 @@ ANTIMICROBIALS = [("J01", "ANTIBACTERIAL"), ("J02", "ANTIMYCOTIC"), ("J05", "ANT
 ADT_KINDS = {"signup": "IND", "error": "UD"}
 
 
+# Column types of the given tables, so that no scan has to infer them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 class Clinic:
     """Views over one data folder."""
 
@@ -44,7 +59,7 @@ class Clinic:
         self.dir = sf_dir
 
     def table(self, name: str, *columns: str) -> DataFrame:
-        return load_table(self.spark, f"{self.dir}/{name}.parquet", columns=columns or None)
+        return load_table(self.spark, f"{self.dir}/{name}.parquet", SCHEMAS[name], columns or None)
 
     # -- registers ------------------------------------------------------------
     @cached_property
@@ -165,31 +180,30 @@ class Clinic:
         return near.withColumns(scaled).drop(*[f"{a}_value" for a in ANALYTES])
 
     @cached_property
-    def prognosis(self) -> DataFrame:
-        """Unified prognostic table of the three diseases."""
-        items = self.at_index
-        cll = scores.point_score(
-            items.where(F.col("diagnosis") == "1-URGENT").withColumn("ighv", F.coalesce("ighv", "ighv_lab")),
-            scores.CLL_IPI,
-            "score",
-            without=["B2M", "IGHV"],
-        )
+    def scored(self) -> DataFrame:
+        """Index rows with the group of each disease's own score."""
+        items = label_by_codes(self.at_index, DISEASES).withColumn("ighv", F.coalesce("ighv", "ighv_lab"))
+        items = scores.point_score(items, scores.CLL_IPI, "score", without=["B2M", "IGHV"])
         named = scores.score_group(F.col("score"), [1, 3, 6], PROGNOSTIC_LEVELS)
-        cll = cll.withColumn(
-            "IPI", scores.override_cll(named, F.col("score_minus_B2M"), F.col("score_minus_IGHV"))
-        )
-        mm = items.where(F.col("diagnosis") == "2-HIGH").withColumn("iss", scores.iss(F.col("iss_own"), F.col("alb"), F.col("b2m")))
         add_on = scores.any_yes(
             scores.ldh_high(F.col("age"), F.col("ldh")),
             scores.any_yes(F.col("t4_14"), F.col("t14_16"), F.col("del17p")),
         )
-        mm = mm.withColumn("riss", scores.revised_iss(F.col("iss"), add_on)).withColumn(
-            "IPI",
-            F.when(F.col("riss") == 1, "Low").when(F.col("riss") == 2, "Intermediate").when(F.col("riss") == 3, "High"),
+        riss = scores.revised_iss(scores.iss(F.col("iss_own"), F.col("alb"), F.col("b2m")), add_on)
+        return items.withColumns(
+            {
+                "PS": F.col("ps"),
+                "cll": scores.override_cll(named, F.col("score_minus_B2M"), F.col("score_minus_IGHV")),
+                "mm": recode(riss.cast("string"), {"1": "Low", "2": "Intermediate", "3": "High"}),
+            }
         )
-        dlbcl = items.where(F.col("diagnosis") == "3-MEDIUM").withColumn("IPI", F.col("ripi"))
-        parts = {"CLL": cll, "MM": mm, "DLBCL": dlbcl}
-        return scores.unify({d: f.withColumnRenamed("ps", "PS") for d, f in parts.items()}, PROGNOSTIC_LEVELS)
+
+    @cached_property
+    def prognosis(self) -> DataFrame:
+        """Unified prognostic table of the three diseases, in one pass."""
+        own = {"CLL": F.col("cll"), "MM": F.col("mm"), "DLBCL": F.col("ripi")}
+        group = scores.group_by_disease(own, PROGNOSTIC_LEVELS)
+        return self.scored.select("patientid", "sex", "PS", group.alias("IPI"), "Disease")
 
     # -- exposure and comorbidity ---------------------------------------------
     @cached_property

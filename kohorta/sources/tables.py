@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 def load_table(
     spark: SparkSession,
     path: str,
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Parquet scan; name the columns wanted so that only they are read."""
