@@ -164,7 +164,7 @@ def _step(frame: DataFrame, p: int, efron: bool) -> DataFrame:
         [frame.schema["model"], *[T.StructField(c, T.DoubleType()) for c in out_cols]]
     )
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", ascending=False)
         col = lambda c: pdf[c].to_numpy(dtype="float64")
 

@@ -29,9 +29,9 @@ def expect_unique(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def expect_same_ids(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
     """The same set of keys on both sides, in one pass over their union."""
-    both = left.select(key, F.lit(1).alias("side")).unionByName(right.select(key, F.lit(2).alias("side")))
-    sides = both.groupBy(key).agg(F.count_distinct("side").alias("k"))
-    return _row(name, sides.agg(F.count(F.when(F.col("k") < 2, 1)).alias("n_bad")))
+    both = left.select(key, F.lit(1).alias("_side")).unionByName(right.select(key, F.lit(2).alias("_side")))
+    sides = both.groupBy(key).agg(F.count_distinct("_side").alias("_sides"))
+    return _row(name, sides.agg(F.count(F.when(F.col("_sides") < 2, 1)).alias("n_bad")))
 
 
 def expect_all_true(df: DataFrame, cond: Column, name: str) -> DataFrame:

@@ -434,7 +434,7 @@ SELECT atc3, CASE WHEN n < 5 THEN '<5' ELSE CAST(CAST(n AS BIGINT) AS VARCHAR) E
 
 def _outcome_sql(event: str) -> str:
     frame = _SCREEN_FRAME.format(more="").replace("o.event", event)
-    fit = cox_sql(_SCREENED.format(cols="x0", frame=frame, x="x0"), [("atc3", "")])
+    fit = cox_sql(_SCREENED.format(cols="x0", frame=frame, x="x0"), [("atc3", "")], digits=12)
     return f"""
 SELECT f.model AS atc3, n.n, f.hr, f.lower, f.upper, least(1.0, f.p * count(*) OVER ()) AS p FROM ({fit}) f
 JOIN (SELECT x.atc3, count(*) AS n FROM exposure x JOIN outcome o ON o.patientid = x.patientid GROUP BY x.atc3) n

@@ -84,11 +84,11 @@ def _inverse(p: int) -> tuple[str, dict[tuple[int, int], str]]:
     return _minor(every, every), cells
 
 
-def cox_sql(frame: str, terms: Sequence[tuple[str, str]], steps: int = STEPS) -> str:
+def cox_sql(frame: str, terms: Sequence[tuple[str, str]], steps: int = STEPS, digits: int = 4) -> str:
     """Efron proportional hazards for ``frame`` (model, t, e, x0..), Newton steps unrolled.
 
     One row per model and term with coefficient, standard error, ratio, limits, z and p,
-    to four decimals (the two sides stop their iterations at different points).
+    to ``digits`` decimals (the two sides stop their iterations at different points).
     """
     p = len(terms)
     js = range(p)
@@ -128,6 +128,6 @@ GROUP BY model)""")
         for j, (name, level) in enumerate(terms)
     )
     return f"""WITH {", ".join(text)}
-SELECT model, term, level, round(coef, 4) AS coef, round(se, 4) AS se, round(exp(coef), 4) AS hr,
-  round(exp(coef - {Z95} * se), 4) AS lower, round(exp(coef + {Z95} * se), 4) AS upper, round(coef / se, 4) AS z,
-  round({normal_p_sql("(coef / se)")}, 4) AS p FROM ({rows})"""
+SELECT model, term, level, round(coef, {digits}) AS coef, round(se, {digits}) AS se, round(exp(coef), {digits}) AS hr,
+  round(exp(coef - {Z95} * se), {digits}) AS lower, round(exp(coef + {Z95} * se), {digits}) AS upper, round(coef / se, {digits}) AS z,
+  round({normal_p_sql("(coef / se)")}, {digits}) AS p FROM ({rows})"""
