@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kohorta.operators.distribution import kruskal_wallis, quantiles_of_counts
 from kohorta.operators.keyed import join_null_safe, union_all
+from kohorta.sources.codes import small_frame
 
 TOTAL = "Total"
 
@@ -75,12 +76,14 @@ def baseline_table(
     medians: Sequence[str] = (),
     means: Sequence[str] = (),
     factors: Sequence[str] = (),
+    levels: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Characteristics per stratum and in total, long form.
 
     Rows ``variable, level, stratum``; factors give ``n`` and ``pct`` of the stratum's
     known values, ``medians`` give ``median, q1, q3``, ``means`` give ``mean, sd``.  The
-    total is summed from the strata, not scanned again.
+    total is summed from the strata, not scanned again.  A factor with a level list in
+    ``levels`` shows its empty levels too.
     """
     parts = []
     if factors:
@@ -92,6 +95,12 @@ def baseline_table(
             .groupBy("variable", "stratum")
             .agg(F.sum("n").alias("_m"))
         )
+        if levels:
+            listed = small_frame(
+                df.sparkSession, [(v, x) for v, names in levels.items() for x in names], ["variable", "level"]
+            )
+            wanted = known.select("variable", "stratum").join(listed, "variable")
+            cells = cells.join(wanted, ["variable", "level", "stratum"], "full").fillna(0, subset=["n"])
         parts.append(
             cells.join(known, ["variable", "stratum"], "left").withColumn(
                 "pct", F.when(F.col("level").isNotNull(), 100.0 * F.col("n") / F.col("_m"))

@@ -557,7 +557,8 @@ def comorbidity_table(c: Clinic):
     named = rows.select(
         "diagnosis", *[F.when(F.col(g) == 0, "No").otherwise("Yes").alias(g) for g in ("CHF", "Renal")]
     )
-    long = tables.baseline_table(named, "diagnosis", factors=["CHF", "Renal"])
+    both = ["No", "Yes"]
+    long = tables.baseline_table(named, "diagnosis", factors=["CHF", "Renal"], levels={"CHF": both, "Renal": both})
     return tables.printed_baseline(long, [], only_level="Yes").select("variable", "level", "Total")
 
 

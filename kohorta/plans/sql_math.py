@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-STEPS = 8
+STEPS = 10
 Z95 = "1.959963984540054"
 
 
@@ -88,7 +88,7 @@ def cox_sql(frame: str, terms: Sequence[tuple[str, str]], steps: int = STEPS, di
     """Efron proportional hazards for ``frame`` (model, t, e, x0..), Newton steps unrolled.
 
     One row per model and term with coefficient, standard error, ratio, limits, z and p,
-    to ``digits`` decimals (the two sides stop their iterations at different points).
+    steps are cut to 1.5 against overshooting; to ``digits`` decimals (the two sides stop their iterations at different points).
     """
     p = len(terms)
     js = range(p)
@@ -117,7 +117,8 @@ def cox_sql(frame: str, terms: Sequence[tuple[str, str]], steps: int = STEPS, di
 GROUP BY model)""")
         if step < steps:
             moved = ", ".join(
-                f"b.b{j} + ({' + '.join(f'{inv[j, k]} * g{k}' for k in js)}) / {det} AS b{j}" for j in js
+                f"b.b{j} + greatest(-1.5, least(1.5, ({' + '.join(f'{inv[j, k]} * g{k}' for k in js)}) / {det})) AS b{j}"
+                for j in js
             )
             text.append(
                 f"b{step + 1} AS MATERIALIZED (SELECT b.model, {moved} FROM b{step} b JOIN g{step} g ON g.model = b.model)"
