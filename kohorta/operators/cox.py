@@ -480,7 +480,7 @@ def screen_adjusted(
         *[c.alias(x) for c, x in zip(_design(covariates), xs)],
     ).dropna()
     m = F.count(F.lit(1)).cast("double").alias("m")
-    everyone = settle(known.groupBy("t", "e", *xs).agg(m), "screen")
+    everyone = settle(known.groupBy("t", "e", *xs).agg(m), "screen", spread=True)
     exposed = exposure.select(key, F.col("atc3").alias("model")).where(
         F.col("atc3").isin(list(classes))
     ).distinct()

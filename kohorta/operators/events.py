@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kohorta.functions.dates import diff_days_exact, diff_years, rate_per_year
 from kohorta.functions.nulls import flag, later_of, void_before
 from kohorta.operators.index import prefix_groups
-from kohorta.operators.keyed import first_per_key, keep_cohort, with_totals
+from kohorta.operators.keyed import first_per_key, keep_cohort
 from kohorta.operators.ordered import Carry, carry
 
 # Register labels of admission and discharge.
@@ -87,11 +87,22 @@ def stay_totals(stay: DataFrame, key: str = "patientid") -> DataFrame:
 
 
 def long_stays(stay: DataFrame, more_than_days: float = 1.0, key: str = "patientid") -> DataFrame:
-    """Stays longer than the limit, with the subject's totals over all stays."""
-    both = with_totals(
-        stay, [key], n_contacts=F.count(F.lit(1)), days_in_hospital=F.sum("days")
+    """Stays longer than the limit, with the subject's totals over all stays.
+
+    One aggregate, no join back: stays of a subject do not overlap, so the long ones it
+    collects per subject are no more than the days of follow-up over the limit.
+    """
+    columns = ["date_admission", "date_discharge", "days"]
+    kept = F.when(F.col("days") > more_than_days, F.struct(*[c for c in columns if c in stay.columns]))
+    return (
+        stay.groupBy(key)
+        .agg(
+            F.count(F.lit(1)).alias("n_contacts"),
+            F.sum("days").alias("days_in_hospital"),
+            F.collect_list(kept).alias("_long"),
+        )
+        .select(key, "n_contacts", "days_in_hospital", F.inline("_long"))
     )
-    return both.where(F.col("days") > more_than_days)
 
 
 def admission_follow_up(
@@ -103,6 +114,7 @@ def admission_follow_up(
     drop_early: bool = False,
 ) -> DataFrame:
     """One row per long stay (or one censored row) from the later of diagnosis and go-live.
+    ``stay`` holds long stays only: few per subject, so the outer join cannot be skewed.
 
     A stay before go-live is dropped and the subject kept as censored; with
     ``drop_early`` a subject whose only stays lie before go-live leaves.
@@ -111,14 +123,13 @@ def admission_follow_up(
     if hospitals is not None:
         cohort = cohort.where(F.col("hospital_id").isin(list(hospitals)))
     cohort = cohort.where(F.col("date_death_fu") >= F.col("date_golive"))
-    # stays meet the cohort in an inner join (a long event side can be split), and
-    # only subjects left without a stay are added back
-    late = stay.join(cohort, key).where(F.col("date_admission") > F.col("date_golive"))
-    having = late.select(key).distinct()
-    none = cohort.join(having, key, "left_anti")
+    live = cohort.select(key, F.col("date_golive").alias("_live"))
+    late = stay.join(live, key).where(F.col("date_admission") > F.col("_live")).drop("_live")
+    if drop_early:
+        cohort = cohort.join(stay.select(key, F.lit(1).alias("_any")).distinct(), key, "left")
+    out = cohort.join(late, key, "left")
     if drop_early:
-        none = none.join(stay.select(key).distinct(), key, "left_anti")
-    out = late.unionByName(none, allowMissingColumns=True)
+        out = out.where(F.col("date_admission").isNotNull() | F.col("_any").isNull()).drop("_any")
     begin = later_of(F.col("date_diagnosis"), F.col("date_golive"))
     stop = F.coalesce(F.to_date("date_admission"), F.col("date_death_fu"))
     return out.withColumns(

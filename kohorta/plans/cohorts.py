@@ -13,7 +13,7 @@ from kohorta.operators.nearest import nearest_values, own_or_nearest
 from kohorta.operators.ordered import fill
 from kohorta.plans.registry import query
 from kohorta.plans.views import ANALYTES, DISEASES, HIERARCHY, ICD_GROUPS, ICD_WEIGHTS, INDEX_CODES, Clinic
-from kohorta.session import scratch_path
+from kohorta.session import scratch_path, settle
 from kohorta.sources import csv
 
 CLASSES = ["E05", "E11", "L10", "M13", "P15", "S01", "S20"]
@@ -435,8 +435,8 @@ SELECT 4, count(*) FROM (SELECT patientid FROM analysis WHERE IPI IS NOT NULL
   UNION SELECT patientid FROM idx WHERE patientid IN (SELECT patientid FROM rx WHERE atc LIKE 'E%'))""")
 def cohorts(c: Clinic):
     one = c.index.select("patientid")
-    two = c.analysis.dropna(subset=["IPI"]).select("patientid")
-    three = one.join(c.rx.where(F.col("atc").startswith("E")), "patientid", "left_semi")
+    two = settle(c.analysis.dropna(subset=["IPI"]).select("patientid"), "cohort")
+    three = settle(one.join(c.rx.where(F.col("atc").startswith("E")), "patientid", "left_semi"), "cohort")
     four = keyed.union_ids([two, three])
     sizes = [
         df.agg(F.lit(i).alias("cohort"), F.count_distinct("patientid").alias("n"))
@@ -449,8 +449,9 @@ def cohorts(c: Clinic):
 SELECT patientid FROM analysis WHERE IPI IS NOT NULL AND PS IS NOT NULL AND Disease = 'CLL'
 UNION SELECT patientid FROM analysis WHERE IPI IS NOT NULL AND Disease = 'MM'""")
 def cohort_union(c: Clinic):
-    a = c.analysis.where(F.col("Disease") == "CLL").dropna(subset=["IPI", "PS"])
-    b = c.analysis.where(F.col("Disease") == "MM").dropna(subset=["IPI"])
+    whole = settle(c.analysis.select("patientid", "Disease", "IPI", "PS"), "analysis")
+    a = whole.where(F.col("Disease") == "CLL").dropna(subset=["IPI", "PS"])
+    b = whole.where(F.col("Disease") == "MM").dropna(subset=["IPI"])
     return keyed.union_ids([a, b])
 
 

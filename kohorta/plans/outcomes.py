@@ -16,6 +16,7 @@ from kohorta.functions.tails import with_chi_square_p
 from kohorta.plans.registry import query
 from kohorta.plans.sql_math import cox_sql, logrank_sql
 from kohorta.plans.views import ADT_KINDS, ANTIMICROBIALS, BINS, Clinic, episodes_sql
+from kohorta.session import settle
 
 # ---- hospital events --------------------------------------------------------------
 
@@ -40,8 +41,8 @@ SELECT patientid, count(*) AS n_contacts, round(sum(days), 6) AS days_in_hospita
   count(*) FILTER (WHERE days > 1) AS n_long FROM stay_pairs GROUP BY patientid""")
 def stay_totals(c: Clinic):
     found = _stays(c)
-    more = found.where(F.col("days") > 1).groupBy("patientid").agg(F.count(F.lit(1)).alias("n_long"))
-    return keyed.keep_cohort(ev.stay_totals(found), more, "patientid", zeros=["n_long"])
+    long = ev.long_stays(found).groupBy("patientid").agg(F.count(F.lit(1)).alias("n_long"))
+    return keyed.keep_cohort(ev.stay_totals(found), long, "patientid", zeros=["n_long"])
 
 
 @query("""
@@ -219,8 +220,8 @@ SELECT b.atc_bin, g.grid_day, (SELECT count(*) FROM outcome o WHERE o.atc_bin =
   coalesce((SELECT arg_max(survival, t) FROM k WHERE k.atc_bin = b.atc_bin AND k.t <= g.grid_day), 1.0) AS survival
 FROM b, g""")
 def km_grid(c: Clinic):
-    curve = sv.kaplan_meier(c.outcome, ["atc_bin"])
-    return sv.on_grid(curve, c.outcome, ["atc_bin"], GRID)
+    rows = settle(c.outcome.select("atc_bin", "t_days", "event"), "outcome")
+    return sv.on_grid(sv.kaplan_meier(rows, ["atc_bin"]), rows, ["atc_bin"], GRID)
 
 
 def _logrank_columns(k: int) -> list[str]:
@@ -327,8 +328,10 @@ _UNADJUSTED = cox_sql(
 )
 
 
-def _screen(c: Clinic):
-    return ph.screen(c.exposure, c.outcome)
+def _screen_inputs(c: Clinic):
+    """Class exposure and follow-up, written once for the passes that read them."""
+    follow = c.timed.select("patientid", "t_days", "event", "age", "sex")
+    return settle(c.exposure, "exposure"), settle(follow, "follow")
 
 
 @query(f"""
@@ -338,7 +341,7 @@ n AS (SELECT x.atc3, count(*) AS n, CAST(sum(o.event) AS BIGINT) AS n_event FROM
 SELECT n.atc3, n.n, n.n_event, f.coef, f.se, f.hr, f.lower, f.upper, f.z, f.p
 FROM n LEFT JOIN fits f ON f.model = n.atc3""")
 def cox_screen_unadjusted(c: Clinic):
-    return _screen(c).select("atc3", "n", "n_event", *_rounded(*ESTIMATES))
+    return ph.screen(c.exposure, c.timed).select("atc3", "n", "n_event", *_rounded(*ESTIMATES))
 
 
 @query(f"""
@@ -348,9 +351,10 @@ WITH fits AS ({cox_sql(_SCREENED.format(
     [("age", ""), ("sex", "M"), ("atc3", "")])})
 SELECT model AS atc3, coef, se, hr, lower, upper, z, p FROM fits WHERE term = 'atc3'""")
 def cox_screen_adjusted(c: Clinic):
-    first = _screen(c).where(F.col("p").isNotNull())
+    exposure, follow = _screen_inputs(c)
+    first = ph.screen(exposure, follow).where(F.col("p").isNotNull())
     classes = [r["atc3"] for r in first.select("atc3").collect()]  # one row per class
-    adjusted = ph.screen_adjusted(c.exposure, c.outcome, [AGE, SEX], classes)
+    adjusted = ph.screen_adjusted(exposure, follow, [AGE, SEX], classes)
     return adjusted.select("atc3", *_rounded(*ESTIMATES))
 
 
@@ -459,9 +463,10 @@ j AS (SELECT coalesce(a.atc3, b.atc3, c.atc3) AS atc3, a.n AS n_os, a.hr_text AS
   FROM r_os a FULL JOIN r_adt b ON b.atc3 = a.atc3 FULL JOIN r_inf c ON c.atc3 = coalesce(a.atc3, b.atc3))
 SELECT j.*, m.name FROM j LEFT JOIN {_NAMES} m ON m.atc3 = j.atc3""")
 def result_table(c: Clinic):
+    exposure, follow = _screen_inputs(c)
     printed = {}
     for name, (_, make) in _OUTCOMES.items():
-        fits = ph.screen(c.exposure, make(c.outcome)).where(F.col("p").isNotNull())
+        fits = ph.screen(exposure, make(follow)).where(F.col("p").isNotNull())
         corrected = screening.adjust_p(fits)
         printed[name] = screening.printed(corrected.where(F.col("p") < 0.3))
     return screening.result_table(printed, _names(c))
@@ -542,9 +547,13 @@ FROM analysis{group}""")
 
 @query(_baseline_sql("Disease", ["age", "cci_score"], ["n_atc"], ["sex", "IPI", "atc_bin", "cci_bin"]))
 def baseline_table(c: Clinic):
-    return tables.baseline_table(
-        c.analysis, "Disease", ["age", "cci_score"], ["n_atc"], ["sex", "IPI", "atc_bin", "cci_bin"]
-    )
+    medians, means, factors = ["age", "cci_score"], ["n_atc"], ["sex", "IPI", "atc_bin", "cci_bin"]
+    return tables.baseline_table(_settled(c, "Disease", *medians, *means, *factors), "Disease", medians, means, factors)
+
+
+def _settled(c: Clinic, *columns: str):
+    """Columns of the analysis table as a written stage, for tables of several passes."""
+    return settle(c.analysis.select(*columns), "analysis")
 
 
 @query("""
@@ -579,7 +588,8 @@ WITH long AS (SELECT 'sex' AS variable, Disease AS stratum, sex AS level FROM an
 t AS ({_CHI}) SELECT *, round(CASE dof WHEN 2 THEN exp(-statistic / 2) WHEN 6 THEN
   exp(-statistic / 2) * (1 + statistic / 2 + statistic * statistic / 8) END, 6) AS p FROM t""")
 def chisq_group(c: Clinic):
-    return with_chi_square_p(tables.chi_square(c.analysis, "Disease", ["sex", "IPI", "atc_bin"]), "statistic", "dof")
+    rows = _settled(c, "Disease", "sex", "IPI", "atc_bin")
+    return with_chi_square_p(tables.chi_square(rows, "Disease", ["sex", "IPI", "atc_bin"]), "statistic", "dof")
 
 
 def _kruskal_sql(source: str, group: str, value: str) -> str:
@@ -596,7 +606,8 @@ SELECT 12 / (total * (total + 1)) * sum(r * r / m) / max(correction) AS statisti
 SELECT 'cci_score' AS variable, round(statistic, 6) AS statistic, dof, CAST(n AS BIGINT) AS n FROM ({_kruskal_sql("analysis", "Disease", "cci_score")})
 UNION ALL SELECT 'age', round(statistic, 6), dof, CAST(n AS BIGINT) FROM ({_kruskal_sql("analysis", "Disease", "age")})""")
 def kruskal_group(c: Clinic):
-    return tables.group_tests(c.analysis, "Disease", medians=["cci_score", "age"]).drop("test")
+    rows = _settled(c, "Disease", "cci_score", "age")
+    return tables.group_tests(rows, "Disease", medians=["cci_score", "age"]).drop("test")
 
 
 @query("""
@@ -626,7 +637,7 @@ WITH s AS (SELECT 0 AS step_no, 'indexed' AS step, Disease, patientid FROM analy
 SELECT *, lag(n_patients) OVER (PARTITION BY "Disease" ORDER BY step_no) - n_patients AS n_excluded FROM (
   SELECT step_no, step, Disease AS "Disease", count(*) AS n_rows, count(DISTINCT patientid) AS n_patients FROM s GROUP BY ALL)""")
 def cohort_flow(c: Clinic):
-    whole = c.analysis.select("patientid", "Disease", "IPI", "PS")
+    whole = _settled(c, "patientid", "Disease", "IPI", "PS")
     known = whole.dropna(subset=["IPI"])
     return tables.cohort_flow(
         {"indexed": whole, "prognosis known": known, "complete": known.dropna(subset=["PS"])}, by="Disease"
@@ -640,10 +651,13 @@ UNION ALL SELECT 'exposure table keeps the cohort', count(*) = 0, count(*) FROM
 UNION ALL SELECT 'dispensing inside the window', count(*) FILTER (WHERE days > 0) = 0, count(*) FILTER (WHERE days > 0) FROM lookback
 UNION ALL SELECT 'subjects without drugs', (SELECT count(*) FROM poly WHERE n_atc = 0) = count(*),
   abs((SELECT count(*) FROM poly WHERE n_atc = 0) - count(*)) FROM idx WHERE patientid NOT IN (SELECT patientid FROM lookback)
-UNION ALL SELECT 'status is 0 or 1', count(*) FILTER (WHERE status NOT IN (0, 1)) = 0, count(*) FILTER (WHERE status NOT IN (0, 1)) FROM follow_up""")
+UNION ALL SELECT 'status is 0 or 1', count(*) FILTER (WHERE status NOT IN (0, 1)) = 0, count(*) FILTER (WHERE status NOT IN (0, 1)) FROM follow_up
+UNION ALL SELECT 'cut-off is the last follow-up day', max(date) = (SELECT max(date_death_fu) FROM follow_up),
+  abs(max(date) - (SELECT max(date_death_fu) FROM follow_up)) FROM rx""")
 def quality_checks(c: Clinic):
-    window = ex.lookback(c.index, c.rx)
+    window = settle(ex.lookback(c.index, c.rx).select("patientid", "days"), "window")
     without = c.index.join(window, "patientid", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    day = lambda df, name: df.agg(F.unix_date(F.max(name)).alias("day"))
     zero = c.poly.where(F.col("n_atc") == 0).agg(F.count(F.lit(1)).alias("n"))
     return quality.report(
         [
@@ -653,5 +667,6 @@ def quality_checks(c: Clinic):
             quality.expect_all_true(window, F.col("days") <= 0, "dispensing inside the window"),
             quality.expect_equal(without, zero, "subjects without drugs"),
             quality.expect_values(c.follow_up, "status", [0, 1], "status is 0 or 1"),
+            quality.expect_equal(day(c.rx, "date"), day(c.follow_up, "date_death_fu"), "cut-off is the last follow-up day"),
         ]
     )

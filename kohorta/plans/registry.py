@@ -15,6 +15,15 @@ from kohorta.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+_last: list[tuple[SparkSession, str, Clinic]] = []
+
+
+def clinic(spark: SparkSession, sf_dir: str) -> Clinic:
+    """The views over a folder; those of the last session and folder are kept, so that
+    a run of many queries analyses each view once.  Plans only, no data."""
+    if not _last or _last[0][0] is not spark or _last[0][1] != sf_dir:
+        _last[:] = [(spark, sf_dir, Clinic(spark, sf_dir))]
+    return _last[0][2]
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -25,7 +34,7 @@ def query(sql: str | None = None, name: str | None = None):
 
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return present(fn(Clinic(configure(spark), sf_dir)))
+            return present(fn(clinic(configure(spark), sf_dir)))
 
         QUERIES[label] = run
         if sql is not None:

@@ -226,11 +226,11 @@ class Clinic:
         )
 
     @cached_property
-    def outcome(self) -> DataFrame:
-        """Index rows with drug count, follow-up in days and status."""
+    def timed(self) -> DataFrame:
+        """Index rows with entity, age, follow-up in days and status."""
         days = F.date_diff("date_death_fu", "date_diagnosis")
         return (
-            label_by_codes(self.poly, DISEASES)
+            label_by_codes(self.index, DISEASES)
             .join(self.subjects, "patientid")
             .withColumn("t_days", days)
             .where(F.col("t_days") >= 0)
@@ -239,6 +239,11 @@ class Clinic:
             )
         )
 
+    @cached_property
+    def outcome(self) -> DataFrame:
+        """The same with the drug count before the index."""
+        return with_drug_bins(polypharmacy(self.timed, self.rx))
+
     @cached_property
     def analysis(self) -> DataFrame:
         """One row per subject: entity, prognosis, drug count, comorbidity, follow-up."""

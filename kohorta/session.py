@@ -49,12 +49,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def settle(df: DataFrame, label: str = "stage") -> DataFrame:
+def settle(df: DataFrame, label: str = "stage", spread: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a result feeds several later jobs: the lineage ends at the written
-    table, so a lost executor costs a re-read and not a recomputation.
+    table, so a lost executor costs a re-read and not a recomputation.  ``spread``
+    writes a small table in as many files as there are cores, for readers that do
+    much work per row.
     """
     path = scratch_path(df.sparkSession, label)
+    if spread:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
