@@ -83,7 +83,7 @@ def project_rename(c: Clinic):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_discount, l_tax, l_extendedprice,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_discount, l_tax, l_extendedprice,
   CASE WHEN l_discount = 0 THEN 'No' ELSE 'Yes' END AS f_discount,
   CASE WHEN l_tax = 0 THEN 'No' ELSE 'Yes' END AS f_tax FROM lineitem""")
 def columns_by_pattern(c: Clinic):
@@ -153,7 +153,7 @@ def filter_text(c: Clinic):
 
 
 @query("""
-SELECT diagnosis, CASE diagnosis WHEN '3-MEDIUM' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '1-URGENT' THEN 3 END AS place,
+SELECT diagnosis, CAST(CASE diagnosis WHEN '3-MEDIUM' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '1-URGENT' THEN 3 END AS BIGINT) AS place,
   CASE WHEN diagnosis IN ('3-MEDIUM', '2-HIGH', '1-URGENT') THEN diagnosis END AS level, count(*) AS n
 FROM dx GROUP BY ALL""")
 def level_order(c: Clinic):
@@ -346,7 +346,7 @@ def date_scalars(c: Clinic):
 @query("""
 SELECT patientid, n_atc, coalesce(round(n_atc / nullif(t_days / 365.25, 0), 6), 0) AS per_year,
   CAST(ceil(n_atc / 2.0) AS BIGINT) AS pair,
-  CASE atc_bin WHEN '0-3' THEN 1 WHEN '4-7' THEN 2 WHEN '8-11' THEN 3 ELSE 4 END AS bin_code FROM outcome""")
+  CAST(CASE atc_bin WHEN '0-3' THEN 1 WHEN '4-7' THEN 2 WHEN '8-11' THEN 3 ELSE 4 END AS BIGINT) AS bin_code FROM outcome""")
 def rate_scalars(c: Clinic):
     years = diff_years(F.col("date_diagnosis"), F.col("date_death_fu"))
     return c.outcome.select(

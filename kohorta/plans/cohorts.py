@@ -16,7 +16,8 @@ from kohorta.plans.views import ANALYTES, DISEASES, HIERARCHY, ICD_GROUPS, ICD_W
 from kohorta.session import scratch_path, settle
 from kohorta.sources import csv
 
-CLASSES = ["E05", "E11", "L10", "M13", "P15", "S01", "S20"]
+# every class the dispensings view can make: first letter of the type, two-digit brand
+CLASSES = [f"{letter}{brand:02d}" for letter in "ELMPS" for brand in range(1, 26)]
 
 
 @query("""
@@ -157,7 +158,7 @@ def lab_nearest_multi(c: Clinic):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE cents / 100 END AS value2
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE cents / 100 END AS value2
 FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)""")
 def lab_value_clean(c: Clinic):
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -222,9 +223,9 @@ def ipi_collapse(c: Clinic):
 
 
 @query("""
-SELECT patientid, malt, CASE WHEN malt <= 0 THEN 'Low' WHEN malt <= 1 THEN 'Intermediate' WHEN malt > 1 THEN 'High' END AS malt_group,
-  ips, CASE WHEN ips <= 2 THEN 'Low' WHEN ips > 2 THEN 'High' END AS ips_group,
-  wm, CASE WHEN wm IS NULL THEN NULL WHEN wm > 2 THEN 'High' WHEN wm = 2 OR age > 65 THEN 'Intermediate' ELSE 'Low' END AS wm_group,
+SELECT patientid, CAST(malt AS BIGINT) AS malt, CASE WHEN malt <= 0 THEN 'Low' WHEN malt <= 1 THEN 'Intermediate' WHEN malt > 1 THEN 'High' END AS malt_group,
+  CAST(ips AS BIGINT) AS ips, CASE WHEN ips <= 2 THEN 'Low' WHEN ips > 2 THEN 'High' END AS ips_group,
+  CAST(wm AS BIGINT) AS wm, CASE WHEN wm IS NULL THEN NULL WHEN wm > 2 THEN 'High' WHEN wm = 2 OR age > 65 THEN 'Intermediate' ELSE 'Low' END AS wm_group,
   round(mipi, 6) AS mipi, CASE WHEN mipi < 5.7 THEN 'Low' WHEN mipi < 6.2 THEN 'Intermediate' WHEN mipi >= 6.2 THEN 'High' END AS mipi_group
 FROM (SELECT patientid, age,
   CASE WHEN age >= 70 THEN 1 ELSE 0 END + CASE WHEN stage >= 3 THEN 1 ELSE 0 END
@@ -330,8 +331,8 @@ def complete_case(c: Clinic):
 @query("""
 SELECT o_orderkey AS dx_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date_diagnosis,
   CASE o_orderstatus WHEN 'F' THEN 'CR' WHEN 'O' THEN 'PR' END AS response,
-  CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4
-    WHEN '5-LOW' THEN 5 END AS grade, CAST(floor(o_totalprice) AS BIGINT) AS cost
+  CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4
+    WHEN '5-LOW' THEN 5 END AS BIGINT) AS grade, CAST(floor(o_totalprice) AS BIGINT) AS cost
 FROM orders""")
 def register_clean(c: Clinic):
     raw = c.table("orders").withColumns(
@@ -428,7 +429,7 @@ def corrected_death(c: Clinic):
 
 
 @query("""
-SELECT 1 AS cohort, count(*) AS n FROM idx UNION ALL
+SELECT CAST(1 AS BIGINT) AS cohort, count(*) AS n FROM idx UNION ALL
 SELECT 2, count(*) FROM analysis WHERE IPI IS NOT NULL UNION ALL
 SELECT 3, count(*) FROM idx WHERE patientid IN (SELECT patientid FROM rx WHERE atc LIKE 'E%') UNION ALL
 SELECT 4, count(*) FROM (SELECT patientid FROM analysis WHERE IPI IS NOT NULL
@@ -468,7 +469,7 @@ SELECT patientid, dx_id, last_value(cost IGNORE NULLS) OVER (PARTITION BY patien
 FROM (SELECT d.*, CASE WHEN o.o_orderstatus = 'F' THEN o.o_totalprice END AS cost
   FROM dx d JOIN orders o ON o.o_orderkey = d.dx_id)""")
 def fill_down(c: Clinic):
-    return fill(_cost(c), ["patientid"], ["date_diagnosis", "dx_id"], F.year("date_diagnosis"), "cost").drop("date_diagnosis")
+    return fill(_cost(c), ["patientid"], ["date_diagnosis", "dx_id"], F.col("date_diagnosis"), "cost").drop("date_diagnosis")
 
 
 @query("""
@@ -478,7 +479,7 @@ FROM (SELECT d.*, CASE WHEN o.o_orderstatus = 'F' THEN o.o_totalprice END AS cos
   FROM dx d JOIN orders o ON o.o_orderkey = d.dx_id)""")
 def fill_up(c: Clinic):
     return fill(
-        _cost(c), ["patientid"], ["date_diagnosis", "dx_id"], F.year("date_diagnosis"), "cost", up=True
+        _cost(c), ["patientid"], ["date_diagnosis", "dx_id"], F.col("date_diagnosis"), "cost", up=True
     ).drop("date_diagnosis")
 
 

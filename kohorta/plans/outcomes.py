@@ -215,7 +215,7 @@ GRID = [0, 365, 730, 1095, 1461, 1826]
 
 
 @query(f"""
-WITH k AS ({_km_sql("atc_bin")}), g AS (SELECT unnest({GRID}) AS grid_day), b AS (SELECT DISTINCT atc_bin FROM outcome)
+WITH k AS ({_km_sql("atc_bin")}), g AS (SELECT CAST(unnest({GRID}) AS BIGINT) AS grid_day), b AS (SELECT DISTINCT atc_bin FROM outcome)
 SELECT b.atc_bin, g.grid_day, (SELECT count(*) FROM outcome o WHERE o.atc_bin = b.atc_bin AND o.t_days >= g.grid_day) AS n_risk,
   coalesce((SELECT arg_max(survival, t) FROM k WHERE k.atc_bin = b.atc_bin AND k.t <= g.grid_day), 1.0) AS survival
 FROM b, g""")
@@ -228,9 +228,9 @@ def _logrank_columns(k: int) -> list[str]:
     return [*[f"observed{i}" for i in range(k)], *[f"expected{i}" for i in range(k)], "chi_square", "dof", "p"]
 
 
-@query(logrank_sql("outcome", "atc_bin", BINS[:3]))
+@query(logrank_sql("outcome", "atc_bin", BINS))
 def logrank(c: Clinic):
-    return sv.logrank(c.outcome, "atc_bin", BINS[:3])
+    return sv.logrank(c.outcome, "atc_bin", BINS)
 
 
 @query(logrank_sql("outcome", "polypharmacy", ["No", "Yes"], by="Disease"))
@@ -499,7 +499,7 @@ def crosstab_2way(c: Clinic):
 @query("""
 SELECT l_returnflag, round(min(l_extendedprice), 6) AS min, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1,
   round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(avg(l_extendedprice), 6) AS mean,
-  round(quantile_cont(l_extendedprice, 0.75), 6) AS q3, max(l_extendedprice) AS max, count(*) AS n, 0 AS n_missing
+  round(quantile_cont(l_extendedprice, 0.75), 6) AS q3, max(l_extendedprice) AS max, count(*) AS n, CAST(0 AS BIGINT) AS n_missing
 FROM lineitem GROUP BY l_returnflag""")
 def six_number(c: Clinic):
     return dist.six_numbers(c.table("lineitem", "l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice")
@@ -631,7 +631,7 @@ def date_histogram(c: Clinic):
 
 
 @query("""
-WITH s AS (SELECT 0 AS step_no, 'indexed' AS step, Disease, patientid FROM analysis
+WITH s AS (SELECT CAST(0 AS BIGINT) AS step_no, 'indexed' AS step, Disease, patientid FROM analysis
   UNION ALL SELECT 1, 'prognosis known', Disease, patientid FROM analysis WHERE IPI IS NOT NULL
   UNION ALL SELECT 2, 'complete', Disease, patientid FROM analysis WHERE IPI IS NOT NULL AND PS IS NOT NULL)
 SELECT *, lag(n_patients) OVER (PARTITION BY "Disease" ORDER BY step_no) - n_patients AS n_excluded FROM (

@@ -21,11 +21,13 @@ def chi_square_p_sql(x: str, dof: int) -> str:
         return normal_p_sql(f"sqrt({x})")
     if dof == 2:
         return f"exp(-({x}) / 2)"
-    raise ValueError("one or two degrees of freedom only")
+    if dof == 3:
+        return f"({normal_p_sql(f'sqrt({x})')} + sqrt(2 * ({x}) / pi()) * exp(-({x}) / 2))"
+    raise ValueError("up to three degrees of freedom only")
 
 
 def logrank_sql(source: str, group: str, levels: Sequence[str], by: str | None = None) -> str:
-    """Log-rank test of two or three groups."""
+    """Log-rank test of two to four groups."""
     k = len(levels)
     b = f'{by} AS "{by}", ' if by else ""
     part = f"PARTITION BY {by} " if by else ""
@@ -44,44 +46,42 @@ def logrank_sql(source: str, group: str, levels: Sequence[str], by: str | None =
         for i in range(k - 1)
         for j in range(i, k - 1)
     )
-    if k == 2:
-        stat = "(o0 - x0) * (o0 - x0) / v00"
-    else:
-        stat = (
-            "((o0 - x0) * (o0 - x0) * v11 - 2 * (o0 - x0) * (o1 - x1) * v01 + (o1 - x1) * (o1 - x1) * v00)"
-            " / (v00 * v11 - v01 * v01)"
-        )
+    det, inv = _inverse(k - 1, "v")
+    stat = "(" + " + ".join(
+        f"(o{i} - x{i}) * {inv[i, j]} * (o{j} - x{j})" for i in range(k - 1) for j in range(k - 1)
+    ) + f") / {det}"
     out = ", ".join(f"o{i} AS observed{i}, round(x{i}, 6) AS expected{i}" for i in range(k))
     names = ", ".join(f"'{v}'" for v in levels)
     grouped = f"GROUP BY {by}" if by else ""
     by_col = f"{by}, " if by else ""
     return f"""
-SELECT {by_col.replace(f"{by}", f'"{by}"') if by else ""}{out}, round(chi, 6) AS chi_square, {k - 1} AS dof, round({chi_square_p_sql("chi", k - 1)}, 6) AS p
+SELECT {by_col.replace(f"{by}", f'"{by}"') if by else ""}{out}, round(chi, 6) AS chi_square, CAST({k - 1} AS BIGINT) AS dof, round({chi_square_p_sql("chi", k - 1)}, 6) AS p
 FROM (SELECT *, {stat} AS chi FROM (SELECT {b}{sums}, {var} FROM (SELECT *, {d} AS d, {n} AS n FROM (
   SELECT *, {risk} FROM (SELECT {by_col}t_days AS t, {counts} FROM {source} WHERE {group} IN ({names})
     GROUP BY {by_col}t_days))) WHERE d > 0 {grouped}))"""
 
 
-def _minor(rows: list[int], cols: list[int]) -> str:
-    """Determinant of a part of the information matrix, as text."""
+def _minor(rows: list[int], cols: list[int], name: str) -> str:
+    """Determinant of a part of a symmetric matrix ``name``, as text."""
     if not rows:
         return "1.0"
     out = []
     for at, c in enumerate(cols):
         sign = "-" if at % 2 else "+"
         i, j = sorted((rows[0], c))
-        out.append(f"{sign} i{i}{j} * ({_minor(rows[1:], cols[:at] + cols[at + 1:])})")
+        out.append(f"{sign} {name}{i}{j} * ({_minor(rows[1:], cols[:at] + cols[at + 1:], name)})")
     return "(" + " ".join(out).lstrip("+ ") + ")"
 
 
-def _inverse(p: int) -> tuple[str, dict[tuple[int, int], str]]:
+def _inverse(p: int, name: str = "i") -> tuple[str, dict[tuple[int, int], str]]:
+    """Determinant and cofactors; the inverse is cofactor over determinant."""
     every = list(range(p))
     cells = {}
     for j in every:
         for k in every:
             sign = "-" if (j + k) % 2 else ""
-            cells[j, k] = f"({sign}{_minor([r for r in every if r != k], [c for c in every if c != j])})"
-    return _minor(every, every), cells
+            cells[j, k] = f"({sign}{_minor([r for r in every if r != k], [c for c in every if c != j], name)})"
+    return _minor(every, every, name), cells
 
 
 def cox_sql(frame: str, terms: Sequence[tuple[str, str]], steps: int = STEPS, digits: int = 4) -> str:

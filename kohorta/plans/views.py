@@ -394,8 +394,8 @@ SELECT i.patientid, i.date_diagnosis, i.diagnosis, p.sex,
 FROM idx i JOIN patient p ON p.patientid = i.patientid""",
     "at_index": _nearest_sql(),
     "mm_stage": """
-SELECT *, CASE WHEN iss = 2 THEN 2 WHEN iss = 3 AND add_on = 'Yes' THEN 3 WHEN iss = 1 AND add_on = 'No' THEN 1
-  WHEN iss = 3 AND add_on = 'No' THEN 2 WHEN iss = 1 AND add_on = 'Yes' THEN 2 END AS riss FROM (
+SELECT *, CAST(CASE WHEN iss = 2 THEN 2 WHEN iss = 3 AND add_on = 'Yes' THEN 3 WHEN iss = 1 AND add_on = 'No' THEN 1
+  WHEN iss = 3 AND add_on = 'No' THEN 2 WHEN iss = 1 AND add_on = 'Yes' THEN 2 END AS BIGINT) AS riss FROM (
   SELECT *, CASE WHEN ldh_high = 'Yes' OR fish = 'Yes' THEN 'Yes'
       WHEN ldh_high IS NULL OR fish IS NULL THEN NULL ELSE 'No' END AS add_on FROM (
     SELECT *, coalesce(iss_own, CASE WHEN b2m IS NULL THEN NULL WHEN b2m >= 5.5 THEN 3
@@ -406,8 +406,9 @@ SELECT *, CASE WHEN iss = 2 THEN 2 WHEN iss = 3 AND add_on = 'Yes' THEN 3 WHEN i
         WHEN t4_14 IS NULL OR t14_16 IS NULL OR del17p IS NULL THEN NULL ELSE 'No' END AS fish
     FROM at_index))""",
     "cll_score": """
-SELECT *, p_tp + p_ighv + p_b2m + p_stage + p_age AS score, p_tp + p_ighv + p_stage + p_age AS minus_b2m,
-  p_tp + p_b2m + p_stage + p_age AS minus_ighv FROM (
+SELECT *, CAST(p_tp + p_ighv + p_b2m + p_stage + p_age AS BIGINT) AS score,
+  CAST(p_tp + p_ighv + p_stage + p_age AS BIGINT) AS minus_b2m,
+  CAST(p_tp + p_b2m + p_stage + p_age AS BIGINT) AS minus_ighv FROM (
   SELECT *, CASE WHEN tp53 = 'Yes' THEN 4 ELSE 0 END AS p_tp,
     CASE coalesce(ighv, ighv_lab) WHEN 'Unmutated' THEN 2 WHEN 'Mutated' THEN 0 END AS p_ighv,
     CASE WHEN b2m >= 4.0 THEN 2 WHEN b2m < 4.0 THEN 0 END AS p_b2m,
