@@ -316,13 +316,14 @@ def cox(
         for j, (name, level) in enumerate(terms):
             n_level = info[m]["n"] if level is None else info[m][f"k{j}"]
             out.append(_term_row(m, name, level, n_level, info[m]["n_event"], fit, j))
-    return small_frame(df.sparkSession, out, TERM_COLUMNS)
+    return small_frame(df.sparkSession, out, TERM_COLUMNS, TERM_TYPES)
 
 
 TERM_COLUMNS = [
     "model", "term", "level", "n", "n_event", "coef", "se", "hr", "lower", "upper", "z", "p",
     "loglik_null", "loglik",
 ]
+TERM_TYPES = ["string", "string", "string", "long", "long", *["double"] * 9]
 
 
 def _term_row(model, name, level, n, events, fit: Fit, j: int) -> tuple:
@@ -519,4 +520,4 @@ def screen_adjusted(
         (c, *_term_row("", "", "", sizes[c]["n"], sizes[c]["d"], fits[c], p - 1)[3:12]) for c in todo
     ]
     names = ["atc3", "n", "n_event", "coef", "se", "hr", "lower", "upper", "z", "p"]
-    return small_frame(spark, out, names)
+    return small_frame(spark, out, names, ["string", "long", "long", *["double"] * 7])

@@ -8,10 +8,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def small_frame(spark: SparkSession, rows: Sequence[Sequence], names: Sequence[str]) -> DataFrame:
-    """A literal table; it reaches the plan as a local relation of known size."""
+_TYPES = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+
+
+def small_frame(
+    spark: SparkSession, rows: Sequence[Sequence], names: Sequence[str], types: Sequence[str] | None = None
+) -> DataFrame:
+    """A literal table; it reaches the plan as a local relation of known size.
+
+    ``types`` (string, long, double) are needed where a column may be empty.
+    """
     columns = list(zip(*rows)) if rows else [[] for _ in names]
-    arrays = [pa.array(list(c)) for c in columns]
+    kinds = [_TYPES[t] for t in types] if types else [None] * len(names)
+    arrays = [pa.array(list(c), type=k) for c, k in zip(columns, kinds)]
     return spark.createDataFrame(pa.table(dict(zip(names, arrays))))
 
 
