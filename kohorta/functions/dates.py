@@ -14,8 +14,12 @@ def diff_days(start: Column, end: Column) -> Column:
 
 
 def diff_days_exact(start: Column, end: Column) -> Column:
-    """Fractional days between two date-times."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(86_400_000_000.0)
+    """Fractional days between two date-times, free of the session's time zone."""
+    gap = end - start
+    part = lambda unit: F.extract(F.lit(unit), gap).cast("long")
+    micros = (F.extract(F.lit("SECOND"), gap) * 1_000_000).cast("long")
+    whole = ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60_000_000 + micros
+    return whole / F.lit(86_400_000_000.0)
 
 
 def diff_years(start: Column, end: Column, days_per_year: float = DAYS_PER_YEAR) -> Column:

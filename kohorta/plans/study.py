@@ -35,6 +35,7 @@ from kohorta.operators import exposure as ex
 from kohorta.operators import keyed, quality, registers, scores, screening, survival, tables
 from kohorta.operators.index import first_diagnosis, index_table
 from kohorta.operators.nearest import nearest_values, own_or_nearest
+from kohorta.session import configure
 from kohorta.sources.codes import charlson_weights
 from kohorta.sources.csv import Stages, write_csv2
 from kohorta.sources.tables import stack_sources
@@ -67,13 +68,17 @@ class Config:
         default_factory=lambda: {"DLBCL": "DLBCL", "FL": "FL", "MCL": "MCL", "WM": "LPL", "MZL": "MZL", "cHL": "cHL"}
     )
     alpha: float = 0.05
+    # write the large event stages and the index in buckets of the subject, so that their
+    # joins need no exchange; leave out where single subjects own much of the data, as a
+    # bucket cannot be split
+    buckets: int | None = None
 
 
 class Study:
     """Runs the stages in order; ``stage(name)`` is a written table."""
 
     def __init__(self, spark: SparkSession, tables_in: Mapping, config: Config, root: str):
-        self.spark = spark
+        self.spark = configure(spark)
         self.src = tables_in
         self.config = config
         self.stages = Stages(spark, root)
@@ -84,8 +89,11 @@ class Study:
             self.done[name] = self.stages.load(name)
         return self.done[name]
 
-    def _save(self, name: str, df: DataFrame) -> DataFrame:
-        self.done[name] = self.stages.save(name, df)
+    def _save(self, name: str, df: DataFrame, bucketed: bool = False) -> DataFrame:
+        if bucketed and self.config.buckets:
+            self.done[name] = self.stages.save_bucketed(name, df, "patientid", self.config.buckets)
+        else:
+            self.done[name] = self.stages.save(name, df)
         return self.done[name]
 
     # -- stages -------------------------------------------------------------------
@@ -157,12 +165,13 @@ class Study:
             for name, df in self.src["dispensings"].items()
         }
         stacked = stack_sources(parts).join(self.stage("entities").select("patientid"), "patientid", "left_semi")
-        return self._save("dispensings", ex.harmonise_dispensings(stacked))
+        return self._save("dispensings", ex.harmonise_dispensings(stacked), bucketed=True)
 
     def index(self) -> DataFrame:
         """Index rows inside the study period: from its start to the last dispensing."""
         last = ex.last_date(self.stage("dispensings"))
-        return self._save("index", ex.study_period(self.stage("entities"), self.config.study_start, last))
+        inside = ex.study_period(self.stage("entities"), self.config.study_start, last)
+        return self._save("index", inside, bucketed=True)
 
     def window(self) -> DataFrame:
         """Dispensings in the look-back window."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,29 @@ class Stages:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.load(name, df.schema)
 
+    def save_by_year(self, name: str, df: DataFrame, date: str) -> DataFrame:
+        """Events in one folder per year, so that a study window prunes folders."""
+        dated = df.withColumn("year", F.year(date))
+        dated.repartition("year", F.pmod(F.xxhash64(*df.columns), F.lit(64))).write.mode("overwrite").partitionBy(
+            "year"
+        ).parquet(self.path(name))
+        return self.load(name, T.StructType([*df.schema.fields, T.StructField("year", T.IntegerType())]))
+
+    def save_bucketed(self, name: str, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Write in sorted buckets of ``key``: joins and aggregates on it between tables
+        with the same number of buckets need no exchange.  The bucketing is known to this
+        session; another one reads the files as a plain stage."""
+        table = f"stage_{name}_{uuid.uuid4().hex}"
+        (
+            df.repartition(buckets, key)
+            .write.mode("overwrite")
+            .option("path", self.path(name))
+            .bucketBy(buckets, key)
+            .sortBy(key)
+            .saveAsTable(table)
+        )
+        return self.spark.table(table)
+
     def load(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(self.path(name))

@@ -92,6 +92,18 @@ def test_exact_days(spark):
     a = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
     b = F.lit("2020-01-02 12:00:00").cast("timestamp_ntz")
     assert one(spark, dates.diff_days_exact(a, b)) == 1.5
+    assert one(spark, dates.diff_days_exact(b, a)) == -1.5
+
+
+def test_exact_days_ignore_the_time_zone(spark):
+    a = F.lit("2020-03-28 12:00:00.25").cast("timestamp_ntz")
+    b = F.lit("2020-03-29 12:00:00.75").cast("timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Copenhagen")
+    try:
+        assert one(spark, dates.diff_days_exact(a, b)) == pytest.approx(1 + 0.5 / 86400, abs=1e-15)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
 
 
 def test_cut_is_right_closed(spark):

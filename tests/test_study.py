@@ -78,6 +78,7 @@ def study(spark, registers):
         cutoff="2021-01-01",
         hospitals=["RH", "HER"],
         alpha=0.9,
+        buckets=4,
     )
     s = Study(spark, registers, config, scratch_path(spark, "study"))
     s.export = scratch_path(spark, "export")

@@ -97,6 +97,35 @@ def test_stages_overwrite_and_reload(spark, rows):
     assert stages.load("one").count() == 5
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_stages_join_without_exchange(spark, rows):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stages = csv.Stages(spark, scratch_path(spark, "buckets"))
+        events = spark.range(5000).select((F.col("id") % 97).alias("patientid"), F.col("id").alias("v"))
+        left = stages.save_bucketed("events", events, "patientid", 4)
+        right = stages.save_bucketed("index", spark.range(97).withColumnRenamed("id", "patientid"), "patientid", 4)
+        joined = left.join(right, "patientid").groupBy("patientid").count()
+        assert "Exchange" not in plan_of(joined)
+        assert rows(joined) == rows(events.groupBy("patientid").count())
+        assert stages.load("events").count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_year_folders_are_pruned(spark):
+    stages = csv.Stages(spark, scratch_path(spark, "years"))
+    start = F.lit("2018-01-01").cast("date")
+    events = spark.range(2000).select(F.col("id"), F.date_add(start, F.col("id").cast("int")).alias("date"))
+    saved = stages.save_by_year("events", events, "date")
+    late = saved.where(F.col("year") >= 2020)
+    assert "PartitionFilters: [isnotnull(year" in plan_of(late)
+    assert late.count() == events.where(F.year("date") >= 2020).count()
+
+
 def test_settled_table_reads_from_the_shared_folder(spark):
     df = settle(spark.range(10).groupBy((F.col("id") % 2).alias("k")).count())
     plan = df._jdf.queryExecution().executedPlan().toString()
