@@ -13,6 +13,8 @@ import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -140,25 +142,25 @@ def _pairs(p: int) -> list[tuple[int, int]]:
 
 def _step(frame: DataFrame, p: int, efron: bool) -> DataFrame:
     """``frame``: model, t, e, m (weight), eta, x0..  ->  one row per model."""
-    w = F.col("m") * F.exp("eta")
-    dead = F.col("e") == 1
-    aggs = [F.sum(w).alias("s0"), F.sum(F.when(dead, w).otherwise(0.0)).alias("e0")]
-    aggs += [F.sum(F.when(dead, F.col("m")).otherwise(0.0)).alias("d")]
-    aggs += [F.sum(F.when(dead, F.col("m") * F.col("eta")).otherwise(0.0)).alias("eta")]
+    dead = F.col("e").cast("double")
+    weighed = frame.select(
+        "model", "t", "eta", *[f"x{j}" for j in range(p)],
+        (F.col("m") * F.exp("eta")).alias("w"), (F.col("m") * dead).alias("me"), dead.alias("dead"),
+    ).withColumn("we", F.col("w") * F.col("dead"))
+    total = lambda *cols: F.sum(reduce(mul, [F.col(c) for c in cols]))
+    aggs = [total("w").alias("s0"), total("we").alias("e0"), total("me").alias("d"), total("me", "eta").alias("eta")]
     for j in range(p):
-        x = F.col(f"x{j}")
         aggs += [
-            F.sum(w * x).alias(f"s1_{j}"),
-            F.sum(F.when(dead, w * x).otherwise(0.0)).alias(f"e1_{j}"),
-            F.sum(F.when(dead, F.col("m") * x).otherwise(0.0)).alias(f"z_{j}"),
+            total("w", f"x{j}").alias(f"s1_{j}"),
+            total("we", f"x{j}").alias(f"e1_{j}"),
+            total("me", f"x{j}").alias(f"z_{j}"),
         ]
     for j, k in _pairs(p):
-        xx = F.col(f"x{j}") * F.col(f"x{k}")
         aggs += [
-            F.sum(w * xx).alias(f"s2_{j}_{k}"),
-            F.sum(F.when(dead, w * xx).otherwise(0.0)).alias(f"e2_{j}_{k}"),
+            total("w", f"x{j}", f"x{k}").alias(f"s2_{j}_{k}"),
+            total("we", f"x{j}", f"x{k}").alias(f"e2_{j}_{k}"),
         ]
-    days = frame.groupBy("model", "t").agg(*aggs)
+    days = weighed.groupBy("model", "t").agg(*aggs)
     out_cols = ["ll", *[f"g{j}" for j in range(p)], *[f"i{j}_{k}" for j, k in _pairs(p)]]
     schema = T.StructType(
         [frame.schema["model"], *[T.StructField(c, T.DoubleType()) for c in out_cols]]
@@ -285,7 +287,7 @@ def cox(
         F.col(event).cast("int").alias("e"),
         *[c.alias(x) for c, x in zip(_design(covariates), xs)],
     ).dropna()
-    rows = settle(frame.groupBy("model", "t", "e", *xs).agg(F.count(F.lit(1)).cast("double").alias("m")), "cox")
+    rows = settle(frame.groupBy("model", "t", "e", *xs).agg(F.count(F.lit(1)).cast("double").alias("m")), "cox", along="t")
     numeric = [j for j, (_, level) in enumerate(terms) if level is None]
     weight = F.sum("m")
     head = rows.groupBy("model").agg(
@@ -481,11 +483,11 @@ def screen_adjusted(
         *[c.alias(x) for c, x in zip(_design(covariates), xs)],
     ).dropna()
     m = F.count(F.lit(1)).cast("double").alias("m")
-    everyone = settle(known.groupBy("t", "e", *xs).agg(m), "screen", spread=True)
+    everyone = settle(known.groupBy("t", "e", *xs).agg(m), "screen", along="t", wide=True)
     exposed = exposure.select(key, F.col("atc3").alias("model")).where(
         F.col("atc3").isin(list(classes))
     ).distinct()
-    mine = settle(exposed.join(known, key).groupBy("model", "t", "e", *xs).agg(m), "screen")
+    mine = settle(exposed.join(known, key).groupBy("model", "t", "e", *xs).agg(m), "screen", along="t")
     numeric = {f"x{j}" for j, (_, v) in enumerate(t for c in covariates for t in c.terms()) if v is None}
     centre = everyone.agg(
         F.sum("m").alias("n"),

@@ -208,7 +208,8 @@ def cll_ipi_override(c: Clinic):
 
 @query('SELECT patientid, sex, PS AS "PS", IPI AS "IPI", Disease AS "Disease" FROM prognosis')
 def ipi_union(c: Clinic):
-    by = lambda d, group: c.scored.where(F.col("Disease") == d).withColumn("IPI", F.col(group))
+    scored = settle(c.scored.select("patientid", "sex", "PS", "Disease", "cll", "mm", "ripi"), "scored")
+    by = lambda d, group: scored.where(F.col("Disease") == d).withColumn("IPI", F.col(group))
     parts = {"CLL": by("CLL", "cll"), "MM": by("MM", "mm"), "DLBCL": by("DLBCL", "ripi")}
     return scores.unify(parts, PROGNOSTIC_LEVELS)
 

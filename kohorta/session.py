@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings.  A single subject may own a third of all event rows, so
 # sort-merge joins on the subject key must be split by AQE even where the split
@@ -49,16 +50,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def settle(df: DataFrame, label: str = "stage", spread: bool = False) -> DataFrame:
+def settle(df: DataFrame, label: str = "stage", along: str | None = None, wide: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a result feeds several later jobs: the lineage ends at the written
-    table, so a lost executor costs a re-read and not a recomputation.  ``spread``
-    writes a small table in as many files as there are cores, for readers that do
-    much work per row.
+    table, so a lost executor costs a re-read and not a recomputation.
+
+    ``along`` names a column that later aggregates group by: files hold ranges of it, so
+    that their map side combines well.  The range goes on over a hash of the row, so a
+    value that holds many rows is split.  ``wide`` writes at least one file per core, for
+    readers that do much work per row.
     """
-    path = scratch_path(df.sparkSession, label)
-    if spread:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    if along:
+        keys = [F.col(along), F.xxhash64(*df.columns)]
+        cores = spark.sparkContext.defaultParallelism
+        df = df.repartitionByRange(cores, *keys) if wide else df.repartitionByRange(*keys)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
