@@ -73,9 +73,10 @@ def _join_bars(placed: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame
 
 
 def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]
+    counts: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str], total: str | None = None
 ) -> DataFrame:
-    """Interpolated quantiles (position ``(n - 1) p``) per group, one column per name."""
+    """Interpolated quantiles (position ``(n - 1) p``) per group, one column per name; the
+    number of values as ``total`` where asked for."""
     keys = list(keys)
     placed = counts.withColumn("_b", value_bucket(F.col("x")))
     bars = placed.groupBy(*keys, "_b").agg(F.sum("n").alias("_m"))
@@ -116,7 +117,8 @@ def quantiles_of_counts(
         out.append(
             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share).alias(name)
         )
-    return found.select(*keys, *out)
+    size = [F.col("total").alias(total)] if total else []
+    return found.select(*keys, *out, *size)
 
 
 def quantiles(
@@ -128,9 +130,7 @@ def quantiles(
 def median_iqr(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Median and quartiles per group, with the number of non-null values."""
     counts = value_counts(df, keys, column)
-    q = quantiles_of_counts(counts, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    n = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
-    return _attach(q, n, keys)
+    return quantiles_of_counts(counts, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], total="n")
 
 
 def six_numbers(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -216,7 +216,8 @@ def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     """Join per-group numbers; a missing group key matches itself."""
     from kohorta.operators.keyed import join_null_safe
 
-    if not keys:
-        one = F.lit(1).alias("_one")
-        return left.select("*", one).join(right.select("*", one), "_one").drop("_one")
+    if not keys:  # one row on the right: a scalar subquery
+        return left.withColumn("_r", right.select(F.struct(*right.columns)).scalar()).select(
+            *left.columns, "_r.*"
+        )
     return join_null_safe(left, right, list(keys), "inner")

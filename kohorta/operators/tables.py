@@ -117,9 +117,7 @@ def baseline_table(
         total = counts.groupBy("variable", "x").agg(F.sum("n").alias("n")).withColumn("stratum", F.lit(TOTAL))
         counts = counts.where(F.col("stratum").isNotNull()).unionByName(total)
         keys = ["variable", "stratum"]
-        q = quantiles_of_counts(counts, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-        n = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
-        parts.append(q.join(n, keys))
+        parts.append(quantiles_of_counts(counts, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], total="n"))
     if means:
         long = (
             df.select(F.col(by).cast("string").alias("stratum"), *[F.col(c).cast("double") for c in means])
