@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from kohorta.llm import sql
 from kohorta.llm.common import read
 from kohorta.llm.decontaminate import contamination
+from kohorta.llm.hnsw import nearest
 from kohorta.llm.html_text import extract_text
 from kohorta.llm.language import fold, language_id
 from kohorta.llm.licenses import license_scan
+from kohorta.llm.lm import lm_scores
 from kohorta.llm.near_dup import near_duplicates
 from kohorta.llm.packing import pack
 from kohorta.llm.token_files import token_counts
@@ -31,6 +33,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(configure(spark), sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth part of the documents (by crc32 of the id) is held out of learning."""
+    docs = read(configure(spark), sf_dir, "documents")
+    return lm_scores(docs, held_out=fold(F.col("doc_id"), 5) == 1)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth part of the documents (by crc32 of the id) is held out of learning."""
     docs = read(configure(spark), sf_dir, "documents")
@@ -50,6 +58,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(configure(spark), sf_dir, "documents"), vocabulary())
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose id is divisible by 50; candidates are all rows."""
+    return nearest(read(configure(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(configure(spark), sf_dir, "documents"), words=4)
 
@@ -70,8 +83,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_license_scan, op3_language_id, op4_packing, op5_token_counts, op7_near_duplicates, op8_warc_index,
-        op9_decontamination, op10_html_text,
+        op1_license_scan, op2_lm_scores, op3_language_id, op4_packing, op5_token_counts, op6_nearest_vectors,
+        op7_near_duplicates, op8_warc_index, op9_decontamination, op10_html_text,
     )
 }
 SQL = sql.SQL

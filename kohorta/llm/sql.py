@@ -18,7 +18,7 @@ runs AS (
   SELECT doc_id, unnest(CASE
     WHEN len(w) = 0 THEN []::VARCHAR[]
     WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), k -> array_to_string(list_slice(w, k, k + 3), ' ')) END) AS s
+    ELSE [array_to_string(list_slice(w, k, k + 3), ' ') for k in range(1, len(w) - 2)] END) AS s
   FROM words),
 shingles AS (SELECT DISTINCT doc_id, s FROM runs),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
@@ -51,7 +51,7 @@ WITH d AS (SELECT doc_id, {_words(_ALNUM)} AS w FROM documents),
 i AS (SELECT item_id, {_words(_ALNUM)} AS w FROM benchmark),
 item_windows AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS size,
-    unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), k -> array_to_string(list_slice(w, k, k + least(10, len(w)) - 1), ' '))) AS win
+    unnest([array_to_string(list_slice(w, k, k + least(10, len(w)) - 1), ' ') for k in range(1, len(w) - least(10, len(w)) + 2)]) AS win
   FROM i WHERE len(w) > 0),
 lengths AS (SELECT DISTINCT size FROM item_windows),
 doc_windows AS (
