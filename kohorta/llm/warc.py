@@ -1,8 +1,8 @@
 """WARC archives and a globally ordered capture index.
 
 Writing.  Every page becomes one record; Spark's text writer puts the record bytes, with the blank lines that end a
-WARC record as line separator, so archives are plain uncompressed WARC files of about ``archive_mb`` each, written
-under Spark's commit protocol.  Of pages with equal payloads of at least ``REVISIT_FROM`` bytes the one with the
+WARC record as line separator, so archives are WARC files of about ``archive_mb`` each (gzip over the whole file;
+offsets count bytes of the plain archive), written under Spark's commit protocol.  Of pages with equal payloads of at least ``REVISIT_FROM`` bytes the one with the
 smallest id is the response and the others revisit it.
 
 Reading.  Each archive is read whole (its size is bounded; a single larger page makes a larger archive), its records
@@ -18,6 +18,7 @@ is never a target, and revisits nothing.  Other columns of the input are ignored
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -85,12 +86,16 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write_archives(pages: DataFrame, path: str, archive_mb: int = 32, **columns: str) -> None:
-    """Archives of about ``archive_mb`` below ``path``; their number follows from the payload bytes."""
+    """Gzip archives below ``path``: one or more per task, cut at a number of records that makes about ``archive_mb``.
+
+    The records are written where the join with their groups leaves them, so pages are shuffled once at most.
+    """
     html = columns.get("html_col", "html")
-    total = pages.agg(F.sum(F.coalesce(F.octet_length(F.col(f"`{html}`")), F.lit(0)) + 700).alias("n")).first()["n"] or 0
-    n = max(1, -(-total // (archive_mb << 20)), pages.sparkSession.sparkContext.defaultParallelism)
-    out = records(pages, **columns).repartition(int(n), F.xxhash64("page_id"))
-    out.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).text(path)
+    size = F.coalesce(F.octet_length(F.col(f"`{html}`")), F.lit(0)) + 700
+    mean = pages.agg(F.avg(size).alias("b")).first()["b"] or 1
+    out = records(pages, **columns).select(F.col("record").cast("string").alias("value"))
+    most = max(1, int((archive_mb << 20) / mean))
+    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def url_key(url: str) -> str:
@@ -149,7 +154,7 @@ def read_runs(spark, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 name = batch.column(0)[k].as_py()
-                rows = sorted(captures(batch.column(1)[k].as_py()), key=_order)
+                rows = sorted(captures(gzip.decompress(batch.column(1)[k].as_py())), key=_order)
                 if not rows:
                     continue
                 columns = {n: [r[i] for r in rows] for i, n in enumerate(names)}
