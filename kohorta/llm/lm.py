@@ -1,9 +1,9 @@
 """Language-model scores of whole documents: a recurrent model over words next to the unigram base score.
 
 1. Counts of all training tokens (words between white space, A-Z lower-cased, then one end mark per document).
-2. Words that make up at least one ``SHARE``-th of the tokens - no more than ``SHARE`` words, whatever the corpus -
-   travel as a broadcast table; the counts of all other words meet the documents in a join on the word, and as each
-   of them is rare, no key of that join is hot.
+2. The most frequent words, ``FREQUENT`` at most whatever the corpus, travel as a broadcast table; the counts of all
+   other words meet the documents in a join on the word.  Each of them makes up less than one ``FREQUENT``-th of the
+   tokens (counts that share a logarithmic bin with the table's limit apart), so no key of that join is hot.
 3. The most frequent words are the model's head symbols; every other word belongs to a tail class by its last byte.
    Inside its class a tail word has probability (c + 0.5) / (n + 0.5 * (v + 1)) from the class's n tokens and v words,
    c being its count; one such share of 0.5 is left for unseen words.
@@ -32,7 +32,7 @@ from kohorta.llm import recurrent
 from kohorta.llm.common import column, map_batches, space_words, text_table
 from kohorta.session import settle
 
-SHARE = 1 << 16
+FREQUENT = 1 << 16
 ROUNDS = 3
 TAILS = 28
 TOKENS_HELD = 4_000_000  # a task trains and scores this many tokens at a time, in whole documents
@@ -65,13 +65,17 @@ def count_words(docs: DataFrame) -> DataFrame:
         )
 
     counts = docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    last = F.conv(F.hex(F.expr("substring(word, -1, 1)")), 16, 10).cast("int")
-    tail = F.when(last.between(97, 122), last - 97).when(last < 128, 26).otherwise(27)
-    return counts.withColumn("tail", tail)
+    return counts.withColumn("tail", _tail(F.col("word")))
+
+
+def _tail(word: Column) -> Column:
+    """``tail_class`` of a word's bytes."""
+    last = F.conv(F.hex(F.substring(word, -1, 1)), 16, 10).cast("int")
+    return F.when(last.between(97, 122), last - 97).when(last < 128, 26).otherwise(27)
 
 
 class Vocabulary:
-    """What the tasks need to know of the corpus; its size is bounded by ``SHARE``."""
+    """What the tasks need to know of the corpus; its size is bounded by ``FREQUENT``."""
 
     def __init__(self, tokens: int, types: int, ends: int, words: list[tuple[bytes, int]], tails: dict[int, tuple[int, int]]) -> None:
         """``words``: the frequent ones, most frequent first; ``tails``: tokens and words by class, of all words."""
@@ -103,36 +107,49 @@ class Vocabulary:
     def base_term(self, c: int) -> float:
         return float(np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1))))
 
-    def encode(self, text: bytes) -> tuple[np.ndarray, float, float, int, int, Counter]:
+    def encode(self, text: bytes) -> tuple[np.ndarray, float, float, int, int, bytes]:
         """Symbols, base and in-class log10 sums and known tokens of the frequent words, tokens, other words."""
         words = space_words(text)
         get = self.index.get
         found = np.array([get(w, -1) for w in words], np.int64)
         rare = np.flatnonzero(found < 0)
-        others = Counter([words[k] for k in rare.tolist()])
+        others = [words[k] for k in rare.tolist()]
         known = found[found >= 0] if len(rare) else found
         symbols = np.append(self.symbol[found] if len(found) else np.empty(0, np.int32), self.end).astype(np.uint16)
         if len(rare):
-            symbols[rare] = [self.head + tail_class(words[k]) for k in rare.tolist()]
+            symbols[rare] = [self.head + tail_class(w) for w in others]
         base = float(self.base[known].sum()) + self.base[self.end]
         n_known = int(self.seen[known].sum()) + int(self.seen[self.end])
-        return symbols, base, float(self.inside[known].sum()), n_known, len(words) + 1, others
+        return symbols, base, float(self.inside[known].sum()), n_known, len(words) + 1, b" ".join(others)
 
 
 def vocabulary(training: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """The bounded table and the counts of all words."""
+    """The bounded table and the counts of the words outside it."""
     counts = settle(count_words(training), "counts")
     ends = training.count()
     by_tail = {r["tail"]: (r["n"], r["v"]) for r in counts.groupBy("tail").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     tokens = ends + sum(n for n, _ in by_tail.values())
     types = sum(v for _, v in by_tail.values()) + (ends > 0)
-    frequent = counts.where(F.col("c") >= max(1, -(-tokens // SHARE))).orderBy(F.desc("c"), "word")
-    words = [(bytes(r["word"]), r["c"]) for r in frequent.select("word", "c").collect()]  # at most SHARE rows
-    return Vocabulary(tokens, types, ends, words, by_tail), counts
+    sizes = counts.groupBy(_bin().alias("bin")).count().orderBy(F.desc("bin")).collect()  # a few hundred rows
+    least, held = None, 0
+    for r in sizes:
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["bin"]
+    none = F.lit(False) if least is None else _bin() >= least
+    found = counts.where(none).select("word", "c").collect()  # at most FREQUENT rows
+    words = sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda w: (-w[1], w[0]))
+    return Vocabulary(tokens, types, ends, words, by_tail), counts.where(~none)
+
+
+def _bin() -> Column:
+    """Fine logarithmic bins of the counts."""
+    return F.floor(F.log("c") * 64)
 
 
 def encode(docs: DataFrame, vocab) -> DataFrame:
-    """One row per document: symbols (compressed), sums over frequent words, and the other words with their counts."""
+    """One row per document: symbols (compressed), sums over frequent words, and the other words between spaces."""
     table = docs.withColumn("row", F.monotonically_increasing_id())
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -147,28 +164,28 @@ def encode(docs: DataFrame, vocab) -> DataFrame:
             "inside": [r[2] for r in rows],
             "known": [r[3] for r in rows],
             "n_tokens": [r[4] for r in rows],
-            "others": [[{"w": w, "n": n, "t": tail_class(w)} for w, n in r[5].items()] for r in rows],
+            "others": [r[5] or None for r in rows],
         }
 
     return map_batches(
         table,
         run,
         "row long, doc_id long, held_out boolean, symbols binary, base double, inside double, known long, "
-        "n_tokens long, others array<struct<w: binary, n: int, t: int>>",
+        "n_tokens long, others binary",
     )
 
 
-def rare_sums(rows: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+def rare_sums(rows: DataFrame, rare: DataFrame, vocab: Vocabulary) -> DataFrame:
     """row, base, inside, known: sums over the words outside the frequent ones, by a join with their counts."""
-    rare = counts.where(F.col("c") < max(1, -(-vocab.tokens // SHARE))).select(F.col("word").alias("w"), "c")
-    words = rows.select("row", F.explode("others").alias("o")).select("row", "o.w", "o.n", "o.t")
-    joined = words.join(rare, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    below = F.element_at(F.array(*(F.lit(float(b)) for b in vocab.below)), F.col("t") + 1)
+    words = rows.where("others is not null").select("row", F.explode(F.split(F.col("others").cast("string"), " ")).alias("w"))
+    known = rare.select(F.col("word").cast("string").alias("w"), "c")
+    joined = words.join(known, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    below = F.element_at(F.array(*(F.lit(float(b)) for b in vocab.below)), _tail(F.col("w").cast("binary")) + 1)
     total = vocab.tokens + 0.5 * (vocab.types + 1)
     return joined.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / total)).alias("rare_base"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / below)).alias("rare_inside"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
+        F.sum(F.log10((F.col("c") + 0.5) / total)).alias("rare_base"),
+        F.sum(F.log10((F.col("c") + 0.5) / below)).alias("rare_inside"),
+        F.sum((F.col("c") > 0).cast("long")).alias("rare_known"),
     )
 
 
@@ -198,6 +215,7 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
     weights = recurrent.Model(vocab.frequency, vocab.end).flat
     share = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(rounds))
     known = rows.where(~F.col("held_out")).select("row", "symbols")
+    tasks = max(spark.sparkContext.defaultParallelism, known.rdd.getNumPartitions() // rounds)  # as much a task as in one round
     for k in range(rounds):
         now = spark.sparkContext.broadcast((vocab.frequency, vocab.end, weights))
         rate = recurrent.RATE * 0.6**k
@@ -213,7 +231,7 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
                 yield pa.RecordBatch.from_pydict({"tokens": [float(tokens)], "change": [change]}, schema=schema)
 
         schema = pa.schema([("tokens", pa.float64()), ("change", pa.list_(pa.float64()))])
-        learnt = known.where(share == k).mapInArrow(run, "tokens double, change array<double>")
+        learnt = known.where(share == k).coalesce(tasks).mapInArrow(run, "tokens double, change array<double>")
         sums = learnt.select("tokens", F.posexplode("change").alias("at", "v")).groupBy("at").agg(
             F.sum("v").alias("v"), F.sum("tokens").alias("n")
         )

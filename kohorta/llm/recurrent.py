@@ -11,7 +11,7 @@ import heapq
 
 import numpy as np
 
-HEAD = 1024
+HEAD = 512
 PER_CLASS = 32
 SIZE = 12  # of embeddings and of the state
 WINDOW = 32  # steps that gradients flow back
@@ -26,7 +26,7 @@ def lanes(docs: list[np.ndarray], most: int = MOST_LANES) -> tuple[np.ndarray, n
     (lane, first step).  A lane never holds part of a document, so its state is carried from window to window.
     """
     sizes = [len(d) for d in docs]
-    count = int(max(1, min(most, sum(sizes) // max(sizes), -(-sum(sizes) // (WINDOW * 8)))))
+    count = int(max(1, min(most, 2 * sum(sizes) // max(sizes), -(-sum(sizes) // (WINDOW * 8)))))
     heap = [(0, k) for k in range(count)]
     place: list[tuple[int, int]] = [(0, 0)] * len(docs)
     for d in sorted(range(len(docs)), key=lambda d: -sizes[d]):
@@ -163,16 +163,19 @@ class Model:
             return np.empty(0)
         symbols, starts, load, place = lanes(docs)
         inputs, table = self._inputs(symbols, starts), self._table()
-        out = np.zeros(symbols.shape)
+        owner = np.zeros(symbols.shape, np.int32)
+        for d, (k, at) in enumerate(place):
+            owner[at : at + len(docs[d]), k] = d
+        out = np.zeros(len(docs))
         state = np.zeros((symbols.shape[1], SIZE), np.float32)
         for lo in range(0, len(symbols), WINDOW):
             hi = min(lo + WINDOW, len(symbols))
             n = int((load > lo).sum())
             states, state = self._steps(table, inputs[lo:hi, :n], starts[lo:hi, :n], state[:n], None)
             live = np.arange(lo, hi)[:, None] < load[:n]
-            out[lo:hi, :n][live], _ = self._output(states[live], symbols[lo:hi, :n][live], None)
-        sums = np.concatenate((np.zeros((1, out.shape[1])), np.cumsum(out, axis=0)))
-        return np.array([sums[at + len(d), k] - sums[at, k] for d, (k, at) in zip(docs, place, strict=True)])
+            log_p, _ = self._output(states[live], symbols[lo:hi, :n][live], None)
+            out += np.bincount(owner[lo:hi, :n][live], log_p, len(docs))
+        return out
 
     def train(self, docs: list[np.ndarray], rate: float = RATE) -> None:
         """One pass over the documents, one Adam step per window."""
