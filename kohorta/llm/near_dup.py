@@ -11,9 +11,12 @@ probability (1 - 0.8**4)**32, about 5e-8.  Candidates are confirmed on the full
 Work on a group of similar texts stays linear.  Equal sets form one class with one representative.  Inside a band
 bucket, representatives are first compared with one hub; once the links found are joined to components, only
 buckets that still hold several components are compared further: in all pairs across components where these are few
-for the bucket's size (sketches that agree in fewer than ``ALIKE`` coordinates need no look at the texts), else with further hubs, then after splitting by a second (third) band that members must share
-as well (a pair of similarity 0.8 shares fewer than three of the 32 bands with probability 1.2e-5).  What agrees in
-``DEEP`` bands and is still large is compared hub by hub until nothing is left to compare.  No bucket is cut off.
+for the bucket's size (sketches that agree in fewer than ``ALIKE`` coordinates need no look at the texts), else with
+a further hub, then after splitting by a second (third) band that members must share as well (a pair of similarity
+0.8 shares fewer than three of the 32 bands with probability 1.2e-5).  What agrees in ``DEEP`` bands and is still
+large is compared hub by hub until nothing is left to compare.  No bucket is cut off.  A task that confirms pairs
+remembers the sets it made, up to ``REMEMBERED``, since most pairs of a group meet the same texts again; components
+carry over from round to round, so that a round adds only the links that cross them.
 
 Defined results: null text is empty; an empty set is linked with nothing and its component is the document itself.
 Rows that repeat a doc_id count as one node.  A null doc_id stays alone (component null, kept).  Other columns of
@@ -37,8 +40,9 @@ BINS = 128
 ROWS = 4
 ALIKE = 76  # coordinates that two sketches share at least; at similarity 0.8 fewer are 5.8 standard deviations off
 PAIRS_A_ROW = 256  # a bucket with no more pairs across components than this per member is compared in full
-HUBS = 3  # hubs tried at each depth before a bucket is split
+HUBS = 2  # hubs tried at each depth before a bucket is split
 DEEP = 3  # bands that the members of a bucket share at the deepest split
+REMEMBERED = 1 << 21  # 8-byte words of texts and sets that a task keeps while it confirms pairs
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(BINS - 1)
 
@@ -95,17 +99,28 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, None
+        sets: dict[bytes, np.ndarray] = {}
+        held = 0
+
+        def shingles(text: bytes) -> np.ndarray:
+            nonlocal held
+            known = sets.get(text)
+            if known is None:
+                if held > REMEMBERED:
+                    sets.clear()
+                    held = 0
+                known = sets[text] = shingle_set(space_words(text), words)
+                held += len(known) + len(text) // 8
+            return known
+
         for batch in batches:
             linked = []
             for ta, tb in zip(column(batch, "text_a"), column(batch, "text_b"), strict=True):
-                if ta != hub:
-                    hub, hub_set = ta, shingle_set(space_words(ta), words)
-                other = shingle_set(space_words(tb), words)
-                least, most = sorted((len(hub_set), len(other)))
+                one, other = shingles(ta), shingles(tb)
+                least, most = sorted((len(one), len(other)))
                 both = 0
                 if 100 * least >= percent * most:
-                    both = len(np.intersect1d(hub_set, other, assume_unique=True))
+                    both = len(np.intersect1d(one, other, assume_unique=True))
                 linked.append(100 * both >= percent * (least + most - both))
             keep = pa.array(linked, pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
@@ -203,20 +218,32 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(members.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
 
 
+def _rooted(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    side = lambda n, r: comps.select(F.col("node").alias(n), F.col("root").alias(r))
+    known = pairs.join(side("a", "ra"), "a", "left").join(side("b", "rb"), "b", "left")
+    return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
+
+
 def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that join the representatives (node, bands) to the right components."""
+    """node, root of the representatives (node, bands, short) that confirmed links join."""
     members = settle(
         _shared(bands.select("node", F.explode("bands").alias("key"))).withColumn("last", F.col("key")), "bucket"
     )
     held = texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     held = settle(held, "candidate-texts")
+
+    def join_up(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        found = settle(_rooted(confirm(pairs, held, words, percent), comps), "links")
+        if found.isEmpty():
+            return comps
+        return components(found.unionAll(comps.select(F.col("node").alias("a"), F.col("root").alias("b"))), "roots")
+
     tried = settle(_hub_pairs(members, 0), "tried")
-    found = settle(confirm(tried, held, words, percent), "links")
+    comps = components(confirm(tried, held, words, percent), "roots")
     depth, seed, hubs = 1, 0, 1
-    while True:
-        left = settle(_open(members, components(found, "roots")), "open")
-        if left.isEmpty():
-            return found
+    while not members.isEmpty():
+        left = settle(_open(members, comps), "open")
         small = F.col("crossing") <= PAIRS_A_ROW * F.col("n")
         wanted = _across(left.where(small).join(bands.select("node", "short"), "node"))
         members = left.where(~small).select("node", "key", "last")
@@ -232,7 +259,8 @@ def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
             members = settle(_shared(_deeper(members, bands)), "deeper")
         fresh = settle(wanted.join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.unionAll(fresh)
-        found = found.unionAll(settle(confirm(fresh, held, words, percent), "links"))
+        comps = join_up(fresh, comps)
+    return comps
 
 
 def near_duplicates(
@@ -255,8 +283,9 @@ def near_duplicates(
         F.col("doc_id").alias("a"), F.col("node").alias("b")
     )
     tied = settle(tied.where("a <> b").distinct(), "tied")
-    found = links(bands, texts, words, percent).unionAll(tied)
-    comps = components(found, "final")
+    comps = links(bands, texts, words, percent)
+    if not tied.isEmpty():
+        comps = components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(tied), "final")
     placed = classes.select("digest", "node").join(comps, "node", "left")
     placed = placed.select("digest", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
