@@ -11,7 +11,7 @@ probability (1 - 0.8**4)**32, about 5e-8.  Candidates are confirmed on the full
 Work on a group of similar texts stays linear.  Equal sets form one class with one representative.  Inside a band
 bucket, representatives are first compared with one hub; once the links found are joined to components, only
 buckets that still hold several components are compared further: in all pairs across components where these are few
-for the bucket's size (sketches that agree in fewer than ``ALIKE`` coordinates need no look at the texts), else with
+for the bucket's size (finer sketches that agree in fewer than ``ALIKE`` coordinates need no look at the texts), else with
 a further hub, then after splitting by a second (third) band that members must share as well (a pair of similarity
 0.8 shares fewer than three of the 32 bands with probability 1.2e-5).  What agrees in ``DEEP`` bands and is still
 large is compared hub by hub until nothing is left to compare.  No bucket is cut off.  A task that confirms pairs
@@ -38,7 +38,8 @@ from kohorta.session import settle
 
 BINS = 128
 ROWS = 4
-ALIKE = 76  # coordinates that two sketches share at least; at similarity 0.8 fewer are 5.8 standard deviations off
+FINE = 4  # sketches of BINS coordinates, 8 bits each, by which the pairs of a bucket are sieved
+ALIKE = 371  # of the FINE * BINS coordinates shared; at similarity 0.8 fewer are 4.3 standard deviations off, 1e-5
 PAIRS_A_ROW = 256  # a bucket with no more pairs across components than this per member is compared in full
 HUBS = 2  # hubs tried at each depth before a bucket is split
 DEEP = 3  # bands that the members of a bucket share at the deepest split
@@ -77,7 +78,7 @@ def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and sketch in 16 bits a coordinate (null if empty)."""
+    """doc_id, n_shingles, digest of the set and band keys (null if empty)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(space_words(t), words) for t in column(batch, "text")]
@@ -87,10 +88,24 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             "n_shingles": [len(s) for s in sets],
             "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
             "bands": [None if v is None else band_keys(v) for v in drawn],
-            "short": [None if v is None else mix(v).astype("<u2").tobytes() for v in drawn],
         }
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>, short binary")
+    return map_batches(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+
+
+def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
+    """node, short: ``FINE`` independent sketches per document, null where rows of one doc_id differ."""
+
+    def short(text: bytes) -> bytes | None:
+        found = shingle_set(space_words(text), words)
+        seeds = mix(np.arange(1, FINE + 1, dtype=np.uint64))
+        return b"".join(mix(sketch(mix(found ^ seed))).astype(np.uint8).tobytes() for seed in seeds) if len(found) else None
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"node": column(batch, "doc_id"), "short": [short(t) for t in column(batch, "text")]}
+
+    drawn = map_batches(texts, run, "node long, short binary")
+    return drawn.groupBy("node").agg(F.when(F.min("short") == F.max("short"), F.min("short")).alias("short"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -195,7 +210,7 @@ def _across(members: DataFrame) -> DataFrame:
             known = np.array([a is not None and b is not None for a, b in zip(*sides, strict=True)], bool)
             keep = ~known
             if known.any():
-                x, y = (np.frombuffer(b"".join([v for v, k in zip(s, known, strict=True) if k]), "<u2").reshape(-1, BINS) for s in sides)
+                x, y = (np.frombuffer(b"".join([v for v, k in zip(s, known, strict=True) if k]), np.uint8).reshape(-1, FINE * BINS) for s in sides)
                 keep[known] = (x == y).sum(axis=1) >= ALIKE
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -226,12 +241,13 @@ def _rooted(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, root of the representatives (node, bands, short) that confirmed links join."""
+    """node, root of the representatives (node, bands) that confirmed links join."""
     members = settle(
         _shared(bands.select("node", F.explode("bands").alias("key"))).withColumn("last", F.col("key")), "bucket"
     )
     held = texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     held = settle(held, "candidate-texts")
+    fine = None
 
     def join_up(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         found = settle(_rooted(confirm(pairs, held, words, percent), comps), "links")
@@ -245,7 +261,9 @@ def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
     while not members.isEmpty():
         left = settle(_open(members, comps), "open")
         small = F.col("crossing") <= PAIRS_A_ROW * F.col("n")
-        wanted = _across(left.where(small).join(bands.select("node", "short"), "node"))
+        if fine is None:
+            fine = settle(fine_sketches(held, words), "fine")
+        wanted = _across(left.where(small).join(fine, "node"))
         members = left.where(~small).select("node", "key", "last")
         if hubs < HUBS or depth == DEEP:
             seed, hubs = seed + 1, hubs + 1
@@ -271,12 +289,9 @@ def near_duplicates(
     rows = settle(signatures(table, words), "signatures")
     real = rows.where("digest is not null and doc_id is not null")
     classes = settle(
-        real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.min("short").alias("short")), "classes"
-    )
-    bands = classes.groupBy("node").agg(
-        F.flatten(F.collect_set("bands")).alias("bands"), F.when(F.count(F.lit(1)) == 1, F.min("short")).alias("short")
+        real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "classes"
     )
-    bands = settle(bands, "bands")
+    bands = settle(classes.groupBy("node").agg(F.flatten(F.collect_set("bands")).alias("bands")), "bands")
     texts = table.join(bands.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     repeated = real.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("doc_id")
     tied = real.join(repeated, "doc_id", "left_semi").join(classes, "digest").select(
