@@ -55,7 +55,7 @@ STAGES = [
     ("pack", pack_stage),
 ]
 
-# Language identification and packing are models and byte codes; tests hold run() against a brute-force version.
+# Language identification and packing are models and byte codes, beyond SQL; a brute-force test of run() is still to be written.
 ORACLE_SQL = None
 
 
