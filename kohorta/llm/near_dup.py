@@ -94,18 +94,19 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
-    """node, short: ``FINE`` independent sketches per document, null where rows of one doc_id differ."""
+    """node, short: ``FINE`` independent sketches per document, size: of its set; null where rows of one doc_id differ."""
 
-    def short(text: bytes) -> bytes | None:
-        found = shingle_set(space_words(text), words)
+    def short(found: np.ndarray) -> bytes | None:
         seeds = mix(np.arange(1, FINE + 1, dtype=np.uint64))
         return b"".join(mix(sketch(mix(found ^ seed))).astype(np.uint8).tobytes() for seed in seeds) if len(found) else None
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"node": column(batch, "doc_id"), "short": [short(t) for t in column(batch, "text")]}
+        sets = [shingle_set(space_words(t), words) for t in column(batch, "text")]
+        return {"node": column(batch, "doc_id"), "short": [short(s) for s in sets], "size": [len(s) for s in sets]}
 
-    drawn = map_batches(texts, run, "node long, short binary")
-    return drawn.groupBy("node").agg(F.when(F.min("short") == F.max("short"), F.min("short")).alias("short"))
+    drawn = map_batches(texts, run, "node long, short binary, size long")
+    same = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
+    return drawn.groupBy("node").agg(same("short"), same("size"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -186,9 +187,14 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members with their component, of buckets that hold several; n rows, ``crossing`` pairs across components."""
-    known = members.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members with their component as it is now."""
+    known = members.select("key", "node", "path").join(comps, "node", "left")
+    return known.withColumn("root", F.coalesce("root", "node"))
+
+
+def _open(known: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components; n rows, ``crossing`` pairs across components."""
     parts = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     sizes = parts.groupBy("key").agg(
         F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max_by("root", F.struct("c", "root")).alias("top")
@@ -197,12 +203,21 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     return known.join(wide, "key")
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components whose sketches agree in ``ALIKE`` coordinates; each has a member outside the
-    bucket's largest component."""
-    minor = members.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("short").alias("sa"))
-    other = members.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("short").alias("sb"))
-    both = minor.join(other, "key").where("ra <> rb").select("a", "b", "sa", "sb")
+    bucket's largest component.
+
+    A pair whose set sizes already rule the link out is not formed, and of the buckets of one depth that two members
+    share only that of their least bands forms the pair (``earlier``: a member's other bands below the bucket's last).
+    """
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("node", "root", "short", "size", "earlier")]
+    minor = members.where("root <> top").select("key", *side("a"))
+    other = members.select("key", *side("b"))
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    sized = F.coalesce((100 * size_a >= percent * size_b) & (100 * size_b >= percent * size_a), F.lit(True))
+    apart = (F.col("root_a") != F.col("root_b")) & sized & ~F.arrays_overlap("earlier_a", "earlier_b")
+    both = minor.alias("l").join(other.alias("r"), (F.col("l.key") == F.col("r.key")) & apart)
+    both = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("short_a").alias("sa"), F.col("short_b").alias("sb"))
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,12 +235,14 @@ def _across(members: DataFrame) -> DataFrame:
 def _deeper(members: DataFrame, bands: DataFrame) -> DataFrame:
     """Members of large buckets, dealt to sub-buckets by each band they may share besides.
 
-    Bands join in ascending order of their key, so each set of shared bands names one sub-bucket.
+    Bands join in ascending order of their key, so each set of shared bands (``path``) names one sub-bucket.
     """
+    last = F.element_at("path", -1)
     more = members.join(bands, "node").select(
-        "node", "key", F.explode(F.filter("bands", lambda b: b > F.col("last"))).alias("next")
+        "node", "key", "path", "root", F.explode(F.filter("bands", lambda b: b > last)).alias("next")
     )
-    return more.select("node", F.xxhash64("key", "next").alias("key"), F.col("next").alias("last"))
+    path = F.concat("path", F.array("next")).alias("path")
+    return more.select(F.xxhash64("key", "next").alias("key"), "node", path, "root")
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -243,7 +260,7 @@ def _rooted(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """node, root of the representatives (node, bands) that confirmed links join."""
     members = settle(
-        _shared(bands.select("node", F.explode("bands").alias("key"))).withColumn("last", F.col("key")), "bucket"
+        _shared(bands.select("node", F.explode("bands").alias("key"))).withColumn("path", F.array("key")), "bucket"
     )
     held = texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     held = settle(held, "candidate-texts")
@@ -258,23 +275,24 @@ def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
     tried = settle(_hub_pairs(members, 0), "tried")
     comps = components(confirm(tried, held, words, percent), "roots")
     depth, seed, hubs = 1, 0, 1
+    small = F.col("crossing") <= PAIRS_A_ROW * F.col("n")
     while not members.isEmpty():
-        left = settle(_open(members, comps), "open")
-        small = F.col("crossing") <= PAIRS_A_ROW * F.col("n")
-        if fine is None:
-            fine = settle(fine_sketches(held, words), "fine")
-        wanted = _across(left.where(small).join(fine, "node"))
-        members = left.where(~small).select("node", "key", "last")
-        if hubs < HUBS or depth == DEEP:
-            seed, hubs = seed + 1, hubs + 1
-            wanted = wanted.unionAll(_hub_pairs(members, seed)).distinct()
-            if depth == DEEP:  # a hub that was compared with all of its bucket leaves it
-                order = F.struct(F.xxhash64("key", "node", F.lit(seed)).alias("o"), F.col("node"))
-                done = members.groupBy("key").agg(F.min(order).getField("node").alias("node"))
-                members = members.join(done, ["key", "node"], "left_anti")
-        else:
+        left = settle(_open(_placed(members, comps)), "open")
+        near, members = left.where(small), left.where(~small)
+        if hubs >= HUBS and depth < DEEP:
             depth, hubs = depth + 1, 0
-            members = settle(_shared(_deeper(members, bands)), "deeper")
+            left = settle(_open(_deeper(members, bands)), "deeper")
+            near, members = near.unionByName(left.where(small)), left.where(~small)
+        if fine is None:
+            fine = settle(fine_sketches(held, words).join(bands, "node"), "fine")
+        lower = F.filter("bands", lambda b: (b < F.element_at("path", -1)) & ~F.array_contains("path", b))
+        near = near.join(fine, "node").withColumn("earlier", lower).drop("bands", "path")
+        seed, hubs = seed + 1, hubs + 1
+        wanted = _across(near, percent).unionAll(_hub_pairs(members, seed)).distinct()
+        if depth == DEEP:  # a hub that was compared with all of its bucket leaves it
+            order = F.struct(F.xxhash64("key", "node", F.lit(seed)).alias("o"), F.col("node"))
+            done = members.groupBy("key").agg(F.min(order).getField("node").alias("node"))
+            members = members.join(done, ["key", "node"], "left_anti")
         fresh = settle(wanted.join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.unionAll(fresh)
         comps = join_up(fresh, comps)
