@@ -1,12 +1,15 @@
 """Token counts of flat, unindexed token files by a separator scan.
 
-A token file is nothing but little-endian uint32 ids: vocabulary ids plus ``SHIFT``, an end id after each document, no
-header and no index.  ``write_token_files`` lets Spark's text writer put them down: a row is the bytes of a document's
-ids, the line separator is the four bytes of the end id.  ``scan_token_files`` reads files in blocks of ``BLOCK`` ids,
+A token file is nothing but little-endian ids: vocabulary ids plus ``SHIFT``, an end id after each document, no
+header and no index.  Ids take two bytes where the vocabulary fits, else four (``id_width``).  ``write_token_files``
+lets Spark's text writer put them down: a row is the bytes of a document's ids, the line separator is the bytes of the
+end id.  Documents are dealt to files by a hash of id and text and stand there in the order of both, so which document
+stands where follows from the table alone.  ``scan_token_files`` reads files in blocks of ``BLOCK`` ids,
 finds the end ids of each block with one vectorised comparison at id boundaries, and stitches documents that cross
 blocks by a prefix scan over one summary row per block: ids left open by the blocks before it.
 
-Files are of about ``file_mb`` each; Spark's binary reader takes files of up to 2 GB.
+Files hold about ``file_mb`` of text each; Spark's binary reader takes files of up to 2 GB.  Rows equal in id and text
+share a file.
 
 Defined results: an empty document is 0 ids; ids after the last end id of a file are a document of their own with
 ``complete`` false; bytes after the last whole id are an error.  Null texts are empty, repeated rows are written and
@@ -27,44 +30,50 @@ from kohorta.session import scratch_path, settle
 SHIFT = 2  # 0 is padding, 1 ends a document
 END = 1
 BLOCK = 1 << 16
-_END_BYTES = "\x01\x00\x00\x00"
+
+
+def id_width(vocabulary: str) -> int:
+    """Bytes of an id: 2 if all ids of the vocabulary, shifted, are below 65536, else 4."""
+    return 2 if word_ids(vocabulary).model.get_vocab_size() + SHIFT <= 1 << 16 else 4
 
 
 def write_token_files(
     docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", file_mb: int = 32
 ) -> DataFrame:
     """Write the files; returns file_no, ordinal, doc_id: which document stands where."""
-    table = text_table(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    width = id_width(vocabulary)
+    kind = np.dtype(f"<u{width}")
+    table = text_table(docs, id_col, text_col)
+    total = table.agg(F.sum(F.length("text") + width)).first()[0] or 0
+    files = max(1, -(-total // (file_mb << 20)))
+    # rows alike in both are the same document or differ in nothing that counts here
+    table = table.withColumn("print", F.xxhash64("text"))
+    file_no = F.pmod(F.xxhash64("doc_id", "print"), F.lit(files)).cast("int").alias("file_no")
+    table = table.select(file_no, "doc_id", "print", "text")
 
     def run(batch: pa.RecordBatch) -> dict:
         ids = word_ids(vocabulary).ids(column(batch, "text"))
-        return {
-            "row": column(batch, "row"),
-            "doc_id": column(batch, "doc_id"),
-            "n": [len(i) for i in ids],
-            "ids": [(i + np.uint32(SHIFT)).astype("<u4").tobytes() for i in ids],
+        return {n: column(batch, n) for n in ("file_no", "doc_id", "print")} | {
+            "ids": [(i + np.uint32(SHIFT)).astype(kind).tobytes() for i in ids]
         }
 
-    rows = settle(map_batches(table, run, "row long, doc_id long, n long, ids binary"), "ids")
-    total = rows.agg(F.sum(4 * F.col("n") + 4).alias("b")).first()["b"] or 0
-    files = max(1, -(-total // (file_mb << 20)))
-    file_no = F.pmod(F.xxhash64("row"), F.lit(files)).cast("int").alias("file_no")
-    laid = rows.select(file_no, "row", F.col("ids").cast("string").alias("value"))
-    laid = laid.repartition(int(files), "file_no").sortWithinPartitions("file_no", "row")
-    laid.select("file_no", "value").write.partitionBy("file_no").option("lineSep", _END_BYTES).text(path)
-    order = Window.partitionBy("file_no").orderBy("row")
-    return rows.select(file_no, "row", "doc_id").select(
+    laid = map_batches(table, run, "file_no int, doc_id long, print long, ids binary")
+    laid = laid.repartition(int(files), "file_no").sortWithinPartitions("file_no", "doc_id", "print")
+    end = np.array([END], kind).tobytes().decode("ascii")
+    laid.select("file_no", F.col("ids").cast("string").alias("value")).write.partitionBy("file_no").option("lineSep", end).text(path)
+    order = Window.partitionBy("file_no").orderBy("doc_id", "print")
+    return table.select(
         "file_no", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "doc_id"
     )
 
 
-def scan_token_files(spark: SparkSession, path: str, block: int = BLOCK, end: int = END) -> DataFrame:
+def scan_token_files(spark: SparkSession, path: str, block: int = BLOCK, end: int = END, width: int = 4) -> DataFrame:
     """file_no, ordinal, n_tokens, first_token (its place in the file), complete for every document of the files.
 
-    Files lie in folders ``file_no=k``.
+    Files lie in folders ``file_no=k`` and hold ids of ``width`` bytes.
     """
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    size = 4 * block
+    size, kind = width * block, f"<u{width}"
     places = F.expr(f"explode(sequence(0L, length - 1, {size}L))")
     blocks = files.select("file_no", "length", "content", places.alias("at"))
     blocks = blocks.select(
@@ -74,7 +83,7 @@ def scan_token_files(spark: SparkSession, path: str, block: int = BLOCK, end: in
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("ids", "ends", "head", "tail", "inner", "starts")}
         for data in column(batch, "bytes"):
-            ids = np.frombuffer(data, "<u4")
+            ids = np.frombuffer(data, kind)
             at = np.flatnonzero(ids == end)
             some = len(at) > 0
             row = (len(ids), len(at), int(at[0]) if some else len(ids), len(ids) - 1 - int(at[-1]) if some else len(ids))
@@ -140,5 +149,5 @@ def token_counts(
     manifest = write_token_files(docs, path, vocabulary, id_col, text_col, file_mb)
     if manifest.isEmpty():
         return manifest.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "file_no", "ordinal", F.lit(0).cast("long").alias("first_token"))
-    found = scan_token_files(spark, path)
+    found = scan_token_files(spark, path, width=id_width(vocabulary))
     return found.join(manifest, ["file_no", "ordinal"]).select("doc_id", "n_tokens", "file_no", "ordinal", "first_token")
