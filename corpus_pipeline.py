@@ -55,7 +55,7 @@ STAGES = [
     ("pack", pack_stage),
 ]
 
-# Language identification and packing are models and byte codes, beyond SQL; a brute-force test of run() is still to be written.
+# Language identification and packing are models and byte codes, beyond SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 

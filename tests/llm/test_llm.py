@@ -207,6 +207,12 @@ def test_tokens_packing_and_files_round_trip(spark, docs, texts):
     assert sorted(sequences) == list(range(len(sequences))) and sum(s < 64 for s in sizes) <= 1
     counts = token_counts(docs, VOCABULARY).collect()
     assert {r.doc_id: r.n_tokens for r in counts} == {i: len(x) for i, x in want.items()}
+    odd = docs.select("doc_id", "text").unionAll(docs.select("doc_id", "text")).unionAll(docs.selectExpr("cast(null as long)", "text"))
+    counts = Counter((r.doc_id, r.n_tokens) for r in token_counts(odd, VOCABULARY).collect())
+    expected = Counter({(i, len(x)): 2 for i, x in want.items()})
+    for x in want.values():
+        expected[None, len(x)] += 1
+    assert counts == expected
 
 
 def test_separator_scan_stitches_blocks(spark, tmp_path):
@@ -224,6 +230,10 @@ def test_separator_scan_stitches_blocks(spark, tmp_path):
     for block in (3, 64, 5000):
         got = scan_token_files(spark, str(tmp_path), block=block).orderBy("ordinal").collect()
         assert [(r.n_tokens, r.first_token, r.complete) for r in got] == want
+    short = np.array([min(x, 65535) for x in ids], "<u2")
+    (tmp_path / "file_no=0" / "part").write_bytes(short.tobytes())
+    got = scan_token_files(spark, str(tmp_path), block=64, width=2).orderBy("ordinal").collect()
+    assert [(r.n_tokens, r.first_token, r.complete) for r in got] == want
 
 
 def test_hilbert_is_a_walk_through_all_cells():
@@ -309,3 +319,57 @@ def test_empty_tables(spark, empty):
         contamination(empty, bench), extract_text(pages), decontaminate(empty, bench),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_pipeline_matches_brute_force(spark, docs, texts, tmp_path):
+    """Every stage of run() against a plain version of what it must keep, then the packed pieces id by id."""
+    import corpus_pipeline
+
+    item = " ".join(texts[9].split()[20:60])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", item), ("b", None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = [i for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")]
+    sets = {}
+    for i in kept:
+        w = texts[i].encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in kept}
+    for _ in kept:  # least reachable id, spread until nothing changes
+        before = dict(root)
+        for a, b in itertools.combinations(kept, 2):
+            if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    single = [i for i in kept if root[i] == i]
+    rule = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = {tuple(item.split()[k : k + 10]) for k in range(31)}
+    clean = []
+    for i in single:
+        w = rule.findall(texts[i].translate({c: chr(c + 32) for c in range(65, 91)}))
+        if not any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9)):
+            clean.append(i)
+    assert len(kept) > len(single) > len(clean) > 5
+    stage = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for (_, step), want in zip(corpus_pipeline.STAGES, (kept, single, clean), strict=False):
+        out = step(spark, stage, str(tmp_path))
+        assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == want
+        stage = docs.where(docs.doc_id.isin(want))
+    model = WordIds(VOCABULARY).model
+    pieces, ends = {i: {} for i in clean}, {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[r.doc_id][r.start] = r
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, parts in pieces.items():
+        ids, at = [*model.encode(texts[i], add_special_tokens=False).ids, 1], 0
+        for start in sorted(parts):
+            r = parts[start]
+            assert start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[start : start + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for places in ends.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 2048
+    assert sum(sum(n for _, n in places) < 2048 for places in ends.values()) <= 1
