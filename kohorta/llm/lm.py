@@ -80,7 +80,7 @@ class Vocabulary:
     def __init__(self, tokens: int, types: int, ends: int, words: list[tuple[bytes, int]], tails: dict[int, tuple[int, int]]) -> None:
         """``words``: the frequent ones, most frequent first; ``tails``: tokens and words by class, of all words."""
         self.tokens, self.types, self.ends = tokens, types, ends
-        n_head = recurrent.HEAD - 1
+        n_head = recurrent.head_size(types) - 1
         head = sorted([*words[:n_head], (None, ends)], key=lambda w: (-w[1], w[0] or b""))
         self.end = next(k for k, (w, _) in enumerate(head) if w is None)
         self.index: dict[bytes, int] = {w: k for k, (w, _) in enumerate(head) if w is not None}

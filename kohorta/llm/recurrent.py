@@ -1,22 +1,30 @@
 """A small gated recurrent language model in numpy: truncated backpropagation, class-factored softmax.
 
-Symbols are the frequent words and the end mark (``HEAD`` at most, ordered by count, ``PER_CLASS`` to a class) and one
-symbol per tail class.  P(symbol | state) = P(class | state) * P(symbol in class | state); a tail class has one symbol.
+Symbols are the frequent words and the end mark (``head_size`` at most, ordered by count, ``PER_CLASS`` or more to a
+class) and one symbol per tail class.  P(symbol | state) = P(class | state) * P(symbol in class | state); a tail class has one symbol.
 The biases start at the corpus's log frequencies, so an untrained model is the unigram model.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
-HEAD = 512
+HEAD = 1024  # head symbols of a small vocabulary
+MOST_HEAD = 1 << 15  # symbols are kept in 16 bits
 PER_CLASS = 32
 SIZE = 12  # of embeddings and of the state
 WINDOW = 32  # steps that gradients flow back
 MOST_LANES = 512
 RATE = 0.02
+BLOCK = 2048  # targets whose class probabilities are held at a time, to stay in cache
+
+
+def head_size(types: int) -> int:
+    """Head symbols for a corpus of ``types`` distinct words: ``HEAD``, or the square root of a large vocabulary."""
+    return min(max(HEAD, math.isqrt(types)), MOST_HEAD)
 
 
 def lanes(docs: list[np.ndarray], most: int = MOST_LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -56,12 +64,13 @@ class Model:
         self.end, self.tails = end, tails
         self.symbols = len(frequency)
         self.head = self.symbols - tails
-        self.head_classes = -(-self.head // PER_CLASS)
+        self.per_class = per_class = max(PER_CLASS, math.isqrt(self.head))
+        self.head_classes = -(-self.head // per_class)
         self.classes = self.head_classes + tails
         shapes = {
             "embed": (self.symbols, SIZE), "into": (SIZE, 3 * SIZE), "back": (SIZE, 3 * SIZE), "gate": (3 * SIZE,),
             "to_class": (SIZE, self.classes), "class_bias": (self.classes,),
-            "to_word": (self.head_classes, SIZE, PER_CLASS), "word_bias": (self.head_classes, PER_CLASS),
+            "to_word": (self.head_classes, SIZE, per_class), "word_bias": (self.head_classes, per_class),
         }
         self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), np.float32)
         self.part: dict[str, np.ndarray] = {}
@@ -77,7 +86,7 @@ class Model:
         else:
             self._start(frequency)
         place = np.arange(self.symbols)
-        self.class_of = np.where(place < self.head, place // PER_CLASS, place - self.head + self.head_classes)
+        self.class_of = np.where(place < self.head, place // per_class, place - self.head + self.head_classes)
 
     def _start(self, frequency: np.ndarray) -> None:
         rng = np.random.default_rng(17)
@@ -86,9 +95,9 @@ class Model:
         for name in ("to_class", "to_word"):
             self.part[name][:] = rng.normal(0, 0.02, self.part[name].shape)
         self.part["gate"][SIZE : 2 * SIZE] = 1.0  # keep most of the state at first
-        words = np.full(self.head_classes * PER_CLASS, 1e-30)
+        words = np.full(self.head_classes * self.per_class, 1e-30)
         words[: self.head] = frequency[: self.head]
-        words = words.reshape(self.head_classes, PER_CLASS)
+        words = words.reshape(self.head_classes, self.per_class)
         self.part["word_bias"][:] = np.maximum(np.log(words), -60)
         self.part["class_bias"][:] = np.log(np.concatenate((words.sum(axis=1), frequency[self.head :])))
 
@@ -114,35 +123,42 @@ class Model:
 
     def _output(self, states: np.ndarray, targets: np.ndarray, grad: dict | None):
         """log P of each target, and the gradient at the states."""
-        at = np.arange(len(targets))
         cls = self.class_of[targets]
-        logits = states @ self.part["to_class"] + self.part["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1, keepdims=True)
-        log_p = (logits[at, cls] - np.log(total[:, 0])).astype(np.float64)
-        to_state = None
-        if grad is not None:
-            p /= total
-            p[at, cls] -= 1
-            grad["to_class"] += states.T @ p
-            grad["class_bias"] += p.sum(axis=0)
-            to_state = p @ self.part["to_class"].T
+        log_p = np.empty(len(targets))
+        to_state = None if grad is None else np.empty_like(states)
+        for lo in range(0, len(targets), BLOCK):
+            h, c = states[lo : lo + BLOCK], cls[lo : lo + BLOCK]
+            at = np.arange(len(c))
+            logits = h @ self.part["to_class"]
+            logits += self.part["class_bias"]
+            logits -= logits.max(axis=1, keepdims=True)
+            own = logits[at, c]
+            p = np.exp(logits, out=logits)
+            total = p @ np.ones(self.classes, np.float32)
+            log_p[lo : lo + BLOCK] = own - np.log(total)
+            if grad is not None:
+                p /= total[:, None]
+                p[at, c] -= 1
+                grad["to_class"] += h.T @ p
+                grad["class_bias"] += p.sum(axis=0)
+                to_state[lo : lo + BLOCK] = p @ self.part["to_class"].T
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.head_classes + 1))
         for c in range(self.head_classes):
             rows = order[edges[c] : edges[c + 1]]
             if not len(rows):
                 continue
-            h, word = states[rows], targets[rows] - c * PER_CLASS
-            logits = h @ self.part["to_word"][c] + self.part["word_bias"][c]
+            h, word = states[rows], targets[rows] - c * self.per_class
+            logits = h @ self.part["to_word"][c]
+            logits += self.part["word_bias"][c]
             logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(axis=1, keepdims=True)
             k = np.arange(len(rows))
-            log_p[rows] += logits[k, word] - np.log(total[:, 0])
+            own = logits[k, word]
+            p = np.exp(logits, out=logits)
+            total = p @ np.ones(self.per_class, np.float32)
+            log_p[rows] += own - np.log(total)
             if grad is not None:
-                p /= total
+                p /= total[:, None]
                 p[k, word] -= 1
                 grad["to_word"][c] += h.T @ p
                 grad["word_bias"][c] += p.sum(axis=0)

@@ -17,7 +17,7 @@ from kohorta.llm.hnsw import nearest
 from kohorta.llm.html_text import extract_text, main_text
 from kohorta.llm.language import fold, keep_identified, language_id
 from kohorta.llm.licenses import PERMITTED, Scanner, evaluate, license_scan, to_rpn
-from kohorta.llm.lm import lm_scores
+from kohorta.llm.lm import Vocabulary, lm_scores, tail_class
 from kohorta.llm.token_files import scan_token_files, token_counts
 from kohorta.llm.tokens import WordIds
 from kohorta.llm.warc import LoserTree, capture_index, url_key
@@ -292,6 +292,18 @@ def test_model_gradient():
     assert model.log_probabilities(docs).sum() > before + 20
 
 
+def test_head_grows_with_the_vocabulary():
+    found = [(b"w%d" % k, 5000 - k) for k in range(4000)]
+    tails = Counter(tail_class(w) for w, _ in found)
+    mass = {t: (sum(c for w, c in found if tail_class(w) == t), n) for t, n in tails.items()}
+    heads = [Vocabulary(sum(c for _, c in found), types, 9, found, mass).head for types in (4000, 2000**2)]
+    assert heads == [1024, 2000]
+    model = recurrent.Model(np.arange(2028, 0, -1) + 0.5, 3)
+    assert len(set(model.class_of[:2000])) == model.head_classes == 46 and model.class_of.max() == model.classes - 1
+    share = np.exp([model.log_probabilities([np.array([k], np.uint16)])[0] for k in range(0, 2028)]).sum()
+    assert math.isclose(share, 1, rel_tol=1e-4)
+
+
 def test_lm_scores(spark, docs, texts):
     from pyspark.sql import functions as F
 
