@@ -12,8 +12,9 @@ Work on a group of similar texts stays linear.  Equal sets form one class with o
 bucket, representatives are first compared with one hub; once the links found are joined to components, only
 buckets that still hold several components are compared further: in all pairs across components where these are few
 for the bucket's size (finer sketches that agree in fewer than ``ALIKE`` coordinates need no look at the texts), else with
-a further hub, then after splitting by a second (third) band that members must share as well (a pair of similarity
-0.8 shares fewer than three of the 32 bands with probability 1.2e-5).  What agrees in ``DEEP`` bands and is still
+a further hub, then after splitting by the bands of a second, independent sketch (as many as the first has), then by 128
+bands of ``DEEP_ROWS`` coordinates of a third.  A pair of similarity 0.8 shares no band of the second with probability
+5e-8 and none of the third with probability 6e-11, whatever number of first bands it shares.  What is still
 large is compared hub by hub until nothing is left to compare.  No bucket is cut off.  A task that confirms pairs
 remembers the sets it made, up to ``REMEMBERED``, since most pairs of a group meet the same texts again; components
 carry over from round to round, so that a round adds only the links that cross them.
@@ -39,10 +40,11 @@ from kohorta.session import settle
 BINS = 128
 ROWS = 4
 FINE = 4  # sketches of BINS coordinates, 8 bits each, by which the pairs of a bucket are sieved
-ALIKE = 371  # of the FINE * BINS coordinates shared; at similarity 0.8 fewer are 4.3 standard deviations off, 1e-5
+ALIKE = 350  # of the FINE * BINS coordinates shared; at similarity 0.8 fewer have probability 2e-10
 PAIRS_A_ROW = 256  # a bucket with no more pairs across components than this per member is compared in full
 HUBS = 2  # hubs tried at each depth before a bucket is split
-DEEP = 3  # bands that the members of a bucket share at the deepest split
+DEEP = 3  # splits by first, second and third bands; what is large after the last is compared hub by hub
+DEEP_ROWS = 8  # coordinates of a third band
 REMEMBERED = 1 << 21  # 8-byte words of texts and sets that a task keeps while it confirms pairs
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(BINS - 1)
@@ -109,6 +111,23 @@ def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
     return drawn.groupBy("node").agg(same("short"), same("size"))
 
 
+def deep_bands(texts: DataFrame, words: int) -> DataFrame:
+    """node, second, third: keys of the bands by which large buckets are split, from sketches independent of the others."""
+    seeds = mix(np.arange(FINE + 1, FINE + DEEP_ROWS + 2, dtype=np.uint64))
+
+    def keys(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        drawn = [sketch(mix(found ^ seed)) for seed in seeds]
+        return band_keys(drawn[0]), band_keys(np.concatenate(drawn[1:]), DEEP_ROWS)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(space_words(t), words) for t in column(batch, "text")]
+        both = [keys(s) if len(s) else (None, None) for s in sets]
+        return {"node": column(batch, "doc_id"), "second": [b[0] for b in both], "third": [b[1] for b in both]}
+
+    drawn = map_batches(texts, run, "node long, second array<long>, third array<long>")
+    return drawn.groupBy("node").agg(*(F.flatten(F.collect_set(c)).alias(c) for c in ("second", "third")))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets hold 100 * |intersection| >= percent * |union|."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -232,17 +251,28 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return _pairs(both.mapInArrow(sieve, "a long, b long"))
 
 
-def _deeper(members: DataFrame, bands: DataFrame) -> DataFrame:
-    """Members of large buckets, dealt to sub-buckets by each band they may share besides.
+def _deeper(members: DataFrame, deep: DataFrame, depth: int) -> DataFrame:
+    """Members of large buckets, dealt to sub-buckets by each of their second or third bands.
 
-    Bands join in ascending order of their key, so each set of shared bands (``path``) names one sub-bucket.
+    ``path`` is the first band and the second one, or the first, the third and 0.
     """
-    last = F.element_at("path", -1)
-    more = members.join(bands, "node").select(
-        "node", "key", "path", "root", F.explode(F.filter("bands", lambda b: b > last)).alias("next")
+    first = F.element_at("path", 1)
+    ends = F.array("next") if depth == 2 else F.array(F.col("next"), F.lit(0).cast("long"))
+    dealt = members.select("node", "root", first.alias("first")).distinct().join(deep, "node").select(
+        "node", "root", "first", F.explode(F.array_distinct("second" if depth == 2 else "third")).alias("next")
     )
-    path = F.concat("path", F.array("next")).alias("path")
-    return more.select(F.xxhash64("key", "next").alias("key"), "node", path, "root")
+    return dealt.select(F.xxhash64("first", "next").alias("key"), "node", F.concat(F.array("first"), ends).alias("path"), "root")
+
+
+def _earlier(members: DataFrame, deep: DataFrame | None) -> DataFrame:
+    """Members with the bands below those of their path: two members that share one meet in its bucket too."""
+    lower = lambda name, at: F.filter(name, lambda b: b < F.element_at("path", at))
+    first = lower("bands", 1)
+    if deep is None:
+        return members.withColumn("earlier", first).drop("bands", "path")
+    more = F.when(F.size("path") == 2, lower("second", 2)).when(F.size("path") == 3, lower("third", 2))
+    earlier = F.concat(first, F.coalesce(more, F.array().cast("array<long>")))
+    return members.join(deep, "node", "left").withColumn("earlier", earlier).drop("bands", "second", "third", "path")
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -264,7 +294,7 @@ def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
     )
     held = texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     held = settle(held, "candidate-texts")
-    fine = None
+    fine = deep = None
 
     def join_up(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         found = settle(_rooted(confirm(pairs, held, words, percent), comps), "links")
@@ -281,12 +311,14 @@ def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
         near, members = left.where(small), left.where(~small)
         if hubs >= HUBS and depth < DEEP:
             depth, hubs = depth + 1, 0
-            left = settle(_open(_deeper(members, bands)), "deeper")
+            if deep is None:
+                large = members.select(F.col("node").alias("doc_id")).distinct()
+                deep = settle(deep_bands(held.join(large, "doc_id", "left_semi"), words), "deep-bands")
+            left = settle(_open(_deeper(members, deep, depth)), "deeper")
             near, members = near.unionByName(left.where(small)), left.where(~small)
         if fine is None:
             fine = settle(fine_sketches(held, words).join(bands, "node"), "fine")
-        lower = F.filter("bands", lambda b: (b < F.element_at("path", -1)) & ~F.array_contains("path", b))
-        near = near.join(fine, "node").withColumn("earlier", lower).drop("bands", "path")
+        near = _earlier(near.join(fine, "node"), deep)
         seed, hubs = seed + 1, hubs + 1
         wanted = _across(near, percent).unionAll(_hub_pairs(members, seed)).distinct()
         if depth == DEEP:  # a hub that was compared with all of its bucket leaves it

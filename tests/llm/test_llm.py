@@ -99,6 +99,31 @@ def test_large_bucket_without_links_ends(spark, monkeypatch):
     assert all(r.component_id == r.doc_id and r.kept for r in got)
 
 
+def test_sieve_and_splits_lose_no_more_than_the_banding():
+    near, lines = 0.8, near_dup.BINS // near_dup.ROWS
+    banding = (1 - near**near_dup.ROWS) ** lines
+    n = near_dup.FINE * near_dup.BINS
+    assert sum(math.comb(n, k) * near**k * (1 - near) ** (n - k) for k in range(near_dup.ALIKE)) < banding / 100
+    assert (1 - near**near_dup.DEEP_ROWS) ** near_dup.BINS < banding / 100
+
+
+@pytest.mark.parametrize("shared", [1, 2])
+def test_pairs_that_share_one_or_two_bands_of_a_large_bucket(spark, monkeypatch, shared):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_dup, "PAIRS_A_ROW", 0)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(7):
+        one = words(rng, 100)
+        texts += [one, one + " more", one]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bands = [(i, [*range(1, shared + 1), *range(100 + 40 * i, 130 + 40 * i)]) for i in range(len(texts))]
+    texts_of = rows.select("doc_id", F.col("text").cast("binary").alias("text"))
+    got = near_dup.links(spark.createDataFrame(bands, "node long, bands array<long>"), texts_of, 5, 80).collect()
+    assert {r.node: r.root for r in got} == {i: i // 3 * 3 for i in range(len(texts))}
+
+
 def test_contamination_matches_brute_force_in_one_or_more_blocks(spark, docs, texts):
     items = [("a", " ".join(texts[8].split()[5:40])), ("b", "ONE"), ("c", None), (None, "two words"), ("d", "ééé, ßß")]
     bench = spark.createDataFrame(items, "item_id string, text string")
