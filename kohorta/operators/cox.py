@@ -27,9 +27,10 @@ from kohorta.operators.survival import Z95
 from kohorta.session import settle
 from kohorta.sources.codes import small_frame
 
-MAX_STEPS = 20
+MAX_STEPS = 100  # Newton steps, without halvings
+MAX_HALVINGS = 60  # of one step
 TOLERANCE = 1e-11  # relative change of the log-likelihood
-DIVERGED = 15.0  # |log hazard ratio| beyond which an estimate counts as infinite
+RUNAWAY = 0.1  # an estimate that still moves by more while the likelihood is flat is infinite
 
 
 @dataclass(frozen=True)
@@ -203,30 +204,34 @@ class Fit:
     ll: float
     steps: int
     converged: bool
+    status: str  # converged, separated (infinite estimate), singular, stalled, steps (MAX_STEPS reached) or no data
 
 
 def newton(models: Sequence, p: int, evaluate: Callable) -> dict:
     """Fit all models together; each round evaluates those not yet settled.
 
-    ``evaluate(betas)`` maps models to ``(ll, gradient, information)``.  The step is
-    halved while the likelihood drops; a singular or running-away model stops.
+    ``evaluate(betas)`` maps models to ``(ll, gradient, information)``, with covariates
+    scaled so that no value is further than 1 from the centre.  The step is halved while
+    the likelihood drops.  A model whose likelihood is flat while its estimate still runs
+    is separated: a finite maximum is met with vanishing steps, however steep it is.
     """
-    state = {m: {"b": np.zeros(p), "ll": None, "dir": None} for m in models}
+    state = {m: {"b": np.zeros(p), "ll": None, "dir": None, "steps": 0, "halved": 0} for m in models}
     fits: dict = {}
-    for step in range(MAX_STEPS + 1):
-        open_models = [m for m in models if m not in fits]
-        if not open_models:
-            break
+    while open_models := [m for m in models if m not in fits]:
         got = evaluate({m: state[m]["b"] for m in open_models})
         for m in open_models:
             s = state[m]
             if m not in got:
-                fits[m] = Fit(s["b"], None, math.nan, math.nan, step, False)
+                fits[m] = Fit(s["b"], None, math.nan, math.nan, s["steps"], False, "no data")
                 continue
             ll, grad, info = got[m]
             if s["ll"] is None:
                 s["ll0"] = ll
             elif not math.isfinite(ll) or ll < s["ll"] - 1e-12 * abs(s["ll"]) - 1e-12:
+                s["halved"] += 1
+                if s["halved"] > MAX_HALVINGS:
+                    fits[m] = Fit(s["from"], None, s["ll0"], s["ll"], s["steps"], False, "stalled")
+                    continue
                 s["dir"] = s["dir"] / 2
                 s["b"] = s["from"] + s["dir"]
                 continue
@@ -235,24 +240,26 @@ def newton(models: Sequence, p: int, evaluate: Callable) -> dict:
             except np.linalg.LinAlgError:
                 cov = None
             bad = cov is None or not np.all(np.isfinite(cov)) or np.any(np.diag(cov) <= 0)
-            away = bool(np.any(np.abs(s["b"]) > DIVERGED))
-            same = s["ll"] is not None and abs(1 - s["ll"] / ll) < TOLERANCE if ll else True
-            if bad or away or same or step == MAX_STEPS:
-                ok = same and not bad and not away
+            flat = s["ll"] is not None and abs(ll - s["ll"]) < TOLERANCE * max(1.0, abs(ll))
+            if bad or flat or s["steps"] == MAX_STEPS:
+                away = flat and not bad and bool(np.any(np.abs(cov @ grad) > RUNAWAY))
+                status = "singular" if bad else "separated" if away else "converged" if flat else "steps"
+                ok = status == "converged"
                 # the last step needs no evaluation any more
                 last = s["b"] + cov @ grad if ok else s["b"]
-                fits[m] = Fit(last, cov if ok else None, s.get("ll0", ll), ll, step, ok)
+                fits[m] = Fit(last, cov if ok else None, s["ll0"], ll, s["steps"], ok, status)
                 continue
             s["ll"], s["from"] = ll, s["b"]
-            s["dir"] = cov @ grad
+            s["dir"], s["halved"], s["steps"] = cov @ grad, 0, s["steps"] + 1
             s["b"] = s["b"] + s["dir"]
-    for m in models:
-        if m not in fits:
-            s = state[m]
-            fits[m] = Fit(s["b"], None, s.get("ll0", math.nan), s["ll"] or math.nan, MAX_STEPS, False)
     return fits
 
 
+def _spread(centre: float, least: float, most: float) -> float:
+    """Largest distance from the centre; 1 for a constant."""
+    return max(most - centre, centre - least) or 1.0
+
+
 def _collect_steps(step: DataFrame, p: int) -> dict:
     out = {}
     for r in step.collect():  # one row per model
@@ -275,8 +282,8 @@ def cox(
     efron: bool = True,
 ) -> DataFrame:
     """One model, or one per value of ``by``, over complete rows; a row per model and term:
-    ``model, term, level, n, n_event, coef, se, hr, lower, upper, z, p, loglik_null, loglik``.
-    A model that does not converge has null estimates."""
+    ``model, term, level, n, n_event, coef, se, hr, lower, upper, z, p, loglik_null, loglik, status``.
+    A model that does not converge has null estimates; ``status`` (see ``Fit``) says why."""
     terms = [t for c in covariates for t in c.terms()]
     p = len(terms)
     xs = [f"x{j}" for j in range(p)]
@@ -294,20 +301,25 @@ def cox(
         weight.alias("n"),
         F.sum(F.col("m") * F.col("e")).alias("n_event"),
         *[(F.sum(F.col("m") * F.col(f"x{j}")) / weight).alias(f"c{j}") for j in numeric],
+        *[f(f"x{j}").alias(f"{n}{j}") for j in numeric for n, f in (("least", F.min), ("most", F.max))],
         *[F.sum(F.col("m") * F.col(f"x{j}")).alias(f"k{j}") for j in range(p) if j not in numeric],
     ).collect()  # one row per model
     info = {r["model"]: r for r in head if r["n_event"] > 0}
     centre = {m: [r[f"c{j}"] if j in numeric else 0.0 for j in range(p)] for m, r in info.items()}
+    scale = {
+        m: np.array([_spread(r[f"c{j}"], r[f"least{j}"], r[f"most{j}"]) if j in numeric else 1.0 for j in range(p)])
+        for m, r in info.items()
+    }
 
     def evaluate(betas: dict) -> dict:
-        names = ["model", *[f"b{j}" for j in range(p)], *[f"c{j}" for j in range(p)]]
+        names = ["model", *[f"{c}{j}" for c in "bcr" for j in range(p)]]
         table = small_frame(
             rows.sparkSession,
-            [(m, *map(float, b), *map(float, centre[m])) for m, b in betas.items()],
+            [(m, *map(float, b), *map(float, centre[m]), *map(float, scale[m])) for m, b in betas.items()],
             names,
         )
         joined = rows.join(table, "model").withColumns(
-            {f"x{j}": F.col(f"x{j}") - F.col(f"c{j}") for j in numeric}
+            {f"x{j}": (F.col(f"x{j}") - F.col(f"c{j}")) / F.col(f"r{j}") for j in numeric}
         )
         eta = sum((F.col(f"b{j}") * F.col(f"x{j}") for j in range(1, p)), F.col("b0") * F.col("x0"))
         return _collect_steps(_step(joined.withColumn("eta", eta), p, efron), p)
@@ -315,6 +327,8 @@ def cox(
     fits = newton(sorted(info), p, evaluate)
     out = []
     for m, fit in fits.items():
+        fit.beta = fit.beta / scale[m]
+        fit.cov = None if fit.cov is None else fit.cov / np.outer(scale[m], scale[m])
         for j, (name, level) in enumerate(terms):
             n_level = info[m]["n"] if level is None else info[m][f"k{j}"]
             out.append(_term_row(m, name, level, n_level, info[m]["n_event"], fit, j))
@@ -323,9 +337,9 @@ def cox(
 
 TERM_COLUMNS = [
     "model", "term", "level", "n", "n_event", "coef", "se", "hr", "lower", "upper", "z", "p",
-    "loglik_null", "loglik",
+    "loglik_null", "loglik", "status",
 ]
-TERM_TYPES = ["string", "string", "string", "long", "long", *["double"] * 9]
+TERM_TYPES = ["string", "string", "string", "long", "long", *["double"] * 9, "string"]
 
 
 def _term_row(model, name, level, n, events, fit: Fit, j: int) -> tuple:
@@ -337,7 +351,7 @@ def _term_row(model, name, level, n, events, fit: Fit, j: int) -> tuple:
         numbers = (
             b, se, math.exp(b), math.exp(b - Z95 * se), math.exp(b + Z95 * se), z, normal_two_sided(z),
         )
-    return (model, name, level or "", int(n), int(events), *numbers, fit.ll0, fit.ll)
+    return (model, name, level or "", int(n), int(events), *numbers, fit.ll0, fit.ll, fit.status)
 
 
 def model_table(df: DataFrame, covariates: Sequence[Covariate], fitted: DataFrame, time: str = "t_days", event: str = "event") -> DataFrame:
@@ -392,7 +406,7 @@ def binary_cox(t, n1, d1, all_t, all_n, all_d, efron: bool = True):
     on = d > 0
     r1, r0, d, d1 = r1[on], r0[on], d[on], d1_all[on]
     if d1.sum() in (0.0, d.sum()):  # no event in one arm: the estimate is infinite
-        return Fit(np.zeros(1), None, math.nan, math.nan, 0, False)
+        return Fit(np.zeros(1), None, math.nan, math.nan, 0, False, "separated")
 
     def evaluate(betas):
         b = betas[0][0]
@@ -440,7 +454,7 @@ def screen(
     )
     schema = (
         "atc3 string, n long, n_event long, coef double, se double, hr double, lower double, "
-        "upper double, z double, p double"
+        "upper double, z double, p double, status string"
     )
 
     def fit_rows(batches):
@@ -450,7 +464,7 @@ def screen(
                 every = list(zip(*[(c["t"], c["n"], c["d"]) for c in r.everyone]))
                 mine = list(zip(*[(c["t"], c["n"], c["d"]) for c in r.exposed]))
                 fit = binary_cox(*mine, *every, efron)
-                out.append((r.atc3, *_term_row("", "", "", r.n, r.n_event, fit, 0)[3:12]))
+                out.append((r.atc3, *_term_row("", "", "", r.n, r.n_event, fit, 0)[3:12], fit.status))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return rows.mapInPandas(fit_rows, schema)
@@ -492,8 +506,10 @@ def screen_adjusted(
     centre = everyone.agg(
         F.sum("m").alias("n"),
         *[(F.sum(F.col("m") * F.col(x)) / F.sum("m")).alias(x) for x in xs],
+        *[f(x).alias(f"{n}_{x}") for x in xs for n, f in (("least", F.min), ("most", F.max))],
     ).first()
-    shift = {x: F.col(x) - float(centre[x]) for x in xs if x in numeric}
+    spread = {x: _spread(centre[x], centre[f"least_{x}"], centre[f"most_{x}"]) for x in xs if x in numeric and centre["n"]}
+    shift = {x: (F.col(x) - float(centre[x])) / spread[x] for x in spread}
     sizes = {
         r["model"]: r
         for r in mine.groupBy("model").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("e")).alias("d")).collect()
@@ -519,7 +535,7 @@ def screen_adjusted(
 
     fits = newton(todo, p, evaluate)
     out = [
-        (c, *_term_row("", "", "", sizes[c]["n"], sizes[c]["d"], fits[c], p - 1)[3:12]) for c in todo
+        (c, *_term_row("", "", "", sizes[c]["n"], sizes[c]["d"], fits[c], p - 1)[3:12], fits[c].status) for c in todo
     ]
-    names = ["atc3", "n", "n_event", "coef", "se", "hr", "lower", "upper", "z", "p"]
-    return small_frame(spark, out, names, ["string", "long", "long", *["double"] * 7])
+    names = ["atc3", "n", "n_event", "coef", "se", "hr", "lower", "upper", "z", "p", "status"]
+    return small_frame(spark, out, names, ["string", "long", "long", *["double"] * 7, "string"])

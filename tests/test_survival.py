@@ -177,6 +177,32 @@ def test_cox_skips_incomplete_rows_and_flags_divergence(spark, cohort):
     assert r.hr is None and r.p is None
 
 
+def test_cox_does_not_depend_on_the_unit(spark, cohort):
+    _, df = cohort
+    want = {r.term: r for r in ph.cox(df, COVARIATES[:2]).collect()}
+    for unit in (1e-3, 1e4):
+        got = {r.term: r for r in ph.cox(df.withColumn("age", F.col("age") * unit), COVARIATES[:2]).collect()}
+        assert {r.status for r in got.values()} == {"converged"}
+        assert {t: r.z for t, r in got.items()} == pytest.approx({t: r.z for t, r in want.items()}, rel=1e-7)
+        assert got["age"].coef * unit == pytest.approx(want["age"].coef, rel=1e-7)
+    apart = spark.createDataFrame([("n", t, 0) for t in range(5, 15)] + [("y", t, 1) for t in range(1, 11)], "g string, t_days int, event int")
+    assert ph.cox(apart, [ph.Covariate("g", ["y", "n"])]).first().status == "separated"
+    edge = apart.withColumn("g", F.when(F.col("g") == "y", 0.0).otherwise(1e-4))
+    r = ph.cox(edge, [ph.Covariate("g")]).first()
+    assert (r.status, r.hr) == ("separated", None)
+
+
+def test_steep_and_slow_models_converge():
+    def evaluate(betas):
+        b = betas[0]
+        with np.errstate(over="ignore"):
+            tail = np.exp(b - 30)
+        return {0: (float((b - tail)[0]), 1 - tail, np.diag(tail))}
+
+    fit = ph.newton([0], 1, evaluate)[0]
+    assert fit.status == "converged" and fit.beta == pytest.approx([30])
+
+
 def test_breslow_differs_only_with_ties(spark):
     df = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("a", 3, 1), ("b", 4, 1), ("a", 5, 0)], "g string, t_days int, event int")
     cov = [ph.Covariate("g", ["a", "b"])]
