@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from kohorta.llm import sql
 from kohorta.llm.common import read
+from kohorta.llm.conversations import damaged, repair
 from kohorta.llm.decontaminate import contamination
 from kohorta.llm.hnsw import nearest
 from kohorta.llm.html_text import extract_text
 from kohorta.llm.language import fold, language_id
+from kohorta.llm.lexical import lexical_search
 from kohorta.llm.licenses import license_scan
 from kohorta.llm.lm import lm_scores
 from kohorta.llm.near_dup import near_duplicates
 from kohorta.llm.packing import pack
+from kohorta.llm.simhash import simhash_groups
 from kohorta.llm.token_files import token_counts
 from kohorta.llm.warc import capture_index
 from kohorta.session import configure
@@ -80,11 +83,24 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read(configure(spark), sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(read(configure(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read(configure(spark), sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(read(configure(spark), sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_lm_scores, op3_language_id, op4_packing, op5_token_counts, op6_nearest_vectors,
         op7_near_duplicates, op8_warc_index, op9_decontamination, op10_html_text,
+        op11_lexical_search, op12_simhash_groups, op13_conversation_repair,
     )
 }
 SQL = sql.SQL
