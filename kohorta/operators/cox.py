@@ -1,10 +1,9 @@
-"""Proportional-hazards models as Newton steps over per-day sums.
+"""Proportional-hazards models as Newton steps over per-day moment tables.
 
-Subjects are first counted per distinct (time, event, covariates) row; that is
-lossless and, with categorical covariates, far smaller than the cohort.  Each Newton
-step is one aggregate to per-(model, day) sums, whose number is bounded by the days of
-follow-up; a group of a few thousand such rows gives likelihood, gradient and
-information of one model.  The driver sees one row per model and step.
+The cohort is read once for the centre and range of numeric covariates and once for the moment table of each model
+(``moments``); both are map-side combined aggregates.  The table's size is bounded by the days of follow-up, so
+a model is then fitted in one task, and the driver sees one row per model.  Only estimates that leave the reach of the
+table's series ask for one more pass.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -23,14 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kohorta.functions.tails import normal_two_sided
+from kohorta.operators import moments as mo
 from kohorta.operators.survival import Z95
 from kohorta.session import settle
 from kohorta.sources.codes import small_frame
 
 MAX_STEPS = 100  # Newton steps, without halvings
 MAX_HALVINGS = 60  # of one step
-TOLERANCE = 1e-11  # relative change of the log-likelihood
-RUNAWAY = 0.1  # an estimate that still moves by more while the likelihood is flat is infinite
+DECREMENT = 1e-16  # squared length of a step in standard errors that ends a climb
+SMALL = 1e-8  # below it a decrement that no longer falls is rounding
+RUNAWAY = 0.1  # an estimate that still moves by more while the decrement is small is infinite
 
 
 @dataclass(frozen=True)
@@ -137,65 +136,6 @@ def likelihood(s0, s1, s2, e0, e1, e2, d, x_sum, eta_sum, efron: bool = True):
     return ll, grad, info
 
 
-def _pairs(p: int) -> list[tuple[int, int]]:
-    return [(j, k) for j in range(p) for k in range(j, p)]
-
-
-def _step(frame: DataFrame, p: int, efron: bool) -> DataFrame:
-    """``frame``: model, t, e, m (weight), eta, x0..  ->  one row per model."""
-    dead = F.col("e").cast("double")
-    weighed = frame.select(
-        "model", "t", "eta", *[f"x{j}" for j in range(p)],
-        (F.col("m") * F.exp("eta")).alias("w"), (F.col("m") * dead).alias("me"), dead.alias("dead"),
-    ).withColumn("we", F.col("w") * F.col("dead"))
-    total = lambda *cols: F.sum(reduce(mul, [F.col(c) for c in cols]))
-    aggs = [total("w").alias("s0"), total("we").alias("e0"), total("me").alias("d"), total("me", "eta").alias("eta")]
-    for j in range(p):
-        aggs += [
-            total("w", f"x{j}").alias(f"s1_{j}"),
-            total("we", f"x{j}").alias(f"e1_{j}"),
-            total("me", f"x{j}").alias(f"z_{j}"),
-        ]
-    for j, k in _pairs(p):
-        aggs += [
-            total("w", f"x{j}", f"x{k}").alias(f"s2_{j}_{k}"),
-            total("we", f"x{j}", f"x{k}").alias(f"e2_{j}_{k}"),
-        ]
-    days = weighed.groupBy("model", "t").agg(*aggs)
-    out_cols = ["ll", *[f"g{j}" for j in range(p)], *[f"i{j}_{k}" for j, k in _pairs(p)]]
-    schema = T.StructType(
-        [frame.schema["model"], *[T.StructField(c, T.DoubleType()) for c in out_cols]]
-    )
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", ascending=False)
-        col = lambda c: pdf[c].to_numpy(dtype="float64")
-
-        def matrix(tag, run):
-            full = np.zeros((len(pdf), p, p))
-            for j, k in _pairs(p):
-                v = run(col(f"{tag}_{j}_{k}"))
-                full[:, j, k] = v
-                full[:, k, j] = v
-            return full
-
-        plain = lambda v: v
-        s0 = col("s0").cumsum()
-        s1 = np.stack([col(f"s1_{j}").cumsum() for j in range(p)], axis=1)
-        s2 = matrix("s2", np.cumsum)
-        e1 = np.stack([col(f"e1_{j}") for j in range(p)], axis=1)
-        z = np.stack([col(f"z_{j}") for j in range(p)], axis=1)
-        on = col("d") > 0
-        ll, grad, info = likelihood(
-            s0[on], s1[on], s2[on], col("e0")[on], e1[on], matrix("e2", plain)[on],
-            col("d")[on], z[on], col("eta")[on], efron,
-        )
-        row = [key[0], ll, *grad, *[info[j, k] for j, k in _pairs(p)]]
-        return pd.DataFrame([row], columns=["model", *out_cols])
-
-    return days.groupBy("model").applyInPandas(solve, schema)
-
-
 @dataclass
 class Fit:
     beta: np.ndarray
@@ -207,52 +147,58 @@ class Fit:
     status: str  # converged, separated (infinite estimate), singular, stalled, steps (MAX_STEPS reached) or no data
 
 
-def newton(models: Sequence, p: int, evaluate: Callable) -> dict:
-    """Fit all models together; each round evaluates those not yet settled.
+def new_state(p: int) -> dict:
+    """A climb that has not begun; plain values, so that it can go between driver and tasks."""
+    return {"b": [0.0] * p, "from": None, "dir": None, "slope": None, "ll0": None, "size": None, "steps": 0, "halved": 0}
+
+
+def climb(state: dict, evaluate: Callable, near: Callable = lambda b: True) -> Fit | None:
+    """Newton steps until they end, or until an estimate lies where ``near`` is false (None: ``state`` can be taken up again).
 
-    ``evaluate(betas)`` maps models to ``(ll, gradient, information)``, with covariates
-    scaled so that no value is further than 1 from the centre.  The step is halved while
-    the likelihood drops.  A model whose likelihood is flat while its estimate still runs
-    is separated: a finite maximum is met with vanishing steps, however steep it is.
+    ``evaluate(b)`` gives (ll, gradient, information), with covariates scaled so that no value is further than 1 from the
+    centre.  The stop rule is the Newton decrement ``g' I^-1 g``, the squared length of the next step in standard errors: it
+    does not know the likelihood's size, so a huge unexposed bulk cannot hide an exposed few.  A decrement that no longer
+    falls while it is small is rounding noise.  A step is halved while the slope along it at its end is
+    below minus half of that at its start.  Where the decrement vanishes while an estimate still runs, the model is separated.
     """
-    state = {m: {"b": np.zeros(p), "ll": None, "dir": None, "steps": 0, "halved": 0} for m in models}
-    fits: dict = {}
-    while open_models := [m for m in models if m not in fits]:
-        got = evaluate({m: state[m]["b"] for m in open_models})
-        for m in open_models:
-            s = state[m]
-            if m not in got:
-                fits[m] = Fit(s["b"], None, math.nan, math.nan, s["steps"], False, "no data")
-                continue
-            ll, grad, info = got[m]
-            if s["ll"] is None:
-                s["ll0"] = ll
-            elif not math.isfinite(ll) or ll < s["ll"] - 1e-12 * abs(s["ll"]) - 1e-12:
-                s["halved"] += 1
-                if s["halved"] > MAX_HALVINGS:
-                    fits[m] = Fit(s["from"], None, s["ll0"], s["ll"], s["steps"], False, "stalled")
-                    continue
-                s["dir"] = s["dir"] / 2
-                s["b"] = s["from"] + s["dir"]
-                continue
-            try:
-                cov = np.linalg.inv(info)
-            except np.linalg.LinAlgError:
-                cov = None
-            bad = cov is None or not np.all(np.isfinite(cov)) or np.any(np.diag(cov) <= 0)
-            flat = s["ll"] is not None and abs(ll - s["ll"]) < TOLERANCE * max(1.0, abs(ll))
-            if bad or flat or s["steps"] == MAX_STEPS:
-                away = flat and not bad and bool(np.any(np.abs(cov @ grad) > RUNAWAY))
-                status = "singular" if bad else "separated" if away else "converged" if flat else "steps"
-                ok = status == "converged"
-                # the last step needs no evaluation any more
-                last = s["b"] + cov @ grad if ok else s["b"]
-                fits[m] = Fit(last, cov if ok else None, s["ll0"], ll, s["steps"], ok, status)
-                continue
-            s["ll"], s["from"] = ll, s["b"]
-            s["dir"], s["halved"], s["steps"] = cov @ grad, 0, s["steps"] + 1
-            s["b"] = s["b"] + s["dir"]
-    return fits
+    while True:
+        b = np.array(state["b"])
+        if not near(b):
+            return None
+        ll, grad, info = evaluate(b)
+        if state["ll0"] is None:
+            state["ll0"] = ll
+        try:
+            cov = np.linalg.inv(info) if np.all(np.isfinite(info)) else None
+        except np.linalg.LinAlgError:
+            cov = None
+        bad = cov is None or not np.all(np.isfinite(cov)) or bool(np.any(np.diag(cov) <= 0))
+        size = math.inf if bad else float(grad @ cov @ grad)
+        small = size < SMALL and state["size"] is not None
+        flat = size <= DECREMENT or small and size >= state["size"] / 4
+        beyond = state["dir"] is not None and not flat
+        if beyond and (not math.isfinite(ll) or float(grad @ np.array(state["dir"])) < -state["slope"] / 2):
+            state["halved"] += 1
+            if state["halved"] > MAX_HALVINGS:
+                return Fit(np.array(state["from"]), None, state["ll0"], ll, state["steps"], False, "stalled")
+            state["dir"] = [v / 2 for v in state["dir"]]
+            state["slope"] /= 2
+            state["b"] = [v + d for v, d in zip(state["from"], state["dir"], strict=True)]
+            continue
+        step = None if bad else cov @ grad
+        away = not bad and size < SMALL and bool(np.any(np.abs(step) > RUNAWAY))
+        if bad or flat or away or state["steps"] == MAX_STEPS:
+            status = "singular" if bad else "separated" if away else "converged" if flat else "steps"
+            ok = status == "converged"
+            # the last step needs no evaluation any more
+            return Fit(b + step if ok else b, cov if ok else None, state["ll0"], ll, state["steps"], ok, status)
+        state |= {"from": state["b"], "dir": step.tolist(), "slope": size, "size": size, "halved": 0, "steps": state["steps"] + 1}
+        state["b"] = (b + step).tolist()
+
+
+def newton(models: Sequence, p: int, evaluate: Callable) -> dict:
+    """Fit models one by one; ``evaluate({model: b})`` maps the model to (ll, gradient, information)."""
+    return {m: climb(new_state(p), lambda b, m=m: evaluate({m: b})[m]) for m in models}
 
 
 def _spread(centre: float, least: float, most: float) -> float:
@@ -260,19 +206,104 @@ def _spread(centre: float, least: float, most: float) -> float:
     return max(most - centre, centre - least) or 1.0
 
 
-def _collect_steps(step: DataFrame, p: int) -> dict:
-    out = {}
-    for r in step.collect():  # one row per model
-        info = np.zeros((p, p))
-        for j, k in _pairs(p):
-            info[j, k] = info[k, j] = r[f"i{j}_{k}"]
-        out[r["model"]] = (r["ll"], np.array([r[f"g{j}"] for j in range(p)]), info)
-    return out
+def _fit_text(fit: Fit) -> dict:
+    plain = lambda v: None if v is None else v.tolist()
+    return {"beta": plain(fit.beta), "cov": plain(fit.cov), "rest": [fit.ll0, fit.ll, fit.steps, fit.converged, fit.status]}
+
+
+def _fit_of(text: dict) -> Fit:
+    cov = None if text["cov"] is None else np.array(text["cov"])
+    return Fit(np.array(text["beta"]), cov, *text["rest"])
+
+
+def _table_fit(table: mo.Table, state: dict, efron: bool) -> str:
+    """One pass of a model over its table: the fit, or the state where the table ends."""
+    def evaluate(b):
+        s0, s1, s2, e0, e1, e2, d, x_sum, eta = table.sums(b)
+        on = d > 0
+        return likelihood(s0[on], s1[on], s2[on], e0[on], e1[on], e2[on], d[on], x_sum[on], eta[on], efron)
+
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        fit = climb(state, evaluate, table.near)
+    return json.dumps({"state": state} if fit is None else {"fit": _fit_text(fit)})
+
+
+def _checked(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The written table; an error where a model's rows are too many for a task, since then times are no days."""
+    table = settle(table, "moments")
+    most = table.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most > mo.MAX_ROWS:
+        raise ValueError(f"{most} distinct times and factor cells in one model, more than {mo.MAX_ROWS}: round times to days")
+    return table
+
+
+class _Scale:
+    """Centre and largest distance of numeric covariates (``x{j}``), by model."""
+
+    def __init__(self, head: dict, numeric: Sequence[int], p: int) -> None:
+        self.numeric = list(numeric)
+        self.centre = {m: [r[f"c{j}"] for j in numeric] for m, r in head.items()}
+        self.width = {m: [_spread(r[f"c{j}"], r[f"least{j}"], r[f"most{j}"]) for j in numeric] for m, r in head.items()}
+        self.full = {m: np.ones(p) for m in head}
+        for m in head:
+            self.full[m][self.numeric] = self.width[m]
+
+    @staticmethod
+    def aggregates(numeric: Sequence[int]) -> list[Column]:
+        mean = lambda j: F.sum(F.col("m") * F.col(f"x{j}")) / F.sum("m")
+        return [
+            *(mean(j).alias(f"c{j}") for j in numeric),
+            *(f(f"x{j}").alias(f"{n}{j}") for j in numeric for n, f in (("least", F.min), ("most", F.max))),
+        ]
+
+    def moments(self, rows: DataFrame, anchors: dict, cell: Sequence[str]) -> DataFrame:
+        """Moment tables of the models in ``anchors`` (their numeric coefficients)."""
+        q = range(len(self.numeric))
+        names = ["model", *[f"{c}{i}" for c in "_c _r _a".split() for i in q]]
+        known = [(m, *map(float, [*self.centre[m], *self.width[m], *a])) for m, a in anchors.items()]
+        joined = rows.join(small_frame(rows.sparkSession, known, names, ["string", *["double"] * (len(names) - 1)]), "model")
+        z = {f"z{i}": (F.col(f"x{j}") - F.col(f"_c{i}")) / F.col(f"_r{i}") for i, j in enumerate(self.numeric)}
+        sums = mo.moment_sums([F.col(c) for c in z], [F.col(f"_a{i}") for i in q], F.col("m"))
+        return mo.moment_table(joined.withColumns(z) if z else joined, ["model"], cell, sums)
+
+    def back(self, m, fit: Fit) -> Fit:
+        """The fit in the covariates' own units."""
+        fit.beta = fit.beta / self.full[m]
+        fit.cov = None if fit.cov is None else fit.cov / np.outer(self.full[m], self.full[m])
+        return fit
+
+
+def _fit_tables(tables: DataFrame, states: dict, cell: Sequence[str], numeric: Sequence[int], efron: bool) -> dict:
+    """One pass of all models over their tables, each in one task; a row per model comes back."""
+    anchors = {m: [s["b"][j] for j in numeric] for m, s in states.items()}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        table = mo.Table.from_pandas(pdf, cell, anchors[key[0]], numeric)
+        return pd.DataFrame({"model": [key[0]], "found": [_table_fit(table, states[key[0]], efron)]})
+
+    rows = tables.groupBy("model").applyInPandas(run, T.StructType([tables.schema["model"], T.StructField("found", T.StringType())]))
+    return {r["model"]: json.loads(r["found"]) for r in rows.collect()}
 
 
 # ---- models -------------------------------------------------------------------
 
 
+def _fit_models(rows: DataFrame, scale: _Scale, p: int, efron: bool) -> tuple[dict, DataFrame | None, dict]:
+    """Fits in scaled covariates of every model of ``scale``, with the last tables and their anchors; ``rows``: model, t, e,
+    x0.., m."""
+    cell = [f"x{j}" for j in range(p) if j not in scale.numeric]
+    states = {m: new_state(p) for m in scale.centre}
+    fits: dict = {}
+    tables, anchors = None, {}
+    while states:
+        anchors = {m: [s["b"][j] for j in scale.numeric] for m, s in states.items()}
+        tables = _checked(scale.moments(rows, anchors, cell), ["model"])
+        found = _fit_tables(tables, states, cell, scale.numeric, efron)
+        fits |= {m: _fit_of(f["fit"]) for m, f in found.items() if "fit" in f}
+        states = {m: f["state"] for m, f in found.items() if "state" in f}
+    return fits, tables, anchors
+
+
 def cox(
     df: DataFrame,
     covariates: Sequence[Covariate],
@@ -283,10 +314,12 @@ def cox(
 ) -> DataFrame:
     """One model, or one per value of ``by``, over complete rows; a row per model and term:
     ``model, term, level, n, n_event, coef, se, hr, lower, upper, z, p, loglik_null, loglik, status``.
-    A model that does not converge has null estimates; ``status`` (see ``Fit``) says why."""
+    A model that does not converge has null estimates; ``status`` (see ``Fit``) says why.  A value outside a
+    factor's levels makes a row incomplete."""
     terms = [t for c in covariates for t in c.terms()]
     p = len(terms)
     xs = [f"x{j}" for j in range(p)]
+    numeric = [j for j, (_, level) in enumerate(terms) if level is None]
     model = F.col(by).cast("string") if by else F.lit("all")
     frame = df.select(
         model.alias("model"),
@@ -294,41 +327,22 @@ def cox(
         F.col(event).cast("int").alias("e"),
         *[c.alias(x) for c, x in zip(_design(covariates), xs)],
     ).dropna()
-    rows = settle(frame.groupBy("model", "t", "e", *xs).agg(F.count(F.lit(1)).cast("double").alias("m")), "cox", along="t")
-    numeric = [j for j, (_, level) in enumerate(terms) if level is None]
-    weight = F.sum("m")
+    # numeric covariates: the narrow table is written as it is; factors alone: it is counted at once
+    one = F.lit(1.0).alias("m")
+    rows = frame.select("*", one) if numeric else frame.groupBy("model", "t", "e", *xs).agg(F.sum(F.lit(1.0)).alias("m"))
+    rows = settle(rows, "cox")
     head = rows.groupBy("model").agg(
-        weight.alias("n"),
+        F.sum("m").alias("n"),
         F.sum(F.col("m") * F.col("e")).alias("n_event"),
-        *[(F.sum(F.col("m") * F.col(f"x{j}")) / weight).alias(f"c{j}") for j in numeric],
-        *[f(f"x{j}").alias(f"{n}{j}") for j in numeric for n, f in (("least", F.min), ("most", F.max))],
+        *_Scale.aggregates(numeric),
         *[F.sum(F.col("m") * F.col(f"x{j}")).alias(f"k{j}") for j in range(p) if j not in numeric],
     ).collect()  # one row per model
     info = {r["model"]: r for r in head if r["n_event"] > 0}
-    centre = {m: [r[f"c{j}"] if j in numeric else 0.0 for j in range(p)] for m, r in info.items()}
-    scale = {
-        m: np.array([_spread(r[f"c{j}"], r[f"least{j}"], r[f"most{j}"]) if j in numeric else 1.0 for j in range(p)])
-        for m, r in info.items()
-    }
-
-    def evaluate(betas: dict) -> dict:
-        names = ["model", *[f"{c}{j}" for c in "bcr" for j in range(p)]]
-        table = small_frame(
-            rows.sparkSession,
-            [(m, *map(float, b), *map(float, centre[m]), *map(float, scale[m])) for m, b in betas.items()],
-            names,
-        )
-        joined = rows.join(table, "model").withColumns(
-            {f"x{j}": (F.col(f"x{j}") - F.col(f"c{j}")) / F.col(f"r{j}") for j in numeric}
-        )
-        eta = sum((F.col(f"b{j}") * F.col(f"x{j}") for j in range(1, p)), F.col("b0") * F.col("x0"))
-        return _collect_steps(_step(joined.withColumn("eta", eta), p, efron), p)
-
-    fits = newton(sorted(info), p, evaluate)
+    scale = _Scale(info, numeric, p)
+    fits, _, _ = _fit_models(rows, scale, p, efron)
     out = []
-    for m, fit in fits.items():
-        fit.beta = fit.beta / scale[m]
-        fit.cov = None if fit.cov is None else fit.cov / np.outer(scale[m], scale[m])
+    for m in sorted(info):
+        fit = scale.back(m, fits[m])
         for j, (name, level) in enumerate(terms):
             n_level = info[m]["n"] if level is None else info[m][f"k{j}"]
             out.append(_term_row(m, name, level, n_level, info[m]["n_event"], fit, j))
@@ -384,6 +398,16 @@ def model_table(df: DataFrame, covariates: Sequence[Covariate], fitted: DataFram
     return rows.unionByName(plain).withColumns({"loglik": ll, "aic": -2 * ll + 2 * p})
 
 
+def linear_predictor(covariates: Sequence[Covariate], fitted: DataFrame) -> Column:
+    """The score of a row under one fitted model; null where an estimate or a covariate is missing."""
+    coef = {(r["term"], r["level"]): r["coef"] for r in fitted.select("term", "level", "coef").collect()}  # a row per term
+    terms = [t for c in covariates for t in c.terms()]
+    score = F.lit(0.0)
+    for x, (name, level) in zip(_design(covariates), terms, strict=True):
+        score = score + F.lit(coef[name, level or ""]).cast("double") * x
+    return score
+
+
 def hr_text(hr: Column, lower: Column, upper: Column) -> Column:
     """``HR 1.23 [1.05;1.44]``."""
     return F.format_string("HR %.2f [%.2f;%.2f]", hr, lower, upper)
@@ -474,7 +498,7 @@ def screen_adjusted(
     exposure: DataFrame,
     outcome: DataFrame,
     covariates: Sequence[Covariate],
-    classes: Sequence[str],
+    classes: Sequence[str] | None = None,
     key: str = "patientid",
     time: str = "t_days",
     event: str = "event",
@@ -482,60 +506,76 @@ def screen_adjusted(
 ) -> DataFrame:
     """One model per class, adjusted for covariates; the row of the class term.
 
-    All classes share the unexposed bulk.  Subjects are counted per covariate profile
-    once, exposed subjects per (class, profile) once; a model is "everyone as unexposed,
-    plus its exposed as exposed, minus its exposed as unexposed".  Profiles are repeated
-    per class only inside the map side of the per-day aggregate, never shuffled.
+    The model of the covariates alone is fitted first; the classes start at its estimate, on its last table.  Two moment tables hold
+    the rest: everyone's, which goes to the tasks whole (at most ``MAX_ROWS`` rows), and that of the exposed per
+    class, from one join.  A model is everyone as unexposed, its exposed as exposed, and its exposed as unexposed taken off; it
+    is fitted in one task on tables whose size the cohort does not touch.  Subjects are never repeated per class.
     """
     spark = outcome.sparkSession
-    p = sum(len(c.terms()) for c in covariates) + 1
-    xs = [f"x{j}" for j in range(p - 1)]
+    terms = [t for c in covariates for t in c.terms()]
+    p = len(terms)
+    xs = [f"x{j}" for j in range(p)]
+    numeric = [j for j, (_, level) in enumerate(terms) if level is None]
+    cell = [x for j, x in enumerate(xs) if j not in numeric]
     known = outcome.select(
         key,
         F.col(time).alias("t"),
         F.col(event).cast("int").alias("e"),
         *[c.alias(x) for c, x in zip(_design(covariates), xs)],
     ).dropna()
-    m = F.count(F.lit(1)).cast("double").alias("m")
-    everyone = settle(known.groupBy("t", "e", *xs).agg(m), "screen", along="t", wide=True)
-    exposed = exposure.select(key, F.col("atc3").alias("model")).where(
-        F.col("atc3").isin(list(classes))
-    ).distinct()
-    mine = settle(exposed.join(known, key).groupBy("model", "t", "e", *xs).agg(m), "screen", along="t")
-    numeric = {f"x{j}" for j, (_, v) in enumerate(t for c in covariates for t in c.terms()) if v is None}
-    centre = everyone.agg(
-        F.sum("m").alias("n"),
-        *[(F.sum(F.col("m") * F.col(x)) / F.sum("m")).alias(x) for x in xs],
-        *[f(x).alias(f"{n}_{x}") for x in xs for n, f in (("least", F.min), ("most", F.max))],
-    ).first()
-    spread = {x: _spread(centre[x], centre[f"least_{x}"], centre[f"most_{x}"]) for x in xs if x in numeric and centre["n"]}
-    shift = {x: (F.col(x) - float(centre[x])) / spread[x] for x in spread}
-    sizes = {
-        r["model"]: r
-        for r in mine.groupBy("model").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("e")).alias("d")).collect()
-    }
-    todo = sorted(sizes)
-
-    def evaluate(betas: dict) -> dict:
-        fields = ", ".join(f"b{j} double" for j in range(p))
-        text = json.dumps([{"model": c, **{f"b{j}": float(v) for j, v in enumerate(b)}} for c, b in betas.items()])
-        models = F.from_json(F.lit(text), f"array<struct<model string, {fields}>>")
-        bulk = everyone.withColumns(shift).select("*", F.explode(models).alias("_m")).select("*", "_m.*").drop("_m")
-        table = small_frame(spark, [(c, *map(float, b)) for c, b in betas.items()], ["model", *[f"b{j}" for j in range(p)]])
-        own = mine.withColumns(shift).join(table, "model")
-        zero, one = F.lit(0.0), F.lit(1.0)
-        last = f"x{p - 1}"
-        frame = (
-            bulk.withColumn(last, zero)
-            .unionByName(own.withColumn(last, one))
-            .unionByName(own.withColumn(last, zero).withColumn("m", -F.col("m")))
-        )
-        eta = sum((F.col(f"b{j}") * F.col(f"x{j}") for j in range(1, p)), F.col("b0") * F.col("x0"))
-        return _collect_steps(_step(frame.withColumn("eta", eta), p, efron), p)
-
-    fits = newton(todo, p, evaluate)
-    out = [
-        (c, *_term_row("", "", "", sizes[c]["n"], sizes[c]["d"], fits[c], p - 1)[3:12], fits[c].status) for c in todo
-    ]
+    known = settle(known.select("*", F.lit("all").alias("model"), F.lit(1.0).alias("m")), "screen")
+    head = known.groupBy("model").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("e")).alias("n_event"), *_Scale.aggregates(numeric))
+    scale = _Scale({r["model"]: r for r in head.collect() if r["n_event"] > 0}, numeric, p)
     names = ["atc3", "n", "n_event", "coef", "se", "hr", "lower", "upper", "z", "p", "status"]
-    return small_frame(spark, out, names, ["string", "long", "long", *["double"] * 7, "string"])
+    kinds = ["string", "long", "long", *["double"] * 7, "string"]
+    if not scale.centre:
+        return small_frame(spark, [], names, kinds)
+    base, tables, anchors = _fit_models(known, scale, p, efron)
+    picked = exposure.select(key, F.col("atc3").alias("class")).where(F.col("atc3").isNotNull())
+    picked = picked if classes is None else picked.where(F.col("atc3").isin(list(classes)))
+    own_rows = picked.distinct().join(known, key)
+    sizes: dict = {}
+    fits: dict = {}
+
+    def one_pass(everyone: DataFrame, anchor: list[float], states: dict, only: str | None = None) -> dict:
+        """All classes, or one, with tables anchored at ``anchor``; the states of classes that leave the tables' reach."""
+        table = mo.Table.from_pandas(everyone.drop("model").toPandas(), cell, anchor, numeric)
+        shared = spark.sparkContext.broadcast(table)
+        rows = own_rows if only is None else own_rows.where(F.col("class") == only)
+        z = {f"z{i}": (F.col(f"x{j}") - float(scale.centre["all"][i])) / float(scale.width["all"][i]) for i, j in enumerate(numeric)}
+        sums = mo.moment_sums([F.col(c) for c in z], [F.lit(a) for a in anchor], F.col("m"))
+        own = mo.moment_table(rows.withColumns(z) if z else rows, ["class"], cell, sums)
+        begin = np.array(base["all"].beta)
+        if not (base["all"].converged and table.near(begin)):
+            begin = np.zeros(p)
+            begin[numeric] = anchor
+        first = new_state(p + 1) | {"b": [*map(float, begin), 0.0]}
+
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            mine = mo.Table.from_pandas(pdf, cell, anchor, numeric)
+            state = states.get(key[0]) or dict(first)
+            found = _table_fit(shared.value.exposed(mine), state, efron)
+            n, d = float(mine.n.sum()), float((mine.n * mine.e).sum())
+            return pd.DataFrame({"class": [key[0]], "n": [n], "n_event": [d], "found": [found]})
+
+        done = own.groupBy("class").applyInPandas(run, "class string, n double, n_event double, found string").collect()
+        left = {}
+        for r in done:  # one row per class
+            sizes[r["class"]] = (r["n"], r["n_event"])
+            found = json.loads(r["found"])
+            if "fit" in found:
+                fits[r["class"]] = _fit_of(found["fit"])
+            else:
+                left[r["class"]] = found["state"]
+        return left
+
+    left = one_pass(tables, anchors["all"], {})
+    while left:  # a class that moves the covariates far from the shared anchor gets tables of its own
+        name = min(left)
+        state = left.pop(name)
+        anchor = [float(state["b"][j]) for j in numeric]
+        left |= one_pass(_checked(scale.moments(known, {"all": anchor}, cell), ["model"]), anchor, {name: state}, name)
+    full = scale.full["all"]
+    scale.full["all"] = np.append(full, 1.0)
+    out = [(c, *_term_row("", "", "", *sizes[c], scale.back("all", fits[c]), p)[3:12], fits[c].status) for c in sorted(fits)]
+    return small_frame(spark, out, names, kinds)

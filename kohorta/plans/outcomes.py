@@ -10,6 +10,7 @@ from kohorta.operators import cox as ph
 from kohorta.operators import distribution as dist
 from kohorta.operators import events as ev
 from kohorta.operators import exposure as ex
+from kohorta.operators.concordance import concordance
 from kohorta.operators import keyed, quality, screening, tables
 from kohorta.operators import survival as sv
 from kohorta.functions.tails import with_chi_square_p
@@ -297,13 +298,44 @@ def cox_model_table(c: Clinic):
     return table.select("term", "level", "n", *_rounded("hr", "lower", "upper", "p"))
 
 
+_FIT_FRAME = f"SELECT 'all' AS model, t_days AS t, event AS e, age AS x0, {_X_YES} AS x1 FROM outcome"
+
+
+@query(f"""
+WITH est AS ({cox_sql(_FIT_FRAME, [("age", ""), ("polypharmacy", "Yes")], digits=12)}),
+b AS (SELECT max(CASE WHEN term = 'age' THEN coef END) AS b0, max(CASE WHEN term <> 'age' THEN coef END) AS b1 FROM est),
+scored AS (SELECT t, e, b0 * x0 + b1 * x1 AS eta FROM ({_FIT_FRAME}), b),
+days AS (SELECT t, sum(exp(eta)) AS s, sum(e * exp(eta)) AS q, CAST(sum(e) AS BIGINT) AS d, sum(e * eta) AS z FROM scored GROUP BY t),
+risk AS (SELECT *, sum(s) OVER (ORDER BY t DESC) AS at_risk FROM days),
+ll AS (SELECT sum(z - list_sum(list_transform(range(0, d), lambda l: ln(at_risk - l * q / d)))) AS loglik FROM risk WHERE d > 0),
+pairs AS (
+  SELECT sum((j.eta < i.eta)::BIGINT) AS concordant, sum((j.eta > i.eta)::BIGINT) AS discordant, sum((j.eta = i.eta)::BIGINT) AS tied
+  FROM scored i JOIN scored j ON i.e = 1 AND (j.t > i.t OR j.t = i.t AND j.e = 0)),
+n AS (SELECT polypharmacy AS level, count(*) AS n FROM outcome GROUP BY 1)
+SELECT k.term, k.level, coalesce(n.n, (SELECT count(*) FROM outcome)) AS n, round(coalesce(est.hr, 1.0), 4) AS hr,
+  round(loglik, 4) AS loglik, round(4 - 2 * loglik, 4) AS aic,
+  round((concordant + tied / 2) / (concordant + discordant + tied), 6) AS concordance
+FROM (VALUES ('age', ''), ('polypharmacy', 'No'), ('polypharmacy', 'Yes')) AS k(term, level)
+LEFT JOIN est ON est.term = k.term AND est.level = k.level LEFT JOIN n ON n.level = k.level, ll, pairs""")
 def cox_fit_statistics(c: Clinic):
     covariates = [AGE, YES]
-    fit = ph.cox(c.outcome, covariates)
-    return ph.model_table(c.outcome, covariates, fit).select("term", "level", "n", "hr", "loglik", "aic")
+    rows = settle(c.outcome.select("t_days", "event", "age", "polypharmacy"), "follow")
+    fit = ph.cox(rows, covariates)
+    agree = concordance(rows, ph.linear_predictor(covariates, fit)).select("concordance").scalar()
+    table = ph.model_table(rows, covariates, fit)
+    return table.select("term", "level", "n", *_rounded("hr", "loglik", "aic"), agree.alias("concordance"))
 
 
-query()(cox_fit_statistics)
+@query(f"""
+WITH t AS ({cox_sql(f"SELECT 'all' AS model, t_days AS t, event AS e, age AS x0, {_X_SEX} AS x1 FROM outcome",
+    [("age", ""), ("sex", "M")], digits=12)})
+SELECT term, level, round(CASE term WHEN 'age' THEN 1000 * coef ELSE coef END, 3) AS coef,
+  round(CASE term WHEN 'age' THEN 1000 * se ELSE se END, 3) AS se, round(z, 4) AS z, round(p, 4) AS p FROM t""")
+def cox_small_units(c: Clinic):
+    rows = c.outcome.withColumn("age", F.col("age") / 1000)
+    fit = ph.cox(rows, [AGE, SEX])
+    three = [F.round(n, 3).alias(n) for n in ("coef", "se")]
+    return fit.select("term", "level", *three, *_rounded("z", "p"))
 
 
 @query(f"""
@@ -351,10 +383,7 @@ WITH fits AS ({cox_sql(_SCREENED.format(
     [("age", ""), ("sex", "M"), ("atc3", "")])})
 SELECT model AS atc3, coef, se, hr, lower, upper, z, p FROM fits WHERE term = 'atc3'""")
 def cox_screen_adjusted(c: Clinic):
-    exposure, follow = _screen_inputs(c)
-    first = ph.screen(exposure, follow).where(F.col("p").isNotNull())
-    classes = [r["atc3"] for r in first.select("atc3").collect()]  # one row per class
-    adjusted = ph.screen_adjusted(exposure, follow, [AGE, SEX], classes)
+    adjusted = ph.screen_adjusted(*_screen_inputs(c), [AGE, SEX]).where(F.col("p").isNotNull())
     return adjusted.select("atc3", *_rounded(*ESTIMATES))
 
 

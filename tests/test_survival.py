@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kohorta.operators import cox as ph
-from kohorta.operators import screening
+from kohorta.operators import moments, screening
 from kohorta.operators import survival as sv
+from kohorta.operators.concordance import concordance
 
 SIX = [("a", 1, 1), ("a", 2, 1), ("a", 2, 1), ("a", 3, 0), ("a", 4, 1), ("a", 5, 0)]
 
@@ -278,3 +279,96 @@ def test_publication_table(spark, rows):
         ("A07", "old name", "<5", "1.50 [1.10;2.00]", "<0.001", None, None),
         ("C03", "third", None, None, None, "9", "2.00 [1.20;3.00]"),
     ]
+
+
+# ---- concordance and moment tables -----------------------------------------------
+
+
+def test_concordance_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    for n, days, scores in ((400, 30, 12), (700, 500, 10**6)):
+        rows = [(int(t), int(e), float(s)) for t, e, s in zip(rng.integers(0, days, n), rng.integers(0, 2, n), rng.integers(0, scores, n), strict=True)]
+        less = more = same = 0
+        for t, e, s in rows:
+            for t2, e2, s2 in rows:
+                if e == 1 and (t2 > t or t2 == t and e2 == 0):
+                    less, more, same = less + (s2 < s), more + (s2 > s), same + (s2 == s)
+        df = spark.createDataFrame([*rows, (None, 1, 2.0), (3, 1, None)], "t_days int, event int, s double").repartition(4)
+        for ranges in (1, 7, 150):
+            r = concordance(df, F.col("s"), ranges=ranges).first()
+            assert (r.concordant, r.discordant, r.tied) == (less, more, same)
+            assert r.concordance == pytest.approx((less + same / 2) / (less + more + same), rel=1e-12)
+    assert concordance(df.where("event = 0"), F.col("s")).first().concordance is None
+    assert concordance(df.where("t_days > 10000"), F.col("s")).first().concordance is None
+
+
+@pytest.mark.parametrize("q", [0, 1, 2, 3])
+def test_moment_table_sums_equal_direct_sums(q):
+    rng = np.random.default_rng(q)
+    n, p = 500, q + 2
+    t, e, x, z = rng.integers(1, 9, n), rng.integers(0, 2, n), rng.integers(0, 2, (n, 2)).astype(float), rng.uniform(-1, 1, (n, q))
+    anchor, b = rng.normal(size=q), np.empty(p)
+    numeric = [2 * i for i in range(q)][: min(q, 2)] + ([p - 1] if q == 3 else [])
+    step = rng.dirichlet(np.ones(q)) * 0.999 * moments.reach(q) if q else np.empty(0)
+    b[numeric], b[[j for j in range(p) if j not in numeric]] = anchor + step, [0.4, -2.0]
+    w0 = np.exp(z @ anchor)
+    m = np.stack([w0 * np.prod(z ** np.array(a), axis=1) for a in moments.powers(q)], axis=1)
+    table = moments.Table(t, e, x, np.ones(n), z, m, anchor, numeric)
+    assert table.near(b) and (q == 0 or not table.near(b + 3))
+    full = np.empty((n, p))
+    full[:, numeric], full[:, [j for j in range(p) if j not in numeric]] = z, x
+    w = np.exp(full @ b)
+    got = table.sums(b)
+    for k, day in enumerate(sorted(set(t.tolist()), reverse=True)):
+        risk, dead = t >= day, (t == day) & (e == 1)
+        for at, rows in ((0, risk), (3, dead)):
+            assert got[at][k] == pytest.approx(w[rows].sum(), rel=1e-11)
+            assert got[at + 1][k] == pytest.approx(w[rows] @ full[rows], rel=1e-10, abs=1e-10)
+            assert got[at + 2][k] == pytest.approx(np.einsum("i,ij,ik->jk", w[rows], full[rows], full[rows]), rel=1e-10, abs=1e-10)
+        assert (got[6][k], got[8][k]) == (dead.sum(), pytest.approx((full[dead] @ b).sum(), rel=1e-10, abs=1e-10))
+        assert got[7][k] == pytest.approx(full[dead].sum(axis=0), rel=1e-10, abs=1e-10)
+
+
+def test_estimate_does_not_move_with_the_unexposed_bulk():
+    def fit(bulk):
+        days = np.arange(1, 41)
+        n1, d1 = np.where(days % 3 == 0, 1.0, 0.0), np.where(days % 6 == 0, 1.0, 0.0)
+        return ph.binary_cox(days, n1, d1, days, n1 + bulk * (50 - days), d1 + bulk)
+
+    small, large = fit(1e4), fit(1e10)
+    assert small.status == large.status == "converged" and small.steps > 1
+    assert large.beta == pytest.approx(small.beta, abs=2e-3) and large.cov == pytest.approx(small.cov, rel=2e-3)
+    # where the bulk only scales, the estimate is that of the limit
+    assert fit(1e9).beta == pytest.approx(large.beta, abs=1e-6)
+
+
+def test_adjusted_screen_takes_tables_anew_beyond_their_reach(spark):
+    rng = np.random.default_rng(6)
+    n = 400
+    exposed = rng.random(n) < 0.5
+    x = np.where(exposed, 1.0, -1.0) * rng.uniform(0.7, 1, n)  # the class and the covariate go together
+    t = np.ceil(rng.exponential(80 * np.exp(-2.5 * x + 4.5 * exposed))).astype(int)
+    df = spark.createDataFrame([(i, int(a), int(rng.random() < 0.8), float(v)) for i, (a, v) in enumerate(zip(t, x, strict=True))], "patientid int, t_days int, event int, x double")
+    exposure = spark.createDataFrame([(i, "C") for i in range(n) if exposed[i]], "patientid int, atc3 string")
+    got = ph.screen_adjusted(exposure, df, [ph.Covariate("x")]).first()
+    one = df.withColumn("c", F.col("patientid").isin([i for i in range(n) if exposed[i]]).cast("string"))
+    want = [r for r in ph.cox(one, [ph.Covariate("x"), ph.Covariate("c", ["false", "true"])]).collect() if r.term == "c"][0]
+    assert got.status == want.status == "converged"
+    assert (got.coef, got.se) == (pytest.approx(want.coef, abs=1e-8), pytest.approx(want.se, rel=1e-7))
+
+
+def test_two_and_three_numeric_covariates(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(250, 3))
+    t = np.ceil(rng.exponential(50 * np.exp(-x @ np.array([0.5, -0.4, 0.2])))).astype(int)
+    rows = [(int(a), int(rng.random() < 0.7), *map(float, v)) for a, v in zip(t, x, strict=True)]
+    df = spark.createDataFrame(rows, "t_days int, event int, a double, b double, c double")
+    for names in ("ab", "abc"):
+        beta = np.array([r.coef for r in ph.cox(df, [ph.Covariate(v) for v in names]).collect()])
+        assert np.abs(gradient(beta, [(r[0], r[1], r[2 : 2 + len(names)]) for r in rows])).max() < 1e-3
+
+
+def test_too_many_distinct_times_are_an_error(spark, cohort, monkeypatch):
+    monkeypatch.setattr(moments, "MAX_ROWS", 20)
+    with pytest.raises(ValueError, match="round times to days"):
+        ph.cox(cohort[1], COVARIATES[:1])
