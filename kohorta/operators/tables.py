@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohorta.operators.distribution import kruskal_wallis, quantiles_of_counts
+from kohorta.operators.distribution import kruskal_tests, quantiles_of_counts
 from kohorta.operators.keyed import join_null_safe, union_all
 from kohorta.sources.codes import small_frame
 
@@ -82,7 +82,7 @@ def baseline_table(
 
     Rows ``variable, level, stratum``; factors give ``n`` and ``pct`` of the stratum's
     known values, ``medians`` give ``median, q1, q3``, ``means`` give ``mean, sd``.  The
-    total is summed from the strata, not scanned again.  A factor with a level list in
+    total comes from the same pass as the strata.  A factor with a level list in
     ``levels`` shows its empty levels too.
     """
     parts = []
@@ -111,11 +111,9 @@ def baseline_table(
             df.select(F.col(by).cast("string").alias("stratum"), *[F.col(c).cast("double") for c in medians])
             .unpivot(["stratum"], list(medians), "variable", "x")
             .where(F.col("x").isNotNull())
-            .groupBy("variable", "stratum", "x")
-            .agg(F.count(F.lit(1)).alias("n"))
+            .select("variable", F.explode(F.array("stratum", F.lit(TOTAL))).alias("stratum"), "x", F.lit(1).cast("long").alias("n"))
+            .where(F.col("stratum").isNotNull())
         )
-        total = counts.groupBy("variable", "x").agg(F.sum("n").alias("n")).withColumn("stratum", F.lit(TOTAL))
-        counts = counts.where(F.col("stratum").isNotNull()).unionByName(total)
         keys = ["variable", "stratum"]
         parts.append(quantiles_of_counts(counts, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], total="n"))
     if means:
@@ -163,12 +161,8 @@ def group_tests(df: DataFrame, by: str, medians: Sequence[str] = (), factors: Se
     parts = []
     if factors:
         parts.append(chi_square(df, by, factors).withColumn("test", F.lit("chi-square")))
-    for c in medians:
-        parts.append(
-            kruskal_wallis(df, by, c).select(
-                F.lit(c).alias("variable"), "statistic", "dof", "n", F.lit("kruskal-wallis").alias("test")
-            )
-        )
+    if medians:
+        parts.append(kruskal_tests(df, by, medians).withColumn("test", F.lit("kruskal-wallis")))
     return union_all(parts)
 
 
