@@ -10,17 +10,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEGMENT = 1 << 18  # words hashed at a time, which bounds memory on very long texts
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+SEGMENT = 1 << 18  # n-grams hashed at a time, which bounds memory on very long texts
+KNOWN = 1 << 16  # words whose hashes a task remembers
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 # Everything but digits, small letters and bytes of non-ASCII characters ends a word.
 _ALNUM = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-_BYTE_VALUE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,34 +53,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        factor = _BASE if kind == "up" else _INVERSE
-        have = np.full(max(n, 2 * len(have)), factor, np.uint64)
-        have[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(have)
-    return have[:n]
+class _WordHashes(dict):
+    """XXH64 of words; the dictionary is emptied when full, long words are not kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_word_hashes = _WordHashes()
 
 
 def ngram_hashes(words: list[bytes], n: int) -> np.ndarray:
     """A 64-bit hash of each n consecutive words, in order (empty if there are fewer words).
 
-    A polynomial over the bytes of the words joined by one space: prefix sums give any run of words in
-    one subtraction.
+    Each word is hashed as a whole, whatever its length; the n values are chained by multiplication and mixing.
     """
     out = []
     for at in range(0, max(len(words) - n + 1, 0), SEGMENT):
         part = words[at : at + SEGMENT + n - 1]
-        joined = np.frombuffer(b" ".join(part), np.uint8)
-        size = len(joined)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[joined] * _power("up", size), out=sums[1:])
-        gaps = np.flatnonzero(joined == 32)
-        starts = np.concatenate(([0], gaps + 1))
-        ends = np.concatenate((gaps, [size]))
-        first = starts[: len(part) - n + 1]
-        out.append(mix((sums[ends[n - 1 :]] - sums[first]) * _power("down", size + 1)[first]))
+        single = np.fromiter(map(_word_hashes.__getitem__, part), np.uint64, len(part))
+        size = len(part) - n + 1
+        value = np.full(size, n, np.uint64)
+        for k in range(n):
+            value = (value ^ single[k : k + size]) * _BASE
+            value ^= value >> np.uint64(29)
+        out.append(mix(value))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 

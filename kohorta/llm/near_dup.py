@@ -11,7 +11,8 @@ probability (1 - 0.8**4)**32, about 5e-8.  Candidates are confirmed on the full
 Work on a group of similar texts stays linear.  Equal sets form one class with one representative.  Inside a band
 bucket, representatives are first compared with one hub; once the links found are joined to components, only
 buckets that still hold several components are compared further: in all pairs across components where these are few
-for the bucket's size (finer sketches that agree in fewer than ``ALIKE`` coordinates need no look at the texts), else with
+for the bucket's size (finer sketches, compared in blocks inside a task, that agree in fewer than ``ALIKE`` coordinates need no
+look at the texts; likest partners are confirmed first, and what their links join needs no further look), else with
 a further hub, then after splitting by the bands of a second, independent sketch (as many as the first has), then by 128
 bands of ``DEEP_ROWS`` coordinates of a third.  A pair of similarity 0.8 shares no band of the second with probability
 5e-8 and none of the third with probability 6e-11, whatever number of first bands it shares.  What is still
@@ -42,6 +43,8 @@ ROWS = 4
 FINE = 4  # sketches of BINS coordinates, 8 bits each, by which the pairs of a bucket are sieved
 ALIKE = 350  # of the FINE * BINS coordinates shared; at similarity 0.8 fewer have probability 2e-10
 PAIRS_A_ROW = 256  # a bucket with no more pairs across components than this per member is compared in full
+CHUNK = 1024  # members of a bucket that one task compares with those outside its largest component
+LIKEST = (8, 64, None)  # partners a member names in the rounds of a bucket; the last round names all that are left
 HUBS = 2  # hubs tried at each depth before a bucket is split
 DEEP = 3  # splits by first, second and third bands; what is large after the last is compared hub by hub
 DEEP_ROWS = 8  # coordinates of a third band
@@ -222,33 +225,71 @@ def _open(known: DataFrame) -> DataFrame:
     return known.join(wide, "key")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs of different components whose sketches agree in ``ALIKE`` coordinates; each has a member outside the
-    bucket's largest component.
+    bucket's largest component, and each such member names its ``most`` likest partners of a chunk (None: all).
 
-    A pair whose set sizes already rule the link out is not formed, and of the buckets of one depth that two members
-    share only that of their least bands forms the pair (``earlier``: a member's other bands below the bucket's last).
+    Sketches are compared in blocks inside the task, so no row is made per pair looked at.  Members of a bucket are
+    dealt over chunks of about ``CHUNK``, and those outside the largest component (``minor``, at most 1024 by the limit on
+    pairs) go to every chunk: rows stay in proportion to the bucket.  A pair whose set sizes rule the link out is
+    skipped, and of the buckets of one depth that two members share only that of their least bands forms it (``earlier``: a
+    member's other bands below the bucket's last).
     """
-    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("node", "root", "short", "size", "earlier")]
-    minor = members.where("root <> top").select("key", *side("a"))
-    other = members.select("key", *side("b"))
-    size_a, size_b = F.col("size_a"), F.col("size_b")
-    sized = F.coalesce((100 * size_a >= percent * size_b) & (100 * size_b >= percent * size_a), F.lit(True))
-    apart = (F.col("root_a") != F.col("root_b")) & sized & ~F.arrays_overlap("earlier_a", "earlier_b")
-    both = minor.alias("l").join(other.alias("r"), (F.col("l.key") == F.col("r.key")) & apart)
-    both = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("short_a").alias("sa"), F.col("short_b").alias("sb"))
-
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    minor = F.col("root") != F.col("top")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    fields = ["node", "root", "short", "size", "earlier"]
+    askers = members.where(minor).select(
+        "key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(0).alias("side"), F.lit(True).alias("minor"), *fields
+    )
+    others = members.select("key", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), F.lit(1).alias("side"), minor.alias("minor"), *fields)
+    dealt = askers.unionByName(others).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side")
+
+    def meet(mine: dict, part: dict) -> tuple[list, list]:
+        """Pairs of the askers with one block of the others."""
+        found: tuple[list, list] = ([], [])
+        for i, node in enumerate(mine["node"]):
+            fit = part["root"] != mine["root"][i]
+            fit &= ~part["minor"] | (part["node"] > node)
+            if mine["size"][i] >= 0:
+                low, high = np.minimum(part["size"], mine["size"][i]), np.maximum(part["size"], mine["size"][i])
+                fit &= (part["size"] < 0) | (100 * low >= percent * high)
+            at = np.flatnonzero(fit)
+            agree = (part["short"][at] == mine["short"][i]).sum(axis=1)
+            agree[(part["size"][at] < 0) | (mine["size"][i] < 0)] = FINE * BINS  # sketches unknown: the texts decide
+            good = np.flatnonzero(agree >= ALIKE)
+            left = most or len(good)
+            for j in at[good[np.argsort(-agree[good], kind="stable")]].tolist():
+                if left and mine["earlier"][i].isdisjoint(part["earlier"][j]):
+                    found[0].append(int(node))
+                    found[1].append(int(part["node"][j]))
+                    left -= 1
+        return found
+
+    def block(batch: pa.RecordBatch) -> dict:
+        short = [v or bytes(FINE * BINS) for v in column(batch, "short")]
+        return {
+            "node": np.array(column(batch, "node"), np.int64), "root": np.array(column(batch, "root"), np.int64),
+            "minor": np.array(column(batch, "minor"), bool), "short": np.frombuffer(b"".join(short), np.uint8).reshape(-1, FINE * BINS),
+            "size": np.array([-1 if v is None or s is None else v for v, s in zip(column(batch, "size"), column(batch, "short"), strict=True)], np.int64),
+            "earlier": [frozenset(v) for v in column(batch, "earlier")],
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, mine = None, None
         for batch in batches:
-            sides = [column(batch, n) for n in ("sa", "sb")]
-            known = np.array([a is not None and b is not None for a, b in zip(*sides, strict=True)], bool)
-            keep = ~known
-            if known.any():
-                x, y = (np.frombuffer(b"".join([v for v, k in zip(s, known, strict=True) if k]), np.uint8).reshape(-1, FINE * BINS) for s in sides)
-                keep[known] = (x == y).sum(axis=1) >= ALIKE
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            key, chunk, side = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            turn = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]) | (side[1:] != side[:-1])) + 1
+            for s, e in zip([0, *turn.tolist()], [*turn.tolist(), len(key)], strict=True):
+                part = block(batch.slice(s, e - s))
+                if side[s] == 0:
+                    if here == (key[s], chunk[s]):
+                        part = {k: [*mine[k], *v] if isinstance(v, list) else np.concatenate((mine[k], v)) for k, v in part.items()}
+                    here, mine = (key[s], chunk[s]), part
+                elif here == (key[s], chunk[s]):
+                    a, b = meet(mine, part)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _pairs(both.mapInArrow(sieve, "a long, b long"))
+    return _pairs(dealt.mapInArrow(run, "a long, b long"))
 
 
 def _deeper(members: DataFrame, deep: DataFrame, depth: int) -> DataFrame:
@@ -318,16 +359,21 @@ def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
             near, members = near.unionByName(left.where(small)), left.where(~small)
         if fine is None:
             fine = settle(fine_sketches(held, words).join(bands, "node"), "fine")
-        near = _earlier(near.join(fine, "node"), deep)
         seed, hubs = seed + 1, hubs + 1
-        wanted = _across(near, percent).unionAll(_hub_pairs(members, seed)).distinct()
+        for most in LIKEST:
+            wanted = _across(_earlier(near.join(fine, "node"), deep), percent, most)
+            if most == LIKEST[0]:
+                wanted = wanted.unionAll(_hub_pairs(members, seed)).distinct()
+            fresh = settle(wanted.join(tried, ["a", "b"], "left_anti"), "tried")
+            tried = tried.unionAll(fresh)
+            comps = join_up(fresh, comps)
+            near = settle(_open(_placed(near, comps)), "open")  # what the links found have left apart
+            if near.isEmpty():
+                break
         if depth == DEEP:  # a hub that was compared with all of its bucket leaves it
             order = F.struct(F.xxhash64("key", "node", F.lit(seed)).alias("o"), F.col("node"))
             done = members.groupBy("key").agg(F.min(order).getField("node").alias("node"))
             members = members.join(done, ["key", "node"], "left_anti")
-        fresh = settle(wanted.join(tried, ["a", "b"], "left_anti"), "tried")
-        tried = tried.unionAll(fresh)
-        comps = join_up(fresh, comps)
     return comps
 
 
