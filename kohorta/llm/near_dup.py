@@ -44,7 +44,8 @@ FINE = 4  # sketches of BINS coordinates, 8 bits each, by which the pairs of a b
 ALIKE = 350  # of the FINE * BINS coordinates shared; at similarity 0.8 fewer have probability 2e-10
 PAIRS_A_ROW = 256  # a bucket with no more pairs across components than this per member is compared in full
 CHUNK = 1024  # members of a bucket that one task compares with those outside its largest component
-LIKEST = (8, 64, None)  # partners a member names in the rounds of a bucket; the last round names all that are left
+ONE_TASK = 1 << 18  # edges of a graph that one task joins up
+LIKEST = (16, None)  # partners a member names in the rounds of a bucket; the last round names all that are left
 HUBS = 2  # hubs tried at each depth before a bucket is split
 DEEP = 3  # splits by first, second and third bands; what is large after the last is compared hub by hub
 DEEP_ROWS = 8  # coordinates of a third band
@@ -167,16 +168,40 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of a graph that one task can hold."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        way = []
+        while (up := parent.setdefault(x, x)) != x:
+            way.append(x)
+            x = up
+        for w in way:
+            parent[w] = x
+        return x
+
+    for batch in batches:
+        for a, b in zip(column(batch, "a"), column(batch, "b"), strict=True):
+            a, b = top(a), top(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(top, nodes), pa.int64())], ["node", "root"])
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, root (least node reachable) for the nodes of undirected ``edges`` (a, b).
 
     Alternates "large star" and "small star" (Kiveris et al. 2014): each node's larger neighbours, then its
     smaller ones, are tied to its least neighbour, until nothing changes.  Rounds grow with the logarithm of
-    the graph's size; neighbourhoods are aggregated, never gathered.
+    the graph's size; neighbourhoods are aggregated, never gathered.  A graph of at most ``ONE_TASK`` edges needs no rounds: one
+    task joins it up, with the same result.
     """
     edges = settle(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label
     )
+    if edges.count() <= ONE_TASK:
+        return settle(edges.coalesce(1).mapInArrow(_join_up, "node long, root long"), label)
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

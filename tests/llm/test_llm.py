@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 
 from kohorta.llm import near_dup, packing, recurrent
+from kohorta.llm.common import ngram_hashes
 from kohorta.llm.decontaminate import WindowSet, contamination, cut_words, decontaminate
 from kohorta.llm.hnsw import nearest
 from kohorta.llm.html_text import extract_text, main_text
@@ -410,3 +411,26 @@ def test_pipeline_matches_brute_force(spark, docs, texts, tmp_path):
         assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
         assert sum(n for _, n in places) <= 2048
     assert sum(sum(n for _, n in places) < 2048 for places in ends.values()) <= 1
+
+
+def test_components_in_one_task_and_in_rounds(spark, rows, monkeypatch):
+    rng = random.Random(2)
+    pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 480)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    one = rows(near_dup.components(edges))
+    monkeypatch.setattr(near_dup, "ONE_TASK", 0)
+    assert rows(near_dup.components(edges)) == one
+    assert dict(one)[480] == 400 and all(r <= n for n, r in one)
+
+
+def test_ngram_hashes_tell_words_apart():
+    thue = [b"a"]
+    for _ in range(10):
+        thue.append(thue[-1] + thue[-1].translate(bytes.maketrans(b"ab", b"ba")))
+    other = thue[-1].translate(bytes.maketrans(b"ab", b"ba"))
+    one, two = (ngram_hashes([w, b"x", b"y", b"z"], 4) for w in (thue[-1], other))
+    assert one != two and len(ngram_hashes([b"a"], 2)) == 0
+    many = [b"%d" % (k % 977) for k in range(5000)]
+    found = ngram_hashes(many, 3)
+    assert len(set(found.tolist())) == 977 and (found[:10] == ngram_hashes(many[:12], 3)).all()
+    assert len({ngram_hashes(w, n)[0] for w, n in (([b"a", b"b"], 2), ([b"b", b"a"], 2), ([b"a b"], 1), ([b"ab"], 1))}) == 4
