@@ -38,5 +38,5 @@ def lookback_bounds(index: Column, window_days: float = DAYS_PER_YEAR, gap_days:
 
 
 def rate_per_year(count: Column, years: Column) -> Column:
-    """Events per year; 0 where the rate is unknown or the time is zero."""
-    return F.coalesce(F.try_divide(count.cast("double"), years), F.lit(0.0))
+    """Events per year; null where count or time is unknown or the time is zero."""
+    return F.try_divide(count.cast("double"), years)

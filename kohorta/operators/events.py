@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorta.functions.dates import diff_days_exact, diff_years, rate_per_year
-from kohorta.functions.nulls import flag, later_of, void_before
-from kohorta.operators.index import prefix_groups
+from kohorta.functions.nulls import flag, later_of, void_before, zero_if_null
+from kohorta.operators.prefixes import with_prefix_labels
 from kohorta.operators.keyed import first_per_key, keep_cohort
 from kohorta.operators.ordered import Carry, carry
 
@@ -112,8 +112,10 @@ def admission_follow_up(
     hospitals: Sequence | None = None,
     key: str = "patientid",
     drop_early: bool = False,
+    at: str = "date_admission",
 ) -> DataFrame:
-    """One row per long stay (or one censored row) from the later of diagnosis and go-live.
+    """One row per long stay (or one censored row) from the later of diagnosis and go-live.  The event is dated by
+    ``at``: the admission, or ``date_discharge`` for the row that ends the stay.
     ``stay`` holds long stays only: few per subject, so the outer join cannot be skewed.
 
     A stay before go-live is dropped and the subject kept as censored; with
@@ -124,14 +126,14 @@ def admission_follow_up(
         cohort = cohort.where(F.col("hospital_id").isin(list(hospitals)))
     cohort = cohort.where(F.col("date_death_fu") >= F.col("date_golive"))
     live = cohort.select(key, F.col("date_golive").alias("_live"))
-    late = stay.join(live, key).where(F.col("date_admission") > F.col("_live")).drop("_live")
+    late = stay.join(live, key).where(F.col(at) > F.col("_live")).drop("_live")
     if drop_early:
         cohort = cohort.join(stay.select(key, F.lit(1).alias("_any")).distinct(), key, "left")
     out = cohort.join(late, key, "left")
     if drop_early:
         out = out.where(F.col("date_admission").isNotNull() | F.col("_any").isNull()).drop("_any")
     begin = later_of(F.col("date_diagnosis"), F.col("date_golive"))
-    stop = F.coalesce(F.to_date("date_admission"), F.col("date_death_fu"))
+    stop = F.coalesce(F.to_date(at), F.col("date_death_fu"))
     return out.withColumns(
         {
             "date_start": begin,
@@ -145,7 +147,7 @@ def admission_follow_up(
         }
     ).withColumn(
         "contacts_per_year",
-        rate_per_year(F.col("n_contacts"), diff_years(F.col("date_diagnosis"), F.col("date_death_fu"))),
+        zero_if_null(rate_per_year(F.col("n_contacts"), diff_years(F.col("date_diagnosis"), F.col("date_death_fu")))),
     )
 
 
@@ -158,15 +160,7 @@ def classify_antimicrobials(
     administrations: DataFrame, prefixes: Sequence[tuple[str, str]], code: str = "atc"
 ) -> DataFrame:
     """Administrations of listed drugs, with the class of the longest matching prefix."""
-    lengths = sorted({len(p) for p, _ in prefixes})
-    table = [(p, label, len(p)) for p, label in prefixes]
-    if len(lengths) == 1:
-        return prefix_groups(administrations, code, table, ["_prefix", "ab_class", "_len"]).drop("_prefix", "_len")
-    # longest prefix wins: try the lengths from long to short on the row itself
-    label = F.lit(None).cast("string")
-    for p, name in sorted(prefixes, key=lambda r: len(r[0])):
-        label = F.when(F.col(code).startswith(p), F.lit(name)).otherwise(label)
-    return administrations.withColumn("ab_class", label).where(F.col("ab_class").isNotNull())
+    return with_prefix_labels(administrations, code, prefixes, "ab_class", longest=True)
 
 
 def exclude_drug(administrations: DataFrame, code: str, label: str, route: str | None = None) -> DataFrame:
@@ -257,7 +251,7 @@ def infection_follow_up(
     out = keep_cohort(cohort, per_key, key, zeros=["n_days_iv_sum"])
     out = truncate(out, "date_infection", "date_start", cutoff)
     years = diff_years(F.col("date_diagnosis"), F.col("date_death_fu"))
-    return out.withColumn("n_inf_per_year", rate_per_year(F.col("n_inf"), years)).where(
+    return out.withColumn("n_inf_per_year", zero_if_null(rate_per_year(F.col("n_inf"), years))).where(
         F.col("time_truncated") >= 0
     )
 

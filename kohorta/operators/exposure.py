@@ -49,8 +49,12 @@ def lookback(
     )
 
 
-def history(index: DataFrame, events: DataFrame, index_date: str = "date_diagnosis", key: str = "patientid") -> DataFrame:
-    """Events up to and including the index date (subjects without any drop out)."""
+def history(
+    index: DataFrame, events: DataFrame, index_date: str = "date_diagnosis", key: str = "patientid", after: str | None = None
+) -> DataFrame:
+    """Events up to and including the index date (subjects without any drop out); ``after`` leaves out those up to a day,
+    such as a register's dummy date."""
+    events = events if after is None else events.where(F.col("date") > F.lit(after).cast("date"))
     return (
         events.join(index.select(key, F.col(index_date).alias("_t0")), key)
         .where(F.col("date") <= F.col("_t0"))

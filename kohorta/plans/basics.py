@@ -344,7 +344,7 @@ def date_scalars(c: Clinic):
 
 
 @query("""
-SELECT patientid, n_atc, coalesce(round(n_atc / nullif(t_days / 365.25, 0), 6), 0) AS per_year,
+SELECT patientid, n_atc, round(n_atc / nullif(t_days / 365.25, 0), 6) AS per_year,
   CAST(ceil(n_atc / 2.0) AS BIGINT) AS pair,
   CAST(CASE atc_bin WHEN '0-3' THEN 1 WHEN '4-7' THEN 2 WHEN '8-11' THEN 3 ELSE 4 END AS BIGINT) AS bin_code FROM outcome""")
 def rate_scalars(c: Clinic):

@@ -14,7 +14,7 @@ from kohorta.operators.ordered import fill
 from kohorta.plans.registry import query
 from kohorta.plans.views import ANALYTES, DISEASES, HIERARCHY, ICD_GROUPS, ICD_WEIGHTS, INDEX_CODES, Clinic
 from kohorta.session import scratch_path, settle
-from kohorta.sources import csv
+from kohorta.sources import codes, csv
 
 # every class the dispensings view can make: first letter of the type, two-digit brand
 CLASSES = [f"{letter}{brand:02d}" for letter in "ELMPS" for brand in range(1, 26)]
@@ -268,6 +268,44 @@ def charlson(c: Clinic):
     )
 
 
+# the 17 groups of the 1987 index as patterns, written out for the SQL side alone
+_PATTERNS_1987 = {
+    "CHF": (1, "I099|I110|I130|I132|I255|I420|I42[5-9]|I43|I50|P290"), "Dementia": (1, "F0[0-3]|F051|G30|G311"),
+    "CPD": (1, "I27[89]|J4[0-7]|J6[0-7]|J684|J701|J703"), "Rheumatic": (1, "M05|M06|M315|M3[2-4]|M351|M353|M360"),
+    "Liver_Mild": (1, "B18|K70[0-3]|K709|K71[345]|K717|K73|K74|K760|K76[234]|K768|K769|Z944"),
+    "Hemiplegia": (2, "G041|G114|G80[12]|G8[12]|G83[0-4]|G839"),
+    "Renal": (2, "I120|I131|N03[2-7]|N05[2-7]|N18|N19|N250|Z49[0-2]|Z940|Z992"),
+    "DM_w_compl": (2, "E1[0-4][23457]"), "Cancer_and_Hem": (2, "C[01]|C2[0-6]|C3[0-4]|C3[789]|C4[0135-9]|C5[0-8]|C6|C7[0-6]|C8[1-58]|C9[0-7]"),
+    "Liver_Severe": (3, "I850|I859|I864|I982|K704|K711|K721|K729|K76[567]"), "Cancer_Metastatic": (6, "C77|C78|C79|C80"),
+    "AIDS": (6, "B2[0124]"), "MI": (1, "I21|I22|I252"), "PVD": (1, "I70|I71|I731|I73[89]|I771|I790|I792|K551|K55[89]|Z95[89]"),
+    "CVD": (1, "G45|G46|H340|I6"), "PUD": (1, "K2[5-8]"), "DM": (1, "E1[0-4][01689]"),
+}
+_SEVERE_1987 = {"Liver_Mild": "Liver_Severe", "Cancer_and_Hem": "Cancer_Metastatic", "DM": "DM_w_compl"}
+
+
+def _charlson_1987_sql() -> str:
+    flags = ", ".join(f"max(regexp_matches(d.icd10, '^D({p})')::BIGINT) AS \"f_{g}\"" for g, (_, p) in _PATTERNS_1987.items())
+    counted = []
+    for g, (w, _) in _PATTERNS_1987.items():
+        free = f" AND \"f_{_SEVERE_1987[g]}\" = 0" if g in _SEVERE_1987 else ""
+        counted.append(f"CASE WHEN \"f_{g}\" = 1{free} THEN {w} ELSE 0 END::BIGINT AS \"{g}\"")
+    total = " + ".join(f'"{g}"' for g in _PATTERNS_1987)
+    return f"""
+SELECT *, CAST({total} AS BIGINT) AS cci_1987 FROM (SELECT patientid, {", ".join(counted)} FROM (
+  SELECT i.patientid, {flags} FROM idx i JOIN icd d ON d.patientid = i.patientid
+    AND d.date <= i.date_diagnosis AND d.date > DATE '1993-06-30' GROUP BY i.patientid))"""
+
+
+@query(_charlson_1987_sql())
+def charlson_1987(c: Clinic):
+    """Subjects with a history after the register's start only, the own disease not forced."""
+    prefixes, weights = codes.charlson_1987("D")
+    coded = ex.history(c.index, c.icd, after="1993-06-30")
+    return scores.group_index(
+        c.index.select("patientid"), coded, prefixes, weights, codes.CHARLSON_SEVERE, need_history=True, score="cci_1987"
+    )
+
+
 # a made index over diagnosis and drug prefixes together
 INDEX_WEIGHTS = [
     ("heart", "DI", 3, 2), ("lung", "DJ4", 2, 1), ("kidney", "DN18", 4, 5), ("statin", "E0", 1, 1),
@@ -430,19 +468,21 @@ def corrected_death(c: Clinic):
 
 
 @query("""
-SELECT CAST(1 AS BIGINT) AS cohort, count(*) AS n FROM idx UNION ALL
-SELECT 2, count(*) FROM analysis WHERE IPI IS NOT NULL UNION ALL
-SELECT 3, count(*) FROM idx WHERE patientid IN (SELECT patientid FROM rx WHERE atc LIKE 'E%') UNION ALL
-SELECT 4, count(*) FROM (SELECT patientid FROM analysis WHERE IPI IS NOT NULL
-  UNION SELECT patientid FROM idx WHERE patientid IN (SELECT patientid FROM rx WHERE atc LIKE 'E%'))""")
+WITH members AS (
+  SELECT 1 AS cohort, patientid FROM idx UNION ALL SELECT 2, patientid FROM analysis WHERE IPI IS NOT NULL
+  UNION ALL SELECT 3, i.patientid FROM idx i JOIN admission_outcome o ON o.patientid = i.patientid
+  UNION ALL SELECT 4, i.patientid FROM idx i JOIN infection_outcome o ON o.patientid = i.patientid)
+SELECT CAST(cohort AS BIGINT) AS cohort, count(DISTINCT patientid) AS n FROM members GROUP BY cohort
+UNION ALL SELECT 5, count(DISTINCT patientid) FROM members WHERE cohort > 1""")
 def cohorts(c: Clinic):
+    """All indexed, with a prognostic group, with admission follow-up, with infection follow-up, and the union of the last three."""
     one = c.index.select("patientid")
     two = settle(c.analysis.dropna(subset=["IPI"]).select("patientid"), "cohort")
-    three = settle(one.join(c.rx.where(F.col("atc").startswith("E")), "patientid", "left_semi"), "cohort")
-    four = keyed.union_ids([two, three])
+    three, four = (settle(one.join(o, "patientid", "left_semi"), "cohort") for o in (c.admission_outcome, c.infection_outcome))
+    five = keyed.union_ids([two, three, four])
     sizes = [
         df.agg(F.lit(i).alias("cohort"), F.count_distinct("patientid").alias("n"))
-        for i, df in enumerate([one, two, three, four], 1)
+        for i, df in enumerate([one, two, three, four, five], 1)
     ]
     return keyed.union_all(sizes)
 

@@ -16,7 +16,10 @@ from kohorta.operators import survival as sv
 from kohorta.functions.tails import with_chi_square_p
 from kohorta.plans.registry import query
 from kohorta.plans.sql_math import cox_sql, logrank_sql
-from kohorta.plans.views import ADT_KINDS, ANTIMICROBIALS, BINS, Clinic, episodes_sql
+from kohorta.operators.index import label_by_codes
+from kohorta.plans.views import (
+    ADT_KINDS, ANTIMICROBIALS, BINS, DISEASES, FOLLOW_UP_SQL, ICD_GROUPS, ICD_WEIGHTS, INFECTION_SQL, Clinic, episodes_sql,
+)
 from kohorta.session import settle
 
 # ---- hospital events --------------------------------------------------------------
@@ -56,17 +59,6 @@ def first_stay(c: Clinic):
     return ev.first_event(long, ["date_admission"]).select("patientid", "days", "n_contacts", "days_in_hospital")
 
 
-_FOLLOW_UP_SQL = """
-SELECT c.patientid, c.hospital_id, c.date_death_fu, c.date_diagnosis,
-  greatest(c.date_diagnosis, c.date_golive) AS date_start,
-  s.date_admission, s.days, s.n_contacts, s.total
-FROM (SELECT i.*, g.date_golive FROM event_index i JOIN golive g ON g.hospital_id = i.hospital_id
-  WHERE i.hospital_id < 20 AND i.date_death_fu >= g.date_golive) c
-LEFT JOIN (SELECT * FROM (SELECT *, count(*) OVER p AS n_contacts, sum(days) OVER p AS total FROM stay_pairs
-    WINDOW p AS (PARTITION BY patientid)) WHERE days > 1) s
-  ON s.patientid = c.patientid AND s.date_admission > c.date_golive"""
-
-
 @query(f"""
 SELECT patientid, hospital_id, CAST(date_start AS VARCHAR) AS date_start,
   CAST(coalesce(CAST(date_admission AS DATE), date_death_fu) AS VARCHAR) AS date_stop,
@@ -74,7 +66,7 @@ SELECT patientid, hospital_id, CAST(date_start AS VARCHAR) AS date_start,
   CAST(date_admission IS NOT NULL AS BIGINT) AS admitted, round(coalesce(days, 0), 6) AS days,
   coalesce(n_contacts, 0) AS n_contacts,
   round(coalesce(coalesce(n_contacts, 0) / nullif((date_death_fu - date_diagnosis) / 365.25, 0), 0), 6) AS contacts_per_year
-FROM ({_FOLLOW_UP_SQL})""")
+FROM ({FOLLOW_UP_SQL})""")
 def adt_followup(c: Clinic):
     return _adt_followup(c).select(
         "patientid", "hospital_id", "date_start", "date_stop", "time_to_admission", "admitted", "days", "n_contacts",
@@ -82,13 +74,26 @@ def adt_followup(c: Clinic):
     )
 
 
-def _adt_followup(c: Clinic):
-    return ev.admission_follow_up(c.event_index, ev.long_stays(_stays(c)), c.go_live, hospitals=range(20))
+def _adt_followup(c: Clinic, at: str = "date_admission"):
+    return ev.admission_follow_up(c.event_index, ev.long_stays(_stays(c)), c.go_live, hospitals=range(20), at=at)
+
+
+@query(f"""
+SELECT patientid, CAST(date_start AS VARCHAR) AS date_start,
+  CAST(coalesce(CAST(date_discharge AS DATE), date_death_fu) AS VARCHAR) AS date_stop,
+  round((coalesce(CAST(date_discharge AS DATE), date_death_fu) - date_start) / 365.25, 6) AS time_to_discharge,
+  CAST(date_discharge IS NOT NULL AS BIGINT) AS admitted, round(coalesce(days, 0), 6) AS days
+FROM ({FOLLOW_UP_SQL.replace("s.date_admission > c.date_golive", "s.date_discharge > c.date_golive")})""")
+def adt_followup_discharge(c: Clinic):
+    """The follow-up dated by the row that ends a stay."""
+    return _adt_followup(c, "date_discharge").select(
+        "patientid", "date_start", "date_stop", F.col("time_to_admission").alias("time_to_discharge"), "admitted", "days"
+    )
 
 
 @query(f"""
 SELECT patientid, round(min((coalesce(CAST(date_admission AS DATE), date_death_fu) - date_start) / 365.25), 6) AS time_to_admission,
-  max(CAST(date_admission IS NOT NULL AS BIGINT)) AS admitted FROM ({_FOLLOW_UP_SQL}) GROUP BY patientid""")
+  max(CAST(date_admission IS NOT NULL AS BIGINT)) AS admitted FROM ({FOLLOW_UP_SQL}) GROUP BY patientid""")
 def adt_first_event(c: Clinic):
     first = ev.first_event(_adt_followup(c), ["time_to_admission", "date_admission"])
     return first.select("patientid", "time_to_admission", "admitted")
@@ -116,25 +121,12 @@ def infection_episodes(c: Clinic):
     return _episodes(c)
 
 
-_INFECTION_SQL = """
-SELECT patientid, CAST(date_start AS VARCHAR) AS date_start, CAST(date_infection AS VARCHAR) AS date_infection,
-  n_days_iv_sum, CAST(date_end AS VARCHAR) AS date_end, event, round(time, 6) AS time_truncated,
-  round(coalesce(n_inf / nullif((date_death_fu - date_diagnosis) / 365.25, 0), 0), 6) AS n_inf_per_year FROM (
-  SELECT *, least(coalesce(date_infection, date_death_fu), date_death_fu, cutoff) AS date_end,
-    CAST(date_infection IS NOT NULL AND date_infection <= date_death_fu AND date_infection <= cutoff AS BIGINT) AS event,
-    (least(coalesce(date_infection, date_death_fu), date_death_fu, cutoff) - date_start) / 365.25 AS time
-  FROM (SELECT c.*, DATE '{cutoff}' AS cutoff, min(CASE WHEN e.date_infection >= date_start THEN e.date_infection END) AS date_infection,
-      CAST(coalesce(sum(CASE WHEN e.date_infection >= date_start THEN n_days_iv END), 0) AS BIGINT) AS n_days_iv_sum,
-      max(CASE WHEN date_start IS NOT NULL THEN n_inf END) AS n_inf
-    FROM (SELECT i.*, CASE WHEN g.date_golive IS NOT NULL THEN greatest(i.date_diagnosis, g.date_golive) END AS date_start
-      FROM event_index i LEFT JOIN golive g ON g.hospital_id = i.hospital_id) c
-    LEFT JOIN {episodes} e ON e.patientid = c.patientid GROUP BY ALL)) WHERE time >= 0"""
 _INFECTION_OUT = [
     "patientid", "date_start", "date_infection", "n_days_iv_sum", "date_end", "event", "time_truncated", "n_inf_per_year",
 ]
 
 
-@query(_INFECTION_SQL.format(cutoff="2024-01-20", episodes="episodes"))
+@query(INFECTION_SQL.format(cutoff="2024-01-20", episodes="episodes"))
 def infection_followup(c: Clinic):
     return ev.infection_follow_up(c.event_index, _episodes(c), c.go_live, "2024-01-20").select(*_INFECTION_OUT)
 
@@ -152,7 +144,7 @@ _OTHER = episodes_sql(
 )
 
 
-@query(_INFECTION_SQL.format(cutoff="2024-01-25", episodes=f"({_OTHER})"))
+@query(INFECTION_SQL.format(cutoff="2024-01-25", episodes=f"({_OTHER})"))
 def infection_exclude_drug(c: Clinic):
     kept = ev.exclude_drug(
         ev.classify_antimicrobials(c.administrations, ANTIMICROBIALS), "J05A04", "ANTIMYCOTIC", route="IV"
@@ -201,7 +193,7 @@ def km_by_subtype(c: Clinic):
 
 
 _ADMISSION = f"""(SELECT patientid, min(coalesce(CAST(date_admission AS DATE), date_death_fu) - date_start) AS t_days,
-  max(CAST(date_admission IS NOT NULL AS BIGINT)) AS admitted, patientid % 3 AS arm FROM ({_FOLLOW_UP_SQL}) GROUP BY patientid)"""
+  max(CAST(date_admission IS NOT NULL AS BIGINT)) AS admitted, patientid % 3 AS arm FROM ({FOLLOW_UP_SQL}) GROUP BY patientid)"""
 
 
 @query(f"SELECT arm, t, n_risk, n_event, incidence FROM ({_km_sql('arm', _ADMISSION, event='admitted')})")
@@ -444,17 +436,25 @@ def _names(c: Clinic):
     )
 
 
+_SCREEN_ALPHA = 1.0
+
+
 @query(f"""
-SELECT s.atc3, CAST(s.n AS BIGINT) AS n, CASE s.atc3 WHEN 'A07' THEN 'antidiarrheals, intestinal antiinflammatory'
-  WHEN 'E05' THEN 'made-up name' ELSE m.name END AS name,
-  CASE WHEN s.p < 0.0005 THEN '<0.001' ELSE printf('%.3f', round(s.p, 3)) END AS p_value
-FROM ({_CLASS_TEST}) s LEFT JOIN {_NAMES} m ON m.atc3 = s.atc3 WHERE s.p < 0.5 AND (m.name IS NOT NULL)""")
+WITH fits AS ({cox_sql(_SCREENED.format(cols="x0", frame=_SCREEN_FRAME.format(more=""), x="x0"), [("atc3", "")], digits=12)}),
+corrected AS (SELECT *, least(1.0, p * count(*) OVER ()) AS bonferroni FROM fits),
+n AS (SELECT x.atc3, count(*) AS n FROM exposure x JOIN outcome o ON o.patientid = x.patientid GROUP BY x.atc3)
+SELECT f.model AS atc3, n.n, CASE f.model WHEN 'A07' THEN 'antidiarrheals, intestinal antiinflammatory'
+  WHEN 'E05' THEN 'made-up name' ELSE m.name END AS name, round(f.hr, 4) AS hr,
+  CASE WHEN f.bonferroni < 0.0005 THEN '<0.001' ELSE printf('%.3f', round(f.bonferroni, 3)) END AS p_value
+FROM corrected f JOIN n ON n.atc3 = f.model LEFT JOIN {_NAMES} m ON m.atc3 = f.model
+WHERE f.bonferroni < {_SCREEN_ALPHA} AND round(f.hr, 2) <> 0 AND m.name IS NOT NULL""")
 def screen_significant(c: Clinic):
-    tested = _class_test(c).withColumns({"bonferroni": F.col("p"), "hr": F.lit(1.2)})
-    kept = screening.significant(tested, alpha=0.5)
+    """Classes of the unadjusted survival screen below the corrected level, with their names."""
+    fits = screening.adjust_p(ph.screen(c.exposure, c.timed).where(F.col("p").isNotNull()))
+    kept = screening.significant(fits, alpha=_SCREEN_ALPHA)
     overrides = {**screening.NAME_OVERRIDES, "E05": "made-up name"}
     return screening.described(kept, _names(c), overrides, require_name=True).select(
-        "atc3", "n", "name", p_text(F.col("p")).alias("p_value")
+        "atc3", "n", "name", *_rounded("hr"), p_text(F.col("bonferroni")).alias("p_value")
     )
 
 
@@ -465,48 +465,54 @@ SELECT atc3, CASE WHEN n < 5 THEN '<5' ELSE CAST(CAST(n AS BIGINT) AS VARCHAR) E
   CASE WHEN round(p, 3) = 0 THEN '<0.001' ELSE printf('%.3f', round(p, 3)) END AS p_text FROM ({source})"""
 
 
-def _outcome_sql(event: str) -> str:
-    frame = _SCREEN_FRAME.format(more="").replace("o.event", event)
+def _outcome_sql(source: str) -> str:
+    frame = _SCREEN_FRAME.format(more="").replace("outcome o", f"{source} o")
     fit = cox_sql(_SCREENED.format(cols="x0", frame=frame, x="x0"), [("atc3", "")], digits=12)
     return f"""
 SELECT f.model AS atc3, n.n, f.hr, f.lower, f.upper, least(1.0, f.p * count(*) OVER ()) AS p FROM ({fit}) f
-JOIN (SELECT x.atc3, count(*) AS n FROM exposure x JOIN outcome o ON o.patientid = x.patientid GROUP BY x.atc3) n
+JOIN (SELECT x.atc3, count(*) AS n FROM exposure x JOIN {source} o ON o.patientid = x.patientid GROUP BY x.atc3) n
   ON n.atc3 = f.model QUALIFY f.p < 0.3"""
 
 
+# outcome -> (SQL view, follow-up table: patientid, t_days, event)
 _OUTCOMES = {
-    "os": ("o.event", lambda o: o),
-    "adt": ("CAST(o.event = 0 AS BIGINT)", lambda o: o.withColumn("event", 1 - F.col("event"))),
-    "inf": (
-        "CAST(o.patientid % 3 = 0 AS BIGINT)",
-        lambda o: o.withColumn("event", (F.col("patientid") % 3 == 0).cast("int")),
-    ),
+    "os": ("outcome", lambda c: c.timed.select("patientid", "t_days", "event")),
+    "adt": ("admission_outcome", lambda c: c.admission_outcome),
+    "inf": ("infection_outcome", lambda c: c.infection_outcome),
 }
 
 
 @query(f"""
-WITH r_os AS ({_printed_sql(_outcome_sql(_OUTCOMES["os"][0]))}), r_adt AS ({_printed_sql(_outcome_sql(_OUTCOMES["adt"][0]))}),
-r_inf AS ({_printed_sql(_outcome_sql(_OUTCOMES["inf"][0]))}),
+WITH r_os AS ({_printed_sql(_outcome_sql("outcome"))}), r_adt AS ({_printed_sql(_outcome_sql("admission_outcome"))}),
+r_inf AS ({_printed_sql(_outcome_sql("infection_outcome"))}),
 j AS (SELECT coalesce(a.atc3, b.atc3, c.atc3) AS atc3, a.n AS n_os, a.hr_text AS hr_os, a.p_text AS p_os,
   coalesce(b.n, c.n) AS n_adt, b.hr_text AS hr_adt, b.p_text AS p_adt, c.hr_text AS hr_inf, c.p_text AS p_inf
   FROM r_os a FULL JOIN r_adt b ON b.atc3 = a.atc3 FULL JOIN r_inf c ON c.atc3 = coalesce(a.atc3, b.atc3))
 SELECT j.*, m.name FROM j LEFT JOIN {_NAMES} m ON m.atc3 = j.atc3""")
 def result_table(c: Clinic):
-    exposure, follow = _screen_inputs(c)
+    """Survival, first admission and first infection, each with its own follow-up."""
+    exposure = settle(c.exposure, "exposure")
     printed = {}
-    for name, (_, make) in _OUTCOMES.items():
-        fits = ph.screen(exposure, make(follow)).where(F.col("p").isNotNull())
+    for name, (_, follow) in _OUTCOMES.items():
+        fits = ph.screen(exposure, follow(c)).where(F.col("p").isNotNull())
         corrected = screening.adjust_p(fits)
         printed[name] = screening.printed(corrected.where(F.col("p") < 0.3))
     return screening.result_table(printed, _names(c))
 
 
-@query("""
-SELECT k.atc3, o.patientid, o.t_days, o.event FROM exposure k JOIN outcome o ON o.patientid = k.patientid""")
+@query(" UNION ALL ".join(
+    f"SELECT '{name}' AS outcome, k.atc3, o.patientid, CAST(o.t_days AS BIGINT) AS t_days, CAST(o.event AS BIGINT) AS event "
+    f"FROM exposure k JOIN {source} o ON o.patientid = k.patientid" for name, (source, _) in _OUTCOMES.items()))
 def outcome_tables(c: Clinic):
-    return c.exposure.select("atc3", "patientid").join(
-        c.outcome.select("patientid", "t_days", "event"), "patientid"
-    )
+    """Class exposure with the follow-up of each of the three outcomes."""
+    exposure = settle(c.exposure.select("atc3", "patientid"), "exposure")
+    parts = [
+        exposure.join(follow(c), "patientid").select(
+            F.lit(name).alias("outcome"), "atc3", "patientid", F.col("t_days").cast("long").alias("t_days"), F.col("event").cast("long").alias("event")
+        )
+        for name, (_, follow) in _OUTCOMES.items()
+    ]
+    return keyed.union_all(parts)
 
 
 # ---- tables -----------------------------------------------------------------------
@@ -585,19 +591,33 @@ def _settled(c: Clinic, *columns: str):
     return settle(c.analysis.select(*columns), "analysis")
 
 
-@query("""
-SELECT 'CHF' AS variable, 'Yes' AS level, printf('%d (%.1f)', count(*) FILTER (WHERE "CHF" = 1), 100.0 * count(*) FILTER (WHERE "CHF" = 1) / count(*)) AS "Total"
-FROM comorbidity
-UNION ALL SELECT 'Renal', 'Yes', printf('%d (%.1f)', count(*) FILTER (WHERE "Renal" = 1), 100.0 * count(*) FILTER (WHERE "Renal" = 1) / count(*))
-FROM comorbidity""")
+_GROUPS = [
+    "CHF", "Dementia", "CPD", "Rheumatic", "Liver_Mild", "Hemiplegia", "Renal", "DM_w_compl", "Cancer_and_Hem", "Liver_Severe",
+    "Cancer_Metastatic", "AIDS",
+]
+_CELL = "printf('%d (%.1f)', sum(yes) FILTER ({0}), 100.0 * sum(yes) FILTER ({0}) / count(*) FILTER ({0}))"
+
+
+@query(f"""
+WITH flags AS (SELECT c.*, i.diagnosis FROM comorbidity c JOIN idx i ON i.patientid = c.patientid),
+rows AS ({" UNION ALL ".join(f"SELECT '{g}' AS variable, diagnosis, CAST({chr(34)}{g}{chr(34)} AS BIGINT) AS yes FROM flags" for g in _GROUPS)}),
+printed AS (SELECT variable, {", ".join(f"{_CELL.format(f"WHERE diagnosis = '{code[0]}'")} AS {chr(34)}{name}{chr(34)}" for name, code in DISEASES.items())},
+  {_CELL.format("WHERE true")} AS "Total" FROM rows GROUP BY variable),
+cells AS (SELECT variable, diagnosis, CAST(count(*) AS DOUBLE) AS m, CAST(sum(yes) AS DOUBLE) AS n FROM rows GROUP BY ALL),
+tests AS (
+  SELECT variable, CASE WHEN min(total) > 0 AND min(total) < min(whole) THEN exp(-sum(
+    (n - m * total / whole) * (n - m * total / whole) / nullif(m * total / whole, 0)
+    + (n - m * total / whole) * (n - m * total / whole) / nullif(m * (whole - total) / whole, 0)) / 2) END AS p
+  FROM (SELECT *, sum(n) OVER (PARTITION BY variable) AS total, sum(m) OVER (PARTITION BY variable) AS whole FROM cells) GROUP BY variable)
+SELECT printed.*, 'Yes' AS level, round(p, 6) AS p FROM printed LEFT JOIN tests ON tests.variable = printed.variable""")
 def comorbidity_table(c: Clinic):
-    rows = c.comorbidity.join(c.index.select("patientid", "diagnosis"), "patientid")
-    named = rows.select(
-        "diagnosis", *[F.when(F.col(g) == 0, "No").otherwise("Yes").alias(g) for g in ("CHF", "Renal")]
-    )
-    both = ["No", "Yes"]
-    long = tables.baseline_table(named, "diagnosis", factors=["CHF", "Renal"], levels={"CHF": both, "Renal": both})
-    return tables.printed_baseline(long, [], only_level="Yes").select("variable", "level", "Total")
+    """All comorbidity groups by disease with the total and the chi-square p-value."""
+    rows = label_by_codes(c.comorbidity.join(c.index.select("patientid", "diagnosis"), "patientid"), DISEASES)
+    both = ["Yes", "No"]
+    flags = settle(rows.select("Disease", *[F.when(F.col(g) == 1, "Yes").otherwise("No").alias(g) for g in ICD_GROUPS]), "flags")
+    long = tables.baseline_table(flags, "Disease", factors=ICD_GROUPS, levels={g: both for g in ICD_GROUPS})
+    tested = with_chi_square_p(tables.chi_square(flags, "Disease", ICD_GROUPS), "statistic", "dof").select("variable", "p")
+    return tables.printed_baseline(long, list(DISEASES), only_level="Yes").join(tested, "variable", "left")
 
 
 _CHI = """
@@ -675,7 +695,9 @@ def cohort_flow(c: Clinic):
 
 @query("""
 SELECT 'one index row per subject' AS "check", count(*) - count(DISTINCT patientid) = 0 AS ok, count(*) - count(DISTINCT patientid) AS n_bad FROM idx
-UNION ALL SELECT 'cancer group always counted', count(*) FILTER (WHERE "Cancer_and_Hem" <> 1) = 0, count(*) FILTER (WHERE "Cancer_and_Hem" <> 1) FROM comorbidity
+UNION ALL SELECT 'score is the sum of its groups', count(*) FILTER (WHERE cci_score <> groups) = 0, count(*) FILTER (WHERE cci_score <> groups) FROM (
+  SELECT cci_score, "CHF" + "Dementia" + "CPD" + "Rheumatic" + CASE WHEN "Liver_Severe" = 1 THEN 3 ELSE "Liver_Mild" END + 2 * "Hemiplegia" + 2 * "Renal"
+    + 2 * "DM_w_compl" + 2 + 6 * "Cancer_Metastatic" + 6 * "AIDS" AS groups FROM comorbidity)
 UNION ALL SELECT 'exposure table keeps the cohort', count(*) = 0, count(*) FROM idx WHERE patientid NOT IN (SELECT patientid FROM poly)
 UNION ALL SELECT 'dispensing inside the window', count(*) FILTER (WHERE days > 0) = 0, count(*) FILTER (WHERE days > 0) FROM lookback
 UNION ALL SELECT 'subjects without drugs', (SELECT count(*) FROM poly WHERE n_atc = 0) = count(*),
@@ -687,11 +709,14 @@ def quality_checks(c: Clinic):
     window = settle(ex.lookback(c.index, c.rx).select("patientid", "days"), "window")
     without = c.index.join(window, "patientid", "left_anti").agg(F.count(F.lit(1)).alias("n"))
     day = lambda df, name: df.agg(F.unix_date(F.max(name)).alias("day"))
+    weight = {g: w for g, _, w, _ in ICD_WEIGHTS}
+    mild = F.when((F.col("Liver_Mild") == 1) & (F.col("Liver_Severe") == 1), weight["Liver_Mild"]).otherwise(0)
+    groups = sum((F.col(g) * w for g, w in weight.items()), -mild)
     zero = c.poly.where(F.col("n_atc") == 0).agg(F.count(F.lit(1)).alias("n"))
     return quality.report(
         [
             quality.expect_unique(c.index, "patientid", "one index row per subject"),
-            quality.expect_values(c.comorbidity, "Cancer_and_Hem", [1], "cancer group always counted"),
+            quality.expect_all_true(c.comorbidity, F.col("cci_score") == groups, "score is the sum of its groups"),
             quality.expect_same_ids(c.index, c.poly, "patientid", "exposure table keeps the cohort"),
             quality.expect_all_true(window, F.col("days") <= 0, "dispensing inside the window"),
             quality.expect_equal(without, zero, "subjects without drugs"),

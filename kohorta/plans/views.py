@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kohorta.functions.bins import COMORBIDITY_CUTS, PROGNOSTIC_LEVELS, cut, recode
 from kohorta.functions.dates import diff_years
+from kohorta.operators import events as ev
 from kohorta.operators import scores
 from kohorta.operators.exposure import class_exposure, history, lookback, polypharmacy, with_drug_bins
 from kohorta.operators.index import first_diagnosis, label_by_codes
@@ -290,6 +291,21 @@ class Clinic:
         )
         return ev.withColumn("hospital_id", F.col("patientid") % 25)
 
+    @cached_property
+    def admission_outcome(self) -> DataFrame:
+        """First admission of more than a day: patientid, t_days, event."""
+        stay = ev.stays(ev.inside_follow_up(ev.adt_events(self.adt_raw, ADT_KINDS), self.event_index))
+        follow = ev.admission_follow_up(self.event_index, ev.long_stays(stay), self.go_live, hospitals=range(20))
+        first = ev.first_event(follow, ["time_to_admission", "date_admission"])
+        return first.select("patientid", F.date_diff("date_stop", "date_start").alias("t_days"), F.col("admitted").alias("event"))
+
+    @cached_property
+    def infection_outcome(self) -> DataFrame:
+        """First infection up to the cut-off: patientid, t_days, event."""
+        episodes = ev.infection_episodes(ev.classify_antimicrobials(self.administrations, ANTIMICROBIALS))
+        follow = ev.infection_follow_up(self.event_index, episodes, self.go_live, "2024-01-20")
+        return follow.select("patientid", F.date_diff("date_end", "date_start").alias("t_days"), "event")
+
     @cached_property
     def go_live(self) -> DataFrame:
         """Start of electronic registration per hospital (three hospitals have none)."""
@@ -496,3 +512,34 @@ SELECT *, count(*) OVER (PARTITION BY patientid) AS n_inf FROM (
 
 
 VIEWS["episodes"] = episodes_sql("antimicrobial")
+
+FOLLOW_UP_SQL = """
+SELECT c.patientid, c.hospital_id, c.date_death_fu, c.date_diagnosis,
+  greatest(c.date_diagnosis, c.date_golive) AS date_start,
+  s.date_admission, s.date_discharge, s.days, s.n_contacts, s.total
+FROM (SELECT i.*, g.date_golive FROM event_index i JOIN golive g ON g.hospital_id = i.hospital_id
+  WHERE i.hospital_id < 20 AND i.date_death_fu >= g.date_golive) c
+LEFT JOIN (SELECT * FROM (SELECT *, count(*) OVER p AS n_contacts, sum(days) OVER p AS total FROM stay_pairs
+    WINDOW p AS (PARTITION BY patientid)) WHERE days > 1) s
+  ON s.patientid = c.patientid AND s.date_admission > c.date_golive"""
+
+INFECTION_SQL = """
+SELECT patientid, CAST(date_start AS VARCHAR) AS date_start, CAST(date_infection AS VARCHAR) AS date_infection,
+  n_days_iv_sum, CAST(date_end AS VARCHAR) AS date_end, event, round(time, 6) AS time_truncated,
+  round(coalesce(n_inf / nullif((date_death_fu - date_diagnosis) / 365.25, 0), 0), 6) AS n_inf_per_year FROM (
+  SELECT *, least(coalesce(date_infection, date_death_fu), date_death_fu, cutoff) AS date_end,
+    CAST(date_infection IS NOT NULL AND date_infection <= date_death_fu AND date_infection <= cutoff AS BIGINT) AS event,
+    (least(coalesce(date_infection, date_death_fu), date_death_fu, cutoff) - date_start) / 365.25 AS time
+  FROM (SELECT c.*, DATE '{cutoff}' AS cutoff, min(CASE WHEN e.date_infection >= date_start THEN e.date_infection END) AS date_infection,
+      CAST(coalesce(sum(CASE WHEN e.date_infection >= date_start THEN n_days_iv END), 0) AS BIGINT) AS n_days_iv_sum,
+      max(CASE WHEN date_start IS NOT NULL THEN n_inf END) AS n_inf
+    FROM (SELECT i.*, CASE WHEN g.date_golive IS NOT NULL THEN greatest(i.date_diagnosis, g.date_golive) END AS date_start
+      FROM event_index i LEFT JOIN golive g ON g.hospital_id = i.hospital_id) c
+    LEFT JOIN {episodes} e ON e.patientid = c.patientid GROUP BY ALL)) WHERE time >= 0"""
+
+VIEWS["admission_outcome"] = f"""
+SELECT patientid, min(coalesce(CAST(date_admission AS DATE), date_death_fu) - date_start) AS t_days,
+  max(CAST(date_admission IS NOT NULL AS BIGINT)) AS event FROM ({FOLLOW_UP_SQL}) GROUP BY patientid"""
+VIEWS["infection_outcome"] = f"""
+SELECT patientid, CAST(date_end AS DATE) - CAST(date_start AS DATE) AS t_days, event
+FROM ({INFECTION_SQL.format(cutoff="2024-01-20", episodes="episodes")})"""

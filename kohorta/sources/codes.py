@@ -75,3 +75,21 @@ def charlson_weights(prefix: str = "") -> list[tuple[str, str, int, int]]:
         for group, spec, w1987, w2011 in CHARLSON
         for code in expand_codes(spec)
     ]
+
+
+# The five groups of the 1987 index (Charlson et al., J Chronic Dis 1987; codes of Quan et al., Med Care 2005)
+# that the 2011 update leaves without weight.
+CHARLSON_1987_MORE = [
+    ("MI", "I21 I22 I252", 1),
+    ("PVD", "I70 I71 I731 I738 I739 I771 I790 I792 K551 K558 K559 Z958 Z959", 1),
+    ("CVD", "G45 G46 H340 I60-I69", 1),
+    ("PUD", "K25-K28", 1),
+    ("DM", "E100 E101 E106 E108-E111 E116 E118-E121 E126 E128-E131 E136 E138-E141 E146 E148 E149", 1),
+]
+CHARLSON_SEVERE = {"Liver_Mild": ["Liver_Severe"], "Cancer_and_Hem": ["Cancer_Metastatic"], "DM": ["DM_w_compl"]}
+
+
+def charlson_1987(prefix: str = "") -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """(code prefix, group) and the weight of each of the 17 groups of the 1987 index."""
+    groups = [*((g, spec, w) for g, spec, w, _ in CHARLSON), *CHARLSON_1987_MORE]
+    return [(prefix + c, g) for g, spec, _ in groups for c in expand_codes(spec)], {g: w for g, _, w in groups}

@@ -13,7 +13,8 @@ from kohorta.operators import exposure as ex
 from kohorta.operators import keyed, registers, scores
 from kohorta.operators.index import first_diagnosis, index_table, label_by_codes, prefix_groups, with_code
 from kohorta.operators.nearest import nearest_values
-from kohorta.sources.codes import charlson_weights, expand_codes
+from kohorta.operators.prefixes import PrefixRanges
+from kohorta.sources.codes import charlson_1987, charlson_weights, expand_codes
 
 D = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
 
@@ -303,3 +304,46 @@ def test_infection_follow_up_voids_early_episodes(spark):
         index, episodes, go_live, str(D(60)), **k).collect()}
     assert run() == {1: (D(20), 5, 1), 2: (None, 0, 0), 5: (None, 0, 0)}
     assert run(sum_voided=True)[1] == (D(20), 9, 1)
+
+
+# ---- prefix ranges and the group index ----------------------------------------------
+
+
+def test_prefix_ranges_equal_startswith():
+    rng = random.Random(1)
+    entries = [("".join(rng.choices("AB1", k=rng.randint(1, 4))), f"g{rng.randint(0, 9)}") for _ in range(40)] + [("", "all")]
+    ranges = PrefixRanges(entries)
+    for _ in range(500):
+        code = "".join(rng.choices("AB12", k=rng.randint(0, 6)))
+        want = [(len(p), g) for p, g in entries if code.startswith(p)]
+        got = ranges.labels(code)
+        assert set(got) == {g for _, g in want} and len(got) == len(set(got))
+        assert got[0] in {g for n, g in want if n == max(want)[0]}
+    assert ranges.labels(None) == [] and PrefixRanges([("A", "a")]).labels("B") == []
+
+
+def test_group_index_suppression_forced_group_and_history(spark, rows):
+    prefixes = [("B18", "mild"), ("B1", "other"), ("I85", "severe"), ("X", "worst"), ("C", "cancer")]
+    weights = {"mild": 1, "other": 2, "severe": 3, "worst": 6, "cancer": 2}
+    graph = {"mild": ["severe"], "severe": ["worst"]}
+    cohort = spark.createDataFrame([(i,) for i in range(1, 7)], "patientid long")
+    events = [(1, "B181"), (1, "B18"), (2, "B18"), (2, "I85"), (3, "B18"), (3, "X"), (4, "C1"), (5, None), (5, "Z")]
+    coded = spark.createDataFrame(events, "patientid long, icd10 string")
+    plain = scores.group_index(cohort, coded, prefixes, weights, graph)
+    # subject 3 has no severe group, but the worst one suppresses along the path
+    assert rows(plain) == [(1, 3, 1, 2, 0, 0, 0), (2, 5, 0, 2, 3, 0, 0), (3, 8, 0, 2, 0, 6, 0), (4, 2, 0, 0, 0, 0, 2), (5, 0, 0, 0, 0, 0, 0), (6, 0, 0, 0, 0, 0, 0)]
+    own = scores.group_index(cohort, coded, prefixes, weights, {**graph, "cancer": ["worst"]}, forced=["cancer"], need_history=True)
+    assert rows(own, "patientid", "score", "cancer") == [(1, 5, 2), (2, 7, 2), (3, 10, 2), (4, 2, 2), (5, 2, 2)]
+
+
+def test_longest_prefix_wins(spark, rows):
+    df = spark.createDataFrame([(1, "J01A"), (2, "J01"), (3, "J"), (4, "K"), (5, None)], "patientid long, atc string")
+    got = ev.classify_antimicrobials(df, [("J", "any"), ("J01", "one"), ("J01A", "two")])
+    assert rows(got, "patientid", "ab_class") == [(1, "two"), (2, "one"), (3, "any")]
+
+
+def test_1987_index_has_17_groups():
+    prefixes, weights = charlson_1987("D")
+    assert len(weights) == 17 == len({g for _, g in prefixes})
+    ranges = PrefixRanges(prefixes)
+    assert [ranges.labels(c) for c in ("DI214", "DE119", "DE112", "DK26", "DI69", "DZ958", "DQ00")] == [["MI"], ["DM"], ["DM_w_compl"], ["PUD"], ["CVD"], ["PVD"], []]
