@@ -385,16 +385,19 @@ def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
         if fine is None:
             fine = settle(fine_sketches(held, words).join(bands, "node"), "fine")
         seed, hubs = seed + 1, hubs + 1
+        near = settle(_earlier(near.join(fine, "node"), deep), "near")
         for most in LIKEST:
-            wanted = _across(_earlier(near.join(fine, "node"), deep), percent, most)
+            wanted = _across(near, percent, most)
             if most == LIKEST[0]:
                 wanted = wanted.unionAll(_hub_pairs(members, seed)).distinct()
             fresh = settle(wanted.join(tried, ["a", "b"], "left_anti"), "tried")
             tried = tried.unionAll(fresh)
             comps = join_up(fresh, comps)
-            near = settle(_open(_placed(near, comps)), "open")  # what the links found have left apart
-            if near.isEmpty():
-                break
+            if most is not None:  # what the links found have left apart
+                placed = near.drop("root", "n", "top", "crossing").join(comps, "node", "left")
+                near = settle(_open(placed.withColumn("root", F.coalesce("root", "node"))), "near")
+                if near.isEmpty():
+                    break
         if depth == DEEP:  # a hub that was compared with all of its bucket leaves it
             order = F.struct(F.xxhash64("key", "node", F.lit(seed)).alias("o"), F.col("node"))
             done = members.groupBy("key").agg(F.min(order).getField("node").alias("node"))
