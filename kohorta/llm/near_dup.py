@@ -13,7 +13,7 @@ bucket, representatives are first compared with one hub; once the links found ar
 buckets that still hold several components are compared further: in all pairs across components where these are few
 for the bucket's size (finer sketches, compared in blocks inside a task, that agree in fewer than ``ALIKE`` coordinates need no
 look at the texts; likest partners are confirmed first, and what their links join needs no further look), else with
-a further hub, then after splitting by the bands of a second, independent sketch (as many as the first has), then by 128
+a further hub, then after splitting the members of all such buckets by the bands of a second, independent sketch (as many as the first has), then by 128
 bands of ``DEEP_ROWS`` coordinates of a third.  A pair of similarity 0.8 shares no band of the second with probability
 5e-8 and none of the third with probability 6e-11, whatever number of first bands it shares.  What is still
 large is compared hub by hub until nothing is left to compare.  No bucket is cut off.  A task that confirms pairs
@@ -318,16 +318,17 @@ def _across(members: DataFrame, percent: int, most: int | None) -> DataFrame:
 
 
 def _deeper(members: DataFrame, deep: DataFrame, depth: int) -> DataFrame:
-    """Members of large buckets, dealt to sub-buckets by each of their second or third bands.
+    """Members of large buckets, each dealt once to sub-buckets by its second or third bands.
 
-    ``path`` is the first band and the second one, or the first, the third and 0.
+    Large buckets of one group hold much the same members, so the members of all are dealt together, not bucket by
+    bucket.  ``path`` is 0 and the second band, or 0, the third band and 0.
     """
-    first = F.element_at("path", 1)
-    ends = F.array("next") if depth == 2 else F.array(F.col("next"), F.lit(0).cast("long"))
-    dealt = members.select("node", "root", first.alias("first")).distinct().join(deep, "node").select(
-        "node", "root", "first", F.explode(F.array_distinct("second" if depth == 2 else "third")).alias("next")
+    zero = F.lit(0).cast("long")
+    ends = [zero, F.col("next")] if depth == 2 else [zero, F.col("next"), zero]
+    dealt = members.select("node", "root").distinct().join(deep, "node").select(
+        "node", "root", F.explode(F.array_distinct("second" if depth == 2 else "third")).alias("next")
     )
-    return dealt.select(F.xxhash64("first", "next").alias("key"), "node", F.concat(F.array("first"), ends).alias("path"), "root")
+    return dealt.select(F.xxhash64(F.lit(depth), "next").alias("key"), "node", F.array(*ends).alias("path"), "root")
 
 
 def _earlier(members: DataFrame, deep: DataFrame | None) -> DataFrame:
@@ -336,8 +337,9 @@ def _earlier(members: DataFrame, deep: DataFrame | None) -> DataFrame:
     first = lower("bands", 1)
     if deep is None:
         return members.withColumn("earlier", first).drop("bands", "path")
-    more = F.when(F.size("path") == 2, lower("second", 2)).when(F.size("path") == 3, lower("third", 2))
-    earlier = F.concat(first, F.coalesce(more, F.array().cast("array<long>")))
+    depth = F.size("path")
+    earlier = F.when(depth == 1, first).when(depth == 2, lower("second", 2)).when(depth == 3, lower("third", 2))
+    earlier = F.coalesce(earlier, F.array().cast("array<long>"))
     return members.join(deep, "node", "left").withColumn("earlier", earlier).drop("bands", "second", "third", "path")
 
 
