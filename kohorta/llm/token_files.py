@@ -3,23 +3,26 @@
 A token file is nothing but little-endian ids: vocabulary ids plus ``SHIFT``, an end id after each document, no
 header and no index.  Ids take two bytes where the vocabulary fits, else four (``id_width``).  ``write_token_files``
 lets Spark's text writer put them down: a row is the bytes of a document's ids, the line separator is the bytes of the
-end id.  Documents are dealt to files by a hash of id and text and stand there in the order of both, so which document
-stands where follows from the table alone.  ``scan_token_files`` reads files in blocks of ``BLOCK`` ids,
-finds the end ids of each block with one vectorised comparison at id boundaries, and stitches documents that cross
-blocks by a prefix scan over one summary row per block: ids left open by the blocks before it.
+end id.  A task writes the documents of its own part of the table, in their order there, without a shuffle, into files of
+about ``file_mb`` each (a longer document is a file of its own), and beside them which document stands where: both are
+committed as one task's output, so they agree whichever attempt of a task counts.  ``scan_token_files`` reads files in
+blocks of ``BLOCK`` ids, finds the end ids of each block with one vectorised comparison at id boundaries, and stitches
+documents that cross blocks by a prefix scan over one summary row per block: ids left open by the blocks before it.
 
-Files hold about ``file_mb`` of text each; Spark's binary reader takes files of up to 2 GB.  Rows equal in id and text
-share a file.
+Spark's binary reader takes files of up to 2 GB, which only a single document of that size can outgrow.
 
 Defined results: an empty document is 0 ids; ids after the last end id of a file are a document of their own with
 ``complete`` false; bytes after the last whole id are an error.  Null texts are empty, repeated rows are written and
-counted one by one, other columns are ignored.
+counted one by one, other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,7 @@ from kohorta.session import scratch_path, settle
 SHIFT = 2  # 0 is padding, 1 ends a document
 END = 1
 BLOCK = 1 << 16
+FILES = 1 << 20  # numbers of files set aside for each task
 
 
 def id_width(vocabulary: str) -> int:
@@ -40,39 +44,47 @@ def id_width(vocabulary: str) -> int:
 def write_token_files(
     docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", file_mb: int = 32
 ) -> DataFrame:
-    """Write the files; returns file_no, ordinal, doc_id: which document stands where."""
+    """Write the files into ``path``; returns file_no, ordinal, doc_id: which document stands where."""
     width = id_width(vocabulary)
     kind = np.dtype(f"<u{width}")
-    table = text_table(docs, id_col, text_col)
-    total = table.agg(F.sum(F.length("text") + width)).first()[0] or 0
-    files = max(1, -(-total // (file_mb << 20)))
-    # rows alike in both are the same document or differ in nothing that counts here
-    table = table.withColumn("print", F.xxhash64("text"))
-    file_no = F.pmod(F.xxhash64("doc_id", "print"), F.lit(files)).cast("int").alias("file_no")
-    table = table.select(file_no, "doc_id", "print", "text")
-
-    def run(batch: pa.RecordBatch) -> dict:
-        ids = word_ids(vocabulary).ids(column(batch, "text"))
-        return {n: column(batch, n) for n in ("file_no", "doc_id", "print")} | {
-            "ids": [(i + np.uint32(SHIFT)).astype(kind).tobytes() for i in ids]
-        }
-
-    laid = map_batches(table, run, "file_no int, doc_id long, print long, ids binary")
-    laid = laid.repartition(int(files), "file_no").sortWithinPartitions("file_no", "doc_id", "print")
+    names = ["kind", "file_no", "ordinal", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file_no = TaskContext.get().partitionId() * FILES
+        ordinal = held = 0
+        for batch in batches:
+            places, values, found = [], [], column(batch, "doc_id")
+            for ids in word_ids(vocabulary).ids(column(batch, "text")):
+                data = (ids + np.uint32(SHIFT)).astype(kind).tobytes()
+                if ordinal and held + len(data) > file_mb << 20:
+                    file_no, ordinal, held = file_no + 1, 0, 0
+                places.append((file_no, ordinal))
+                values.append(data)
+                ordinal, held = ordinal + 1, held + len(data) + width
+            lines = [f"{o},{'' if d is None else d}".encode() for (_, o), d in zip(places, found, strict=True)]
+            for label, content in (("ids", values), ("docs", lines)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([label] * len(content)), *(pa.array([p[k] for p in places], pa.int64()) for k in (0, 1)),
+                     pa.array(content, pa.binary())], names,
+                )
+
+    laid = text_table(docs, id_col, text_col).mapInArrow(run, "kind string, file_no long, ordinal long, value binary")
+    laid = laid.sortWithinPartitions("kind", "file_no", "ordinal").select("kind", "file_no", F.col("value").cast("string"))
     end = np.array([END], kind).tobytes().decode("ascii")
-    laid.select("file_no", F.col("ids").cast("string").alias("value")).write.partitionBy("file_no").option("lineSep", end).text(path)
-    order = Window.partitionBy("file_no").orderBy("doc_id", "print")
-    return table.select(
-        "file_no", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "doc_id"
-    )
+    laid.write.partitionBy("kind", "file_no").option("lineSep", end).text(path)
+    lines = docs.sparkSession.read.option("lineSep", end).text(path).where("kind = 'docs'")
+    at = F.split("value", ",")
+    doc_id = F.when(at[1] != "", at[1]).cast("long")
+    return lines.select(F.col("file_no").cast("long"), at[0].cast("long").alias("ordinal"), doc_id.alias("doc_id"))
 
 
 def scan_token_files(spark: SparkSession, path: str, block: int = BLOCK, end: int = END, width: int = 4) -> DataFrame:
     """file_no, ordinal, n_tokens, first_token (its place in the file), complete for every document of the files.
 
-    Files lie in folders ``file_no=k`` and hold ids of ``width`` bytes.
+    Files lie in folders ``file_no=k``, below ``kind=ids`` if others are there too, and hold ids of ``width`` bytes.
     """
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    files = spark.read.format("binaryFile").load(path).where("length > 0").withColumn("file_no", F.col("file_no").cast("long"))
+    files = files.where("kind = 'ids'") if "kind" in files.columns else files
     size, kind = width * block, f"<u{width}"
     places = F.expr(f"explode(sequence(0L, length - 1, {size}L))")
     blocks = files.select("file_no", "length", "content", places.alias("at"))
@@ -94,7 +106,7 @@ def scan_token_files(spark: SparkSession, path: str, block: int = BLOCK, end: in
         return {"file_no": column(batch, "file_no"), "block": column(batch, "block")} | out
 
     found = map_batches(
-        blocks, run, "file_no int, block long, ids long, ends long, head long, tail long, inner array<long>, starts array<long>"
+        blocks, run, "file_no long, block long, ids long, ends long, head long, tail long, inner array<long>, starts array<long>"
     )
     found = settle(found, "blocks")
     earlier = Window.partitionBy("file_no").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,8 +158,8 @@ def token_counts(
     """doc_id, n_tokens, file_no, ordinal, first_token of every document, counted in files written for it."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-files")
+    if docs.isEmpty():
+        return spark.createDataFrame([], "doc_id long, n_tokens long, file_no long, ordinal long, first_token long")
     manifest = write_token_files(docs, path, vocabulary, id_col, text_col, file_mb)
-    if manifest.isEmpty():
-        return manifest.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "file_no", "ordinal", F.lit(0).cast("long").alias("first_token"))
     found = scan_token_files(spark, path, width=id_width(vocabulary))
     return found.join(manifest, ["file_no", "ordinal"]).select("doc_id", "n_tokens", "file_no", "ordinal", "first_token")
