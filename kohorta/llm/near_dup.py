@@ -234,10 +234,20 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members with their component as it is now."""
-    known = members.select("key", "node", "path").join(comps, "node", "left")
-    return known.withColumn("root", F.coalesce("root", "node"))
+def _by_node(members: DataFrame, *fields: str) -> DataFrame:
+    """node, places: a node's buckets in one row, so that what is known of it is joined once; no more than its bands."""
+    return members.groupBy("node").agg(F.collect_list(F.struct(*fields)).alias("places"))
+
+
+def _each_place(nodes: DataFrame) -> DataFrame:
+    """A row per bucket again; the other columns are repeated."""
+    return nodes.select("*", F.explode("places").alias("place_")).select("*", "place_.*").drop("places", "place_")
+
+
+def _placed(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members, given by node, with their component as it is now."""
+    known = nodes.select("node", "places").join(comps, "node", "left")
+    return _each_place(known.withColumn("root", F.coalesce("root", "node")))
 
 
 def _open(known: DataFrame) -> DataFrame:
@@ -331,16 +341,23 @@ def _deeper(members: DataFrame, deep: DataFrame, depth: int) -> DataFrame:
     return dealt.select(F.xxhash64(F.lit(depth), "next").alias("key"), "node", F.array(*ends).alias("path"), "root")
 
 
-def _earlier(members: DataFrame, deep: DataFrame | None) -> DataFrame:
-    """Members with the bands below those of their path: two members that share one meet in its bucket too."""
+def _sketched(members: DataFrame, fine: DataFrame, deep: DataFrame | None) -> DataFrame:
+    """One row per node of the members: places (key, path), its sketches and all its bands."""
+    nodes = _by_node(members, "key", "path").join(fine, "node")
+    return nodes if deep is None else nodes.join(deep, "node", "left")
+
+
+def _rooms(nodes: DataFrame, opened: DataFrame) -> DataFrame:
+    """Members of the ``opened`` buckets with their sketches and ``earlier``, the bands below those of their path: two
+    members that share one meet in its bucket too."""
+    places = _by_node(opened, "root", "key", "path", "n", "top")
+    members = _each_place(nodes.drop("places").join(places, "node"))
     lower = lambda name, at: F.filter(name, lambda b: b < F.element_at("path", at))
-    first = lower("bands", 1)
-    if deep is None:
-        return members.withColumn("earlier", first).drop("bands", "path")
-    depth = F.size("path")
-    earlier = F.when(depth == 1, first).when(depth == 2, lower("second", 2)).when(depth == 3, lower("third", 2))
-    earlier = F.coalesce(earlier, F.array().cast("array<long>"))
-    return members.join(deep, "node", "left").withColumn("earlier", earlier).drop("bands", "second", "third", "path")
+    earlier, depth = lower("bands", 1), F.size("path")
+    if "second" in nodes.columns:
+        earlier = F.when(depth == 1, earlier).when(depth == 2, lower("second", 2)).when(depth == 3, lower("third", 2))
+        earlier = F.coalesce(earlier, F.array().cast("array<long>"))
+    return members.withColumn("earlier", earlier).drop("bands", "second", "third", "path")
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -375,7 +392,7 @@ def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
     depth, seed, hubs = 1, 0, 1
     small = F.col("crossing") <= PAIRS_A_ROW * F.col("n")
     while not members.isEmpty():
-        left = settle(_open(_placed(members, comps)), "open")
+        left = settle(_open(_placed(_by_node(members, "key", "path"), comps)), "open")
         near, members = left.where(small), left.where(~small)
         if hubs >= HUBS and depth < DEEP:
             depth, hubs = depth + 1, 0
@@ -387,17 +404,16 @@ def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
         if fine is None:
             fine = settle(fine_sketches(held, words).join(bands, "node"), "fine")
         seed, hubs = seed + 1, hubs + 1
-        near = settle(_earlier(near.join(fine, "node"), deep), "near")
+        nodes, near = settle(_sketched(near, fine, deep), "near"), settle(near, "rooms")
         for most in LIKEST:
-            wanted = _across(near, percent, most)
+            wanted = _across(_rooms(nodes, near), percent, most)
             if most == LIKEST[0]:
                 wanted = wanted.unionAll(_hub_pairs(members, seed)).distinct()
             fresh = settle(wanted.join(tried, ["a", "b"], "left_anti"), "tried")
             tried = tried.unionAll(fresh)
             comps = join_up(fresh, comps)
             if most is not None:  # what the links found have left apart
-                placed = near.drop("root", "n", "top", "crossing").join(comps, "node", "left")
-                near = settle(_open(placed.withColumn("root", F.coalesce("root", "node"))), "near")
+                near = settle(_open(_placed(nodes, comps)), "rooms")
                 if near.isEmpty():
                     break
         if depth == DEEP:  # a hub that was compared with all of its bucket leaves it
