@@ -48,7 +48,8 @@ def scan_cohort(c: Clinic):
 SELECT npu, count(*) AS n, round(avg(value), 4) AS mean_value, min(value) AS low, max(value) AS high
 FROM labs WHERE npu IN ('AF', 'AO', 'NF') GROUP BY npu""")
 def scan_codes(c: Clinic):
-    return load_for_codes(c.labs, ["AF", "AO", "NF", "NF"], "npu").groupBy("npu").agg(
+    pieces = [("l_returnflag", 0, 1), ("l_linestatus", 1, 1)]
+    return load_for_codes(c.lab_lines, ["AF", "AO", "NF", "NF"], "npu", pieces).groupBy("npu").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("value"), 4).alias("mean_value"),
         F.min("value").alias("low"),

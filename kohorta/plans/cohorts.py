@@ -8,6 +8,7 @@ from kohorta.functions.bins import PROGNOSTIC_LEVELS, at_least
 from kohorta.functions.text import small_cell
 from kohorta.operators import exposure as ex
 from kohorta.operators import keyed, registers, scores
+from kohorta.operators.bitmaps import class_bitmaps, class_domain, subject_numbers, subjects_per_class
 from kohorta.operators.index import first_diagnosis, index_table, label_by_codes
 from kohorta.operators.nearest import nearest_values, own_or_nearest
 from kohorta.operators.ordered import fill
@@ -16,9 +17,6 @@ from kohorta.plans.views import ANALYTES, DISEASES, HIERARCHY, ICD_GROUPS, ICD_W
 from kohorta.session import scratch_path, settle
 from kohorta.sources import codes, csv
 
-# every class the dispensings view can make: first letter of the type, two-digit brand
-CLASSES = [f"{letter}{brand:02d}" for letter in "ELMPS" for brand in range(1, 26)]
-
 
 @query("""
 SELECT patientid, CAST(date_diagnosis AS VARCHAR) AS date_diagnosis, diagnosis, dx_id FROM idx""")
@@ -107,11 +105,11 @@ def class_exposure_long(c: Clinic):
     return ex.class_exposure(ex.lookback(c.index, c.rx))
 
 
-@query(f"""
-SELECT i.patientid, {", ".join(f"CASE WHEN max(e.atc3 = '{k}') THEN 'Yes' ELSE 'No' END AS {k}" for k in CLASSES)}
-FROM idx i LEFT JOIN exposure e ON e.patientid = i.patientid GROUP BY i.patientid""")
+@query("""
+SELECT * FROM (PIVOT (SELECT i.patientid, e.atc3 FROM idx i LEFT JOIN exposure e ON e.patientid = i.patientid)
+ON atc3 USING coalesce(max('Yes'), 'No') GROUP BY patientid)""")
 def class_exposure_wide(c: Clinic):
-    return ex.class_wide(c.index.select("patientid"), c.exposure, CLASSES)
+    return ex.class_wide(c.index.select("patientid"), c.exposure, class_domain(c.exposure))
 
 
 @query("""
@@ -122,11 +120,10 @@ def class_prevalence(c: Clinic):
     return ex.class_prevalence(c.exposure, size)
 
 
-@query(f"""
-SELECT atc3, count(*) AS n FROM exposure WHERE atc3 IN ({", ".join(f"'{k}'" for k in CLASSES)}) GROUP BY atc3""")
+@query("""
+SELECT atc3, count(*) AS n FROM exposure WHERE atc3 IS NOT NULL GROUP BY atc3""")
 def class_yes_counts(c: Clinic):
-    wide = ex.class_wide(c.index.select("patientid"), c.exposure, CLASSES)
-    return ex.yes_counts(wide, CLASSES).where(F.col("n") > 0)
+    return subjects_per_class(class_bitmaps(c.exposure, subject_numbers(c.index)))
 
 
 @query("""

@@ -139,14 +139,21 @@ class Clinic:
         )
 
     @cached_property
-    def labs(self) -> DataFrame:
+    def lab_lines(self) -> DataFrame:
+        """Laboratory values with the stored columns that make up their code."""
         return self._lines.select(
             "patientid",
             F.to_date("l_shipdate").alias("date"),
             F.concat("l_returnflag", "l_linestatus").alias("npu"),
             F.col("l_extendedprice").alias("value"),
+            "l_returnflag",
+            "l_linestatus",
         )
 
+    @cached_property
+    def labs(self) -> DataFrame:
+        return self.lab_lines.drop("l_returnflag", "l_linestatus")
+
     @cached_property
     def clinic_index(self) -> DataFrame:
         """Index rows with the register items the scores need."""

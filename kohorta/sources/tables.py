@@ -30,9 +30,30 @@ def load_for_cohort(table: DataFrame, ids: DataFrame, key: str = "patientid") ->
     return table.join(ids.select(key), key, "left_semi")
 
 
-def load_for_codes(table: DataFrame, codes: Sequence[str], column: str) -> DataFrame:
-    """Rows whose code is listed (pushed to the scan)."""
-    return table.where(F.col(column).isin(sorted(set(codes))))
+def load_for_codes(
+    table: DataFrame, codes: Sequence[str], column: str, pieces: Sequence[tuple[str, int, int]] = ()
+) -> DataFrame:
+    """Rows whose code is listed.
+
+    The filter of a stored code column reaches the scan.  Where a view puts the code together from stored columns of fixed
+    width, ``pieces`` names them (column, start, length): what the listed codes have there is filtered in the scan, the
+    whole code behind it.
+    """
+    wanted = sorted(set(codes))
+    for name, start, length in pieces:
+        table = table.where(F.col(name).isin(sorted({c[start : start + length] for c in wanted})))
+    return table.where(F.col(column).isin(wanted))
+
+
+def store_by_code(table: DataFrame, path: str, column: str) -> DataFrame:
+    """Write a register for loads by code and read it back.
+
+    Files hold ranges of codes and are sorted by code, so row groups are skipped by their bounds, and by a Bloom filter of
+    the code where the bounds are wide.  A code that holds many rows goes on over several files.
+    """
+    ranged = table.repartitionByRange(F.col(column), F.xxhash64(*table.columns)).sortWithinPartitions(column)
+    ranged.write.option(f"parquet.bloom.filter.enabled#{column}", "true").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def stack_sources(parts: dict[str, DataFrame], tag: str = "source") -> DataFrame:
