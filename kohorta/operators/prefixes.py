@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +49,23 @@ def with_prefix_labels(
     codes = events.where(F.col(code).isNotNull()).select(F.col(code).alias("_code")).distinct()
     placed = codes.mapInPandas(place, f"_code string, `{name}` string")
     return events.join(placed, F.col(code) == F.col("_code")).drop("_code")
+
+
+def prefix_mask(code: Column, entries: Sequence[tuple[str, str]], labels: Sequence[str]) -> Column:
+    """Bit ``i`` of the result is set where a prefix of ``labels[i]`` starts the code; null where none does.
+
+    For events that are looked at in passing: no join and no second scan for the distinct codes.  The leading characters
+    are looked up in one literal map per prefix length, so the cost of a row grows with the number of listed prefixes.
+    """
+    if len(labels) > 63:
+        raise ValueError("a mask holds up to 63 labels")
+    bit = {name: 1 << i for i, name in enumerate(labels)}
+    by_length: dict[int, dict[str, int]] = {}
+    for prefix, name in entries:
+        masks = by_length.setdefault(len(prefix), {})
+        masks[prefix] = masks.get(prefix, 0) | bit[name]
+    found = []
+    for length, masks in sorted(by_length.items()):
+        table = F.create_map(*[F.lit(x) for p, m in masks.items() for x in (p, F.lit(m).cast("long"))])
+        found.append(F.coalesce(F.try_element_at(table, F.left(code, F.lit(length))), F.lit(0).cast("long")))
+    return F.nullif(reduce(Column.bitwiseOR, found), F.lit(0).cast("long"))

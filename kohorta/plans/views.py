@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kohorta.functions.bins import COMORBIDITY_CUTS, PROGNOSTIC_LEVELS, cut, recode
-from kohorta.functions.dates import diff_years
+from kohorta.functions.bins import COMORBIDITY_CUTS, PROGNOSTIC_LEVELS, at_least, cut, recode
+from kohorta.functions.dates import diff_years, lookback_bounds
 from kohorta.operators import events as ev
 from kohorta.operators import scores
 from kohorta.operators.exposure import class_exposure, history, lookback, polypharmacy, with_drug_bins
+from kohorta.operators.fanout import INDEX_DATE, distinct_look, fan_out, mask_look, nearest_look
 from kohorta.operators.index import first_diagnosis, label_by_codes
-from kohorta.operators.keyed import first_per_key
+from kohorta.operators.keyed import first_per_key, keep_cohort, nulls_last
 from kohorta.operators.nearest import nearest_values
+from kohorta.operators.prefixes import prefix_mask
+from kohorta.session import settle
 from kohorta.sources.codes import charlson_weights
 from kohorta.sources.tables import load_table
 
@@ -52,6 +55,14 @@ SCHEMAS = {
 }
 
 
+def icd_code() -> Column:
+    letter = F.element_at(
+        F.array(*[F.lit(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]), (F.col("l_suppkey") % 26 + 1).cast("int")
+    )
+    digits = F.lpad((F.col("l_partkey") % 100).cast("string"), 2, "0")
+    return F.concat(F.lit("D"), letter, digits, F.col("l_linenumber").cast("string"))
+
+
 class Clinic:
     """Views over one data folder."""
 
@@ -115,28 +126,23 @@ class Clinic:
 
     @cached_property
     def rx(self) -> DataFrame:
+        lines = self._lines.select("patientid", "date", "l_partkey", "l_linenumber", "l_returnflag")
+        return lines.join(self._drugs, "l_partkey").select("patientid", "date", "atc", "l_linenumber", "l_returnflag")
+
+    @cached_property
+    def _drugs(self) -> DataFrame:
         brand = F.lpad(F.split("p_brand", "#").getItem(1), 2, "0")
-        part = self.table("part", "p_partkey", "p_type", "p_brand", "p_size").select(
+        return self.table("part", "p_partkey", "p_type", "p_brand", "p_size").select(
             F.col("p_partkey").alias("l_partkey"),
             F.concat(
                 F.substring("p_type", 1, 1), brand, F.lit("AA"), F.lpad(F.col("p_size").cast("string"), 2, "0")
             ).alias("atc"),
         )
-        lines = self._lines.select("patientid", "date", "l_partkey", "l_linenumber", "l_returnflag")
-        return lines.join(part, "l_partkey").select("patientid", "date", "atc", "l_linenumber", "l_returnflag")
 
     @cached_property
     def icd(self) -> DataFrame:
         """Coded diagnoses with four-character codes and the register's leading ``D``."""
-        letter = F.element_at(
-            F.array(*[F.lit(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]), (F.col("l_suppkey") % 26 + 1).cast("int")
-        )
-        digits = F.lpad((F.col("l_partkey") % 100).cast("string"), 2, "0")
-        return self._lines.select(
-            "patientid",
-            "date",
-            F.concat(F.lit("D"), letter, digits, F.col("l_linenumber").cast("string")).alias("icd10"),
-        )
+        return self._lines.select("patientid", "date", icd_code().alias("icd10"))
 
     @cached_property
     def lab_lines(self) -> DataFrame:
@@ -157,8 +163,13 @@ class Clinic:
     @cached_property
     def clinic_index(self) -> DataFrame:
         """Index rows with the register items the scores need."""
+        return self._items(self.index.join(self.patient, "patientid"))
+
+    @staticmethod
+    def _items(rows: DataFrame, *kept: str) -> DataFrame:
         k = F.col("patientid")
-        return self.index.join(self.patient, "patientid").select(
+        return rows.select(
+            *kept,
             "patientid",
             "date_diagnosis",
             "diagnosis",
@@ -184,13 +195,21 @@ class Clinic:
         near = nearest_values(
             self.clinic_index, self.labs, {a: [c] for a, (c, _) in ANALYTES.items()}, window=(-365, 365)
         )
+        return self._scaled(near)
+
+    @staticmethod
+    def _scaled(near: DataFrame) -> DataFrame:
         scaled = {a: F.col(f"{a}_value") / d for a, (_, d) in ANALYTES.items()}
         return near.withColumns(scaled).drop(*[f"{a}_value" for a in ANALYTES])
 
     @cached_property
     def scored(self) -> DataFrame:
         """Index rows with the group of each disease's own score."""
-        items = label_by_codes(self.at_index, DISEASES).withColumn("ighv", F.coalesce("ighv", "ighv_lab"))
+        return self._with_scores(self.at_index)
+
+    @staticmethod
+    def _with_scores(rows: DataFrame) -> DataFrame:
+        items = label_by_codes(rows, DISEASES).withColumn("ighv", F.coalesce("ighv", "ighv_lab"))
         items = scores.point_score(items, scores.CLL_IPI, "score", without=["B2M", "IGHV"])
         named = scores.score_group(F.col("score"), [1, 3, 6], PROGNOSTIC_LEVELS)
         add_on = scores.any_yes(
@@ -209,9 +228,12 @@ class Clinic:
     @cached_property
     def prognosis(self) -> DataFrame:
         """Unified prognostic table of the three diseases, in one pass."""
+        return self.scored.select("patientid", "sex", "PS", self._group().alias("IPI"), "Disease")
+
+    @staticmethod
+    def _group() -> Column:
         own = {"CLL": F.col("cll"), "MM": F.col("mm"), "DLBCL": F.col("ripi")}
-        group = scores.group_by_disease(own, PROGNOSTIC_LEVELS)
-        return self.scored.select("patientid", "sex", "PS", group.alias("IPI"), "Disease")
+        return scores.group_by_disease(own, PROGNOSTIC_LEVELS)
 
     # -- exposure and comorbidity ---------------------------------------------
     @cached_property
@@ -252,16 +274,64 @@ class Clinic:
         """The same with the drug count before the index."""
         return with_drug_bins(polypharmacy(self.timed, self.rx))
 
+    @cached_property
+    def dated(self) -> DataFrame:
+        """Person, index row and last contact of each subject from one scan of the orders, as a written stage: it meets the
+        event rows and closes the table."""
+        kept = ["o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_orderkey"]
+        day, kind, number = F.to_date("o_orderdate"), F.col("o_orderpriority"), F.col("o_orderkey")
+        first = F.struct(day.alias("date_diagnosis"), kind.alias("diagnosis"), number.alias("dx_id"))
+        last = F.struct(day.alias("date_death_fu"), (F.col("o_orderstatus") == "F").cast("int").alias("status"))
+        ends = self.table("orders", *kept).groupBy(F.col("o_custkey").alias("patientid")).agg(
+            F.min_by(first, F.when(kind.isin(INDEX_CODES), nulls_last([day, kind, number]))).alias("_first"),
+            F.max_by(last, F.struct("o_orderdate", "o_orderkey")).alias("_last"),
+        )
+        rows = ends.where(F.col("_first").isNotNull()).select("patientid", "_first.*", "_last.*")
+        return settle(rows.join(self.patient, "patientid"), "dated")
+
+    @cached_property
+    def looked_up(self) -> DataFrame:
+        """Drug count, nearest laboratory values and coded groups per subject: one pass over the lines."""
+        t0, day = F.col(INDEX_DATE), F.col("date")
+        low, high = lookback_bounds(t0)
+        lab_day = F.to_date("l_shipdate")
+        near = lab_day.between(F.date_add(t0, -365), F.date_add(t0, 365))
+        code = F.concat("l_returnflag", "l_linestatus")
+        groups = prefix_mask(icd_code(), [(p, g) for g, p, *_ in ICD_WEIGHTS], ICD_GROUPS)
+        looks = {
+            "n_atc": distinct_look((day >= low) & (day <= high), F.col("atc"), F.col("_listed")),
+            "groups": mask_look(day <= t0, groups),
+        }
+        for name, (npu, _) in ANALYTES.items():
+            looks[f"{name}_value"] = nearest_look(near & (code == npu), F.col("l_extendedprice"), lab_day)
+        drugs = self._drugs.withColumn("_listed", F.lit(True))
+
+        def attach(rows: DataFrame) -> DataFrame:
+            return rows.join(drugs, "l_partkey", "left")
+
+        return fan_out(self.dated, self._lines, looks, attach)
+
     @cached_property
     def analysis(self) -> DataFrame:
         """One row per subject: entity, prognosis, drug count, comorbidity, follow-up."""
-        return (
-            self.outcome.join(
-                self.prognosis.select("patientid", "Disease", "IPI", "PS"), ["patientid", "Disease"], "left"
-            )
-            .join(self.comorbidity.select("patientid", "cci_score", "cci_update"), "patientid", "left")
-            .withColumn("cci_bin", cut(F.col("cci_score"), *COMORBIDITY_CUTS))
+        days = F.date_diff("date_death_fu", "date_diagnosis")
+        rows = keep_cohort(self.dated.where(days >= 0), self.looked_up, "patientid", zeros=["n_atc"])
+        labs = [f"{a}_value" for a in ANALYTES]
+        items = self._items(rows, "date_birth", "hospital_id", "date_death_fu", "status", "n_atc", "groups", *labs)
+        score, update = scores.mask_score(
+            F.col("groups"), ICD_WEIGHTS, ICD_GROUPS, HIERARCHY, [("Cancer_and_Hem", 2, 2)]
+        )
+        out = self._with_scores(self._scaled(items)).withColumns(
+            {
+                "IPI": self._group(),
+                "t_days": days,
+                "event": F.col("status"),
+                "polypharmacy": at_least(F.col("n_atc"), 5),
+                "cci_score": score,
+                "cci_update": update,
+            }
         )
+        return with_drug_bins(out).withColumn("cci_bin", cut(F.col("cci_score"), *COMORBIDITY_CUTS))
 
     # -- hospital events --------------------------------------------------------
     @cached_property
