@@ -4,7 +4,8 @@ Two automata run over every whole text.  One reads the word sequence (words of d
 characters, A-Z lower-cased, joined by one space) and finds the phrases of ``BASE`` and ``NOTICES``; the other reads
 the lower-cased text and finds the tags of ``TAGS``.  After a tag stands a licence expression: identifiers, ``and``,
 ``or``, ``with`` and parentheses on one line.  The parser reads as long as the expression can go on, so its length
-needs no limit; a dangling operator or open parenthesis is dropped.  ``with`` binds closer than ``and``, ``and``
+needs no limit; it ends before prose, and a dangling operator or open parenthesis is dropped.  Unknown identifiers
+give no label and are not permitted.  ``with`` binds closer than ``and``, ``and``
 closer than ``or``.  The value of an expression is whether the given policy permits it.
 
 Defined results: null and empty texts have no words and no labels, score 0 and ``permitted`` null.  Repeated rows
@@ -41,10 +42,11 @@ NOTICES = {
     "cc0 1 0 universal": "cc0",
 }
 TAGS = ("spdx-license-identifier:", "license-expression:")
-# Identifier prefixes of expressions, first match wins.
+# Stems of identifiers; a version or variant may follow after a sign. First match wins.
 IDENTIFIERS = (
     ("mit", "mit"), ("apache-2", "apache-2"), ("cc-by-nc", "cc-by-nc"), ("cc-by-sa", "cc-by-sa"), ("cc-by-nd", "cc-by-nd"),
     ("cc0", "cc0"), ("gpl-2", "gpl-2"), ("gpl-3", "gpl-3"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("mpl", "mpl"), ("bsd", "bsd"),
+    ("isc", "isc"), ("zlib", "zlib"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("proprietary", "proprietary"),
 )
 PERMITTED = frozenset({"mit", "apache-2", "bsd", "cc0", "mpl", "lgpl"})
 EXCEPTIONS = frozenset({"classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "linux-syscall-note"})
@@ -74,9 +76,11 @@ def to_rpn(text: bytes, at: int) -> list[str]:
         if operand and (word == "(" or word not in RANK and word != ")"):
             if word == "(":
                 held.append(word)
-            else:
-                out.append(word.rstrip(".:"))
+            elif is_identifier(name := word.rstrip(".:")):
+                out.append(name)
                 operand = False
+            else:
+                break
         elif not operand and word in RANK:
             while held and held[-1] != "(" and RANK[held[-1]] >= RANK[word]:
                 out.append(held.pop())
@@ -97,8 +101,17 @@ def to_rpn(text: bytes, at: int) -> list[str]:
     return out
 
 
-def label(identifier: str) -> str:
-    return next((name for prefix, name in IDENTIFIERS if identifier.startswith(prefix)), identifier)
+def label(identifier: str) -> str | None:
+    """Label of an identifier: a stem alone, or with a version behind a sign (``mit`` and ``gpl-2.0-only``, not ``mitre-1.0``)."""
+    for stem, name in IDENTIFIERS:
+        if identifier.startswith(stem) and not identifier[len(stem) : len(stem) + 1].isalnum():
+            return name
+    return None
+
+
+def is_identifier(word: str) -> bool:
+    """Whether a word can stand in an expression: a known licence, or one with a digit or hyphen; others are prose."""
+    return label(word) is not None or re.search("[0-9-]", word) is not None
 
 
 def evaluate(rpn: list[str], permitted: frozenset[str] = PERMITTED) -> tuple[set[str], bool | None]:
@@ -120,7 +133,7 @@ def evaluate(rpn: list[str], permitted: frozenset[str] = PERMITTED) -> tuple[set
             stack.append((left[0], left[1] or right[0] in EXCEPTIONS))
         else:
             stack.append((left[0], left[1] and right[1] if word == "and" else left[1] or right[1]))
-    labels.update(map(label, used))
+    labels.update(name for name in map(label, used) if name is not None)
     return labels, stack[-1][1] if stack else None
 
 

@@ -168,6 +168,12 @@ def test_cutting_spans():
         ("((mit) and", {"mit"}, True),
         ("mit\nor gpl-3", {"mit"}, True),
         ("and mit", set(), None),
+        ("mitre-1.0", set(), False),
+        ("mit or mitre-1.0", {"mit"}, True),
+        ("mit and then some words", {"mit"}, True),
+        ("see below", set(), None),
+        ("gpl-20 and lgpl-2.1+", {"lgpl"}, False),
+        ("isc and zlib", {"isc", "zlib"}, False),
     ],
 )
 def test_licence_expressions(text, labels, value):
