@@ -12,7 +12,9 @@ Work on a group of similar texts stays linear.  Equal sets form one class with o
 bucket, representatives are first compared with one hub; once the links found are joined to components, only
 buckets that still hold several components are compared further: in all pairs across components where these are few
 for the bucket's size (finer sketches, compared in blocks inside a task, that agree in fewer than ``ALIKE`` coordinates need no
-look at the texts; likest partners are confirmed first, and what their links join needs no further look), else with
+look at the texts; likest partners are confirmed first, and what their links join needs no further look; where members still
+have unnamed partners, their whole sets, or samples of large ones, are compared inside the task and only what these do not
+rule out is named, so that no row is made per pair of a group that is merely alike), else with
 a further hub, then after splitting the members of all such buckets by the bands of a second, independent sketch (as many as the first has), then by 128
 bands of ``DEEP_ROWS`` coordinates of a third.  A pair of similarity 0.8 shares no band of the second with probability
 5e-8 and none of the third with probability 6e-11, whatever number of first bands it shares.  What is still
@@ -28,7 +30,7 @@ the input are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +44,15 @@ BINS = 128
 ROWS = 4
 FINE = 4  # sketches of BINS coordinates, 8 bits each, by which the pairs of a bucket are sieved
 ALIKE = 350  # of the FINE * BINS coordinates shared; at similarity 0.8 fewer have probability 2e-10
-PAIRS_A_ROW = 256  # a bucket with no more pairs across components than this per member is compared in full
-CHUNK = 1024  # members of a bucket that one task compares with those outside its largest component
+PAIRS_A_ROW = 2048  # a bucket with no more pairs across components than this per member is compared in full
+CHUNK = 1024  # members, at least, that one task compares with those outside the bucket's largest component
 ONE_TASK = 1 << 18  # edges of a graph that one task joins up
-LIKEST = (16, None)  # partners a member names in the rounds of a bucket; the last round names all that are left
+LIKEST = (16, None)  # partners a member names in the rounds of a bucket; the last, where some are left, names all
 HUBS = 2  # hubs tried at each depth before a bucket is split
 DEEP = 3  # splits by first, second and third bands; what is large after the last is compared hub by hub
 DEEP_ROWS = 8  # coordinates of a third band
+SAMPLE = 1024  # hashes of a set that a bucket's last round compares; smaller sets are compared as a whole
+SPREAD = 6.6  # standard deviations below ``percent`` at which a sample rules a pair out (2e-10 at 0.8)
 REMEMBERED = 1 << 21  # 8-byte words of texts and sets that a task keeps while it confirms pairs
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(BINS - 1)
@@ -115,6 +119,49 @@ def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
     return drawn.groupBy("node").agg(same("short"), same("size"))
 
 
+def set_samples(texts: DataFrame, words: int) -> DataFrame:
+    """node, sample: leading 32 bits of the set's hashes below 2**(64 - level), sorted, about ``SAMPLE`` at most (level 0: the
+    whole set), level; null where rows of one doc_id differ."""
+
+    def one(found: np.ndarray) -> tuple[bytes, int]:
+        level = max(0, (len(found) - 1) // SAMPLE).bit_length()
+        if level:
+            found = found[: np.searchsorted(found, np.uint64(1 << (64 - level)))]
+        return (found >> np.uint64(32)).astype(np.uint32).tobytes(), level
+
+    def run(batch: pa.RecordBatch) -> dict:
+        drawn = [one(shingle_set(space_words(t), words)) for t in column(batch, "text")]
+        return {"node": column(batch, "doc_id"), "sample": [d[0] for d in drawn], "level": [d[1] for d in drawn]}
+
+    drawn = map_batches(texts, run, "node long, sample binary, level int")
+    same = F.min("sample") == F.max("sample")
+    return drawn.groupBy("node").agg(F.when(same, F.min("sample")).alias("sample"), F.min("level").alias("level"))
+
+
+def _by_samples(mine: list, part: list, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Tells which members of ``part`` (sample, level) may be linked with member i of ``mine``: for whole sets an exact look."""
+    known = np.unique(np.concatenate([v for v, _ in mine + part]))
+    ids = [np.searchsorted(known, v) for v, _ in part]
+    table = np.full((len(part), max(map(len, ids))), len(known))  # filled up with a hash that none holds
+    for row, found in zip(table, ids, strict=True):
+        row[: len(found)] = found
+    levels, marks, share = np.array([at for _, at in part]), np.zeros(len(known) + 1, bool), percent / 100
+
+    def may(i: int, rows: np.ndarray) -> np.ndarray:
+        own, here = np.searchsorted(known, mine[i][0]), table[rows]
+        marks[own] = True
+        at = np.maximum(levels[rows], mine[i][1])  # the coarser of both samples
+        bound = np.searchsorted(known, 1 << (32 - at))
+        low = here < bound[:, None]
+        shared = (marks[here] & low).sum(axis=1)
+        marks[own] = False
+        union = (own[None, :] < bound[:, None]).sum(axis=1) + low.sum(axis=1) - shared
+        slack = 2 + SPREAD * np.sqrt(share * (1 - share) * union) * (at > 0)  # 2: hashes of one set that share 32 bits
+        return shared + slack >= share * union
+
+    return may
+
+
 def deep_bands(texts: DataFrame, words: int) -> DataFrame:
     """node, second, third: keys of the bands by which large buckets are split, from sketches independent of the others."""
     seeds = mix(np.arange(FINE + 1, FINE + DEEP_ROWS + 2, dtype=np.uint64))
@@ -254,34 +301,37 @@ def _open(known: DataFrame) -> DataFrame:
     """Members of buckets that hold several components; n rows, ``crossing`` pairs across components."""
     parts = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     sizes = parts.groupBy("key").agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max_by("root", F.struct("c", "root")).alias("top")
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "root")).alias("most")
     )
-    wide = sizes.where("sq < n * n").select("key", "n", "top", ((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("crossing"))
+    crossing = ((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("crossing")
+    chunks = F.ceil(F.col("n") / F.greatest(F.lit(CHUNK), F.col("n") - F.col("most.c"))).cast("int").alias("chunks")
+    wide = sizes.where("sq < n * n").select("key", "n", F.col("most.root").alias("top"), crossing, chunks)
     return known.join(wide, "key")
 
 
 def _across(members: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs of different components whose sketches agree in ``ALIKE`` coordinates; each has a member outside the
-    bucket's largest component, and each such member names its ``most`` likest partners of a chunk (None: all).
-
-    Sketches are compared in blocks inside the task, so no row is made per pair looked at.  Members of a bucket are
-    dealt over chunks of about ``CHUNK``, and those outside the largest component (``minor``, at most 1024 by the limit on
-    pairs) go to every chunk: rows stay in proportion to the bucket.  A pair whose set sizes rule the link out is
-    skipped, and of the buckets of one depth that two members share only that of their least bands forms it (``earlier``: a
-    member's other bands below the bucket's last).
+    """(a, b) of different components whose sketches agree in ``ALIKE`` coordinates, or whose ``sample`` allows a link where
+    members have one; each has a member outside the bucket's largest component, and each such member names its ``most``
+    likest partners of a block (None: all).  Where some are left unnamed, a row holds the bucket's ``key`` alone.
+
+    Sketches or samples are compared in blocks inside the task, so no row is made per pair looked at.  Members of a bucket are dealt
+    over chunks of ``CHUNK`` or as many as are outside the largest component, and these (``minor``, at most twice
+    ``PAIRS_A_ROW`` by the limit on pairs) go to every chunk: rows are at most about twice the bucket's.  A pair whose set
+    sizes rule the link out is skipped, and of the buckets of one depth that two members share only that of their least
+    bands forms it (``earlier``: a member's other bands below the bucket's last).
     """
-    minor = F.col("root") != F.col("top")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    fields = ["node", "root", "short", "size", "earlier"]
-    askers = members.where(minor).select(
-        "key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(0).alias("side"), F.lit(True).alias("minor"), *fields
+    sampled = "sample" in members.columns
+    fields = ["node", "root", "short", "size", "earlier", *(["sample", "level"] if sampled else [])]
+    askers = members.where("minor").select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "minor", *fields
     )
-    others = members.select("key", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), F.lit(1).alias("side"), minor.alias("minor"), *fields)
+    others = members.select("key", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(1).alias("side"), "minor", *fields)
     dealt = askers.unionByName(others).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side")
 
-    def meet(mine: dict, part: dict) -> tuple[list, list]:
-        """Pairs of the askers with one block of the others."""
-        found: tuple[list, list] = ([], [])
+    def meet(mine: dict, part: dict) -> tuple[list, list, bool]:
+        """Pairs of the askers with one block of the others, and whether some were left unnamed."""
+        a, b, more = [], [], False
+        may = _by_samples(mine["sample"], part["sample"], percent) if sampled else None
         for i, node in enumerate(mine["node"]):
             fit = part["root"] != mine["root"][i]
             fit &= ~part["minor"] | (part["node"] > node)
@@ -290,23 +340,36 @@ def _across(members: DataFrame, percent: int, most: int | None) -> DataFrame:
                 fit &= (part["size"] < 0) | (100 * low >= percent * high)
             at = np.flatnonzero(fit)
             agree = (part["short"][at] == mine["short"][i]).sum(axis=1)
-            agree[(part["size"][at] < 0) | (mine["size"][i] < 0)] = FINE * BINS  # sketches unknown: the texts decide
+            unknown = (part["size"][at] < 0) | (mine["size"][i] < 0)  # the texts decide
+            agree[unknown] = FINE * BINS
             good = np.flatnonzero(agree >= ALIKE)
+            if may and len(good):
+                good = good[unknown[good] | may(i, at[good])]
             left = most or len(good)
             for j in at[good[np.argsort(-agree[good], kind="stable")]].tolist():
-                if left and mine["earlier"][i].isdisjoint(part["earlier"][j]):
-                    found[0].append(int(node))
-                    found[1].append(int(part["node"][j]))
-                    left -= 1
-        return found
+                if not mine["earlier"][i].isdisjoint(part["earlier"][j]):
+                    continue
+                if not left:
+                    more = True
+                    break
+                a.append(int(node))
+                b.append(int(part["node"][j]))
+                left -= 1
+        return a, b, more
 
     def block(batch: pa.RecordBatch) -> dict:
-        short = [v or bytes(FINE * BINS) for v in column(batch, "short")]
-        return {
+        short = column(batch, "short")
+        size = [-1 if v is None or s is None else v for v, s in zip(column(batch, "size"), short, strict=True)]
+        look = {}
+        if sampled:
+            drawn = column(batch, "sample")
+            size = [-1 if s is None else v for v, s in zip(size, drawn, strict=True)]
+            look["sample"] = [(np.frombuffer(s or b"", np.uint32), at) for s, at in zip(drawn, column(batch, "level"), strict=True)]
+        return look | {
             "node": np.array(column(batch, "node"), np.int64), "root": np.array(column(batch, "root"), np.int64),
-            "minor": np.array(column(batch, "minor"), bool), "short": np.frombuffer(b"".join(short), np.uint8).reshape(-1, FINE * BINS),
-            "size": np.array([-1 if v is None or s is None else v for v, s in zip(column(batch, "size"), column(batch, "short"), strict=True)], np.int64),
-            "earlier": [frozenset(v) for v in column(batch, "earlier")],
+            "minor": np.array(column(batch, "minor"), bool),
+            "short": np.frombuffer(b"".join(v or bytes(FINE * BINS) for v in short), np.uint8).reshape(-1, FINE * BINS),
+            "size": np.array(size, np.int64), "earlier": [frozenset(v) for v in column(batch, "earlier")],
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,10 +384,13 @@ def _across(members: DataFrame, percent: int, most: int | None) -> DataFrame:
                         part = {k: [*mine[k], *v] if isinstance(v, list) else np.concatenate((mine[k], v)) for k, v in part.items()}
                     here, mine = (key[s], chunk[s]), part
                 elif here == (key[s], chunk[s]):
-                    a, b = meet(mine, part)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a, b, more = meet(mine, part)
+                    keys = [None] * len(a)
+                    if more:
+                        a, b, keys = [*a, None], [*b, None], [*keys, int(key[s])]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, keys)], ["a", "b", "key"])
 
-    return _pairs(dealt.mapInArrow(run, "a long, b long"))
+    return dealt.mapInArrow(run, "a long, b long, key long")
 
 
 def _deeper(members: DataFrame, deep: DataFrame, depth: int) -> DataFrame:
@@ -342,16 +408,17 @@ def _deeper(members: DataFrame, deep: DataFrame, depth: int) -> DataFrame:
 
 
 def _sketched(members: DataFrame, fine: DataFrame, deep: DataFrame | None) -> DataFrame:
-    """One row per node of the members: places (key, path), its sketches and all its bands."""
-    nodes = _by_node(members, "key", "path").join(fine, "node")
+    """One row per node of the members: its sketches and all its bands."""
+    nodes = members.select("node").distinct().join(fine, "node")
     return nodes if deep is None else nodes.join(deep, "node", "left")
 
 
-def _rooms(nodes: DataFrame, opened: DataFrame) -> DataFrame:
-    """Members of the ``opened`` buckets with their sketches and ``earlier``, the bands below those of their path: two
-    members that share one meet in its bucket too."""
-    places = _by_node(opened, "root", "key", "path", "n", "top")
-    members = _each_place(nodes.drop("places").join(places, "node"))
+def _rooms(nodes: DataFrame, opened: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the ``opened`` buckets with their component as it is now, their sketches and ``earlier``, the bands below
+    those of their path: two members that share one meet in its bucket too.  ``minor`` is as of the opening: components
+    only grow together, so of two members still apart one was outside the largest then."""
+    places = _by_node(opened, "key", "path", "minor", "chunks").join(comps, "node", "left")
+    members = _each_place(nodes.join(places.withColumn("root", F.coalesce("root", "node")), "node"))
     lower = lambda name, at: F.filter(name, lambda b: b < F.element_at("path", at))
     earlier, depth = lower("bands", 1), F.size("path")
     if "second" in nodes.columns:
@@ -404,18 +471,23 @@ def links(bands: DataFrame, texts: DataFrame, words: int, percent: int) -> DataF
         if fine is None:
             fine = settle(fine_sketches(held, words).join(bands, "node"), "fine")
         seed, hubs = seed + 1, hubs + 1
-        nodes, near = settle(_sketched(near, fine, deep), "near"), settle(near, "rooms")
+        near = settle(near.withColumn("minor", F.col("root") != F.col("top")).drop("root", "top", "n", "crossing"), "rooms")
+        nodes = settle(_sketched(near, fine, deep), "near")
         for most in LIKEST:
-            wanted = _across(_rooms(nodes, near), percent, most)
+            named = settle(_across(_rooms(nodes, near, comps), percent, most), "named")
+            wanted = _pairs(named.where("key is null"))
             if most == LIKEST[0]:
                 wanted = wanted.unionAll(_hub_pairs(members, seed)).distinct()
             fresh = settle(wanted.join(tried, ["a", "b"], "left_anti"), "tried")
             tried = tried.unionAll(fresh)
             comps = join_up(fresh, comps)
-            if most is not None:  # what the links found have left apart
-                near = settle(_open(_placed(nodes, comps)), "rooms")
-                if near.isEmpty():
-                    break
+            near = near.join(named.select("key").where("key is not null").distinct(), "key", "left_semi")
+            if near.isEmpty():  # every pair of these buckets was named
+                break
+            if most is not None:
+                near = settle(near, "rooms")
+                again = held.join(near.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                nodes = settle(nodes.join(set_samples(again, words), "node"), "samples")
         if depth == DEEP:  # a hub that was compared with all of its bucket leaves it
             order = F.struct(F.xxhash64("key", "node", F.lit(seed)).alias("o"), F.col("node"))
             done = members.groupBy("key").agg(F.min(order).getField("node").alias("node"))

@@ -125,6 +125,58 @@ def test_pairs_that_share_one_or_two_bands_of_a_large_bucket(spark, monkeypatch,
     assert {r.node: r.root for r in got} == {i: i // 3 * 3 for i in range(len(texts))}
 
 
+def test_alike_texts_without_links_are_not_confirmed_pair_by_pair(spark, monkeypatch):
+    from kohorta.llm.common import shingle_set, space_words
+
+    rng = random.Random(12)
+    base, rows = words(rng, 200).split(), []
+    for i in range(100):
+        own = list(base)
+        for k in rng.sample(range(200), 4):
+            own[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(own)))
+    sets = [shingle_set(space_words(t.encode()), 4) for _, t in rows]
+    alike = []
+    for a, b in itertools.combinations(range(100), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        alike.append(both / (len(sets[a]) + len(sets[b]) - both))
+    assert sum(0.7 < v < 0.8 for v in alike) > 3000
+    looked, real = [], near_dup.confirm
+
+    def counted(pairs, *more):
+        looked.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(near_dup, "confirm", counted)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    root = list(range(100))
+    for (a, b), v in zip(itertools.combinations(range(100), 2), alike, strict=True):
+        if v >= 0.8 and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    assert sum(looked[2:]) <= 10  # what the likest partners left is ruled out by the sets
+
+
+def test_samples_rule_out_no_link_and_tell_whole_sets_exactly(spark):
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2)
+
+    def drawn(found):
+        level = max(0, (len(found) - 1) // near_dup.SAMPLE).bit_length()
+        found = np.sort(found)
+        return (found[found < (1 << (64 - level))] >> np.uint64(32)).astype(np.uint32), level
+
+    for size in (90, 900, 1030, 4500, 36_000):  # one in nine new: similarity 0.8; 1030 and its part lie in different levels
+        one, same, less = pool[:size], pool[size // 9 : size + size // 9], pool[size // 5 : size]
+        far = pool[size // 2 : size + size // 2][: 40_000 - size // 2]
+        may = near_dup._by_samples([drawn(one)], [drawn(same), drawn(less), drawn(far)], 80)
+        assert may(0, np.arange(3)).tolist() == [True, True, False]
+    texts = spark.createDataFrame([(1, b"a b c d"), (1, b"a b c d e"), (2, b"a b c d"), (2, b"a  b c d")], "doc_id long, text binary")
+    known = {r.node: (r.sample, r.level) for r in near_dup.set_samples(texts, 4).collect()}
+    assert known[1][0] is None and len(known[2][0]) == 4 and known[2][1] == 0
+
+
 def test_contamination_matches_brute_force_in_one_or_more_blocks(spark, docs, texts):
     items = [("a", " ".join(texts[8].split()[5:40])), ("b", "ONE"), ("c", None), (None, "two words"), ("d", "ééé, ßß")]
     bench = spark.createDataFrame(items, "item_id string, text string")
