@@ -39,6 +39,11 @@ def expect_all_true(df: DataFrame, cond: Column, name: str) -> DataFrame:
     return _row(name, df.agg(F.count(F.when(~F.coalesce(cond, F.lit(False)), 1)).alias("n_bad")))
 
 
+def expect_none(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Violations counted per row, in ``column``, add up to none."""
+    return _row(name, df.agg(F.sum(column).alias("n_bad")))
+
+
 def expect_equal(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     """Two one-row, one-column numbers agree."""
     a, b = F.col(f"`{left.columns[0]}`"), right.scalar()

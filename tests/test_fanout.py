@@ -112,3 +112,29 @@ def test_analysis_reads_the_lines_once(spark):
     plan = Clinic(spark, SF).analysis._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"FileScan.*lineitem", plan)) == 1
     assert len(re.findall(r"FileScan.*orders", plan)) == 1
+
+
+@pytest.mark.parametrize("latest_listed", [True, False])
+def test_checked_look_equals_the_single_views(spark, tmp_path, latest_listed):
+    from kohorta.plans.views import ICD_GROUPS, ICD_WEIGHTS, SCHEMAS, Clinic
+
+    draw, day = random.Random(5), lambda n: dt.datetime(1995, 1, 1) + dt.timedelta(days=n)
+    kinds = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", None]
+    orders = [(k, draw.choice([*range(40), None]), "F", 1.0, draw.choice([day(draw.randrange(900)), None]), draw.choice(kinds)) for k in range(600)]
+    orders += [(600, 3, "F", 1.0, day(2000), "5-LOW"), (600, 4, "F", 1.0, day(2001), "5-LOW"), (None, 4, "F", 1.0, day(9), "2-HIGH")]
+    part = lambda k: draw.choice([*range(300), 900 + k, None])
+    lines = [(draw.choice([*range(600), None]), part(k), draw.randrange(30), k % 7, *[1.0] * 4, "N", "O", day(k)) for k in range(3000)]
+    lines += [(600, 1 if latest_listed else 999_999, 2, 1, *[1.0] * 4, "N", "O", day(5))]
+    parts = [(k % 290, "n", f"Brand#{k % 9}", draw.choice(["STEEL", "TIN", None]), k % 5, 1.0) for k in range(310)]
+    for name, data in (("orders", orders), ("lineitem", lines), ("part", parts)):
+        spark.createDataFrame(data, SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    c = Clinic(spark, str(tmp_path))
+    frame = c.checked(c.index)
+    seen = {r.patientid: r for r in frame.collect()}
+    n_rx = {r.patientid: r["count"] for r in ex.lookback(c.index, c.rx).groupBy("patientid").count().collect()}
+    assert {k: r.n_rx for k, r in seen.items() if r.n_rx} == n_rx and not any(r.n_outside for r in seen.values())
+    assert {k: r.n_atc for k, r in seen.items() if r.n_atc} == {r.patientid: r.n_atc for r in c.poly.collect() if r.n_atc}
+    own = c.scored_groups(c.index, scores.mask_groups(frame, "groups", ICD_WEIGHTS, ICD_GROUPS))
+    assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, c.comorbidity.collect()), key=repr)
+    last = lambda df: df.agg(F.max("date")).first()[0]
+    assert last(c.latest_rx()) == last(c.rx) == (day(2001).date() if latest_listed else last(c.rx.where("date < '2000-01-01'")))

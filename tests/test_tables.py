@@ -78,6 +78,12 @@ def test_quality_report(spark):
         "unique": (False, 1), "values": (False, 1), "ids": (False, 1), "true": (True, 0), "equal": (False, 2)}
 
 
+def test_counts_of_violations(spark):
+    df = spark.createDataFrame([(0,), (2,), (None,)], "n int")
+    got = quality.report([quality.expect_none(df, "n", "some"), quality.expect_none(df.where("n = 0"), "n", "none")])
+    assert {tuple(r) for r in got.collect()} == {("some", False, 2), ("none", True, 0)}
+
+
 def test_european_csv(spark, rows):
     df = spark.createDataFrame([(1, 2.5, "a;b", dt.date(2020, 1, 2)), (2, None, None, None)], "i int, x double, s string, d date")
     path = scratch_path(spark, "t")
