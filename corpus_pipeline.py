@@ -25,23 +25,23 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
+    configure(spark, texts=True)
     return keep_identified(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
+    configure(spark, texts=True)
     return drop_near_duplicates(docs, words=5, percent=80)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
+    configure(spark, texts=True)
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    configure(spark)
+    configure(spark, texts=True)
     pieces = pack(docs, public_tokenizers.path(VOCABULARY))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohorta.llm.common import column, map_batches, mix, shingle_set, space_words, text_table
-from kohorta.session import settle
+from kohorta.session import settle, text_batches
 
 BINS = 128
 ROWS = 4
@@ -499,7 +499,11 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; see the module for the method and defined results."""
-    table = text_table(docs, id_col, text_col)
+    with text_batches(docs.sparkSession):
+        return _grouped(text_table(docs, id_col, text_col), words, percent)
+
+
+def _grouped(table: DataFrame, words: int, percent: int) -> DataFrame:
     rows = settle(signatures(table, words), "signatures")
     real = rows.where("digest is not null and doc_id is not null")
     classes = settle(

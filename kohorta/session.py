@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +22,40 @@ RUNTIME = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Switch on the adaptive settings above; size-related settings stay the cluster's."""
+# Batches of whole texts that Python workers get are bounded by their bytes: a number of rows alone lets a batch, and
+# each copy of it in the JVM and in Python, grow with the length of the texts.
+TEXT_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def configure(spark: SparkSession, texts: bool = False) -> SparkSession:
+    """Switch on the adaptive settings above, and with ``texts`` the bound on batches unless the cluster has its own;
+    other size-related settings stay the cluster's."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    if texts:
+        _bound_batches(spark)
     return spark
 
 
+def _bound_batches(spark: SparkSession) -> list[str]:
+    """Set what the session leaves open of ``TEXT_BATCHES``; the names of these settings."""
+    open_ = [key for key in TEXT_BATCHES if spark.conf.get(key, None) is None]
+    for key in open_:
+        spark.conf.set(key, TEXT_BATCHES[key])
+    return open_
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, jobs that run hand texts to Python in batches of bounded size; after it the session is as before."""
+    made = _bound_batches(spark)
+    try:
+        yield
+    finally:
+        for key in made:
+            spark.conf.unset(key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, from ``spark.checkpoint.dir``.
 

@@ -177,6 +177,36 @@ def test_samples_rule_out_no_link_and_tell_whole_sets_exactly(spark):
     assert known[1][0] is None and len(known[2][0]) == 4 and known[2][1] == 0
 
 
+def test_batches_of_long_texts_are_bounded_in_bytes(spark, monkeypatch):
+    import corpus_pipeline
+    from kohorta.session import TEXT_BATCHES
+
+    ((key, most),) = TEXT_BATCHES.items()
+    real, before, looked = near_dup.column, spark.conf.get(key, None), spark.sparkContext.accumulator(0)
+
+    def counted(batch, name):
+        assert batch.num_rows == 1 or batch.nbytes <= 1.2 * int(most), batch.nbytes
+        if name == "text_a":
+            looked.add(batch.num_rows)
+        return real(batch, name)
+
+    monkeypatch.setattr(near_dup, "column", counted)
+    rng = random.Random(6)
+    base = [words(rng, 30_000) for _ in range(10)]
+    rows = [(i, f"{base[i % 10]} end{i}") for i in range(300)]  # about 30 MB, and twice that where pairs are confirmed
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = near_dup.near_duplicates(docs, words=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 10 for i in range(300)}
+    assert looked.value >= 290
+    assert spark.conf.get(key, None) == before
+    try:
+        corpus_pipeline.near_dedup_stage(spark, docs.limit(0), "")
+        assert int(spark.conf.get(key)) <= int(most)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+
+
 def test_contamination_matches_brute_force_in_one_or_more_blocks(spark, docs, texts):
     items = [("a", " ".join(texts[8].split()[5:40])), ("b", "ONE"), ("c", None), (None, "two words"), ("d", "ééé, ßß")]
     bench = spark.createDataFrame(items, "item_id string, text string")
